@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, simhash
+from gridstone.llm import bpe, simhash, substring
 from gridstone.llm.common import table
 from gridstone.session import ship
 
@@ -18,6 +18,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,28 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op3_bpe, op10_simhash)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op3_bpe, op4_substring, op10_simhash)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM words WHERE len(w) >= 50)
+        ), firsts AS (
+            SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS k FROM windows JOIN firsts USING (h) WHERE first < doc_id
+        ), lists AS (
+            SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+                   CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ks, i)), lambda i: w[i]) END AS w
+            FROM words LEFT JOIN lists USING (doc_id)
+        )
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(w, ' '), '')) AS kept_sha256
+        FROM kept
+    """,
+}
