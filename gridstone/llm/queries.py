@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, simhash, substring
+from gridstone.llm import bpe, quality, simhash, substring
 from gridstone.llm.common import table
 from gridstone.session import ship
 
@@ -22,6 +22,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op3_bpe, op4_substring, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op3_bpe, op4_substring, op5_quality, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring": r"""
