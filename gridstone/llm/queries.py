@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, quality, simhash, substring
+from gridstone.llm import bpe, licenses, quality, simhash, substring
 from gridstone.llm.common import table
 from gridstone.session import ship
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -38,7 +42,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op3_bpe, op4_substring, op5_quality, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op2_licenses, op3_bpe, op4_substring, op5_quality, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring": r"""
