@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, licenses, quality, simhash, substring, tokens_orc
+from gridstone.llm import bpe, licenses, quality, simhash, substring, tokens_orc, urls
 from gridstone.llm.common import table
 from gridstone.session import ship
 
@@ -30,6 +30,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_orc.report(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -46,7 +50,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op2_licenses, op3_bpe, op4_substring, op5_quality, op9_orc, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op2_licenses, op3_bpe, op4_substring, op5_quality, op8_urls, op9_orc, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring": r"""
@@ -70,4 +74,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(w, ' '), '')) AS kept_sha256
         FROM kept
     """,
+    "op8_urls": urls.SQL,
 }
