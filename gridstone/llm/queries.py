@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, licenses, quality, simhash, substring, tokens_orc, urls
+from gridstone.llm import bpe, decontam, licenses, quality, simhash, substring, tokens_orc, urls
 from gridstone.llm.common import table
 from gridstone.session import ship
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -50,9 +54,10 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op2_licenses, op3_bpe, op4_substring, op5_quality, op8_urls, op9_orc, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op1_decontam, op2_licenses, op3_bpe, op4_substring, op5_quality, op8_urls, op9_orc, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontam": decontam.SQL,
     "op4_substring": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
