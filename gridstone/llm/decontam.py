@@ -16,6 +16,7 @@ table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,51 +33,41 @@ FILTER_BITS, FILTER_PROBES, FILTER_MOST = 24, 2, 1 << 23
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def tokens(text: Column) -> Column:
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
-    return F.filter(parts, lambda t: t != "")
-
-
-def spans(mask: tuple[int, ...], number: int) -> Column:
-    """The hashes of all masked spans of the token hashes `h`, by place."""
-    size = F.size("h") - F.lit(mask[-1])
-    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.lit(number), *(F.get(F.col("h"), i + p) for p in mask)))
-
-
-def around(i: Column, reach: int) -> Column:
-    """The tokens about place i, as 32-bit values; null beyond the text."""
-    return F.transform(F.sequence(i - WINDOW, i + reach + WINDOW), lambda k: F.shiftright(F.get(F.col("h"), k), 32).cast("int"))
-
-
 REACH = max(m[-1] for m in MASKS)
 
 
-def hashed(rows: DataFrame, key: str) -> DataFrame:
-    """The key and h, the hashes of the text's tokens."""
-    return rows.filter(F.col(key).isNotNull()).select(key, F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
+def tokens(text: Column) -> Column:
+    """The parts between separators; a text that begins or ends with one has an empty token there."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+
 
+def value(number: int) -> Column:
+    """The hash of the masked span that starts at the row's place; null if it ends beyond the text. The mask's number is part of it."""
+    mask = MASKS[number]
+    return F.when(F.col(f"t.{mask[-1]}").isNotNull(), F.xxhash64(F.lit(number), *(F.col(f"t.{p}") for p in mask)))
 
-def entries(rows: DataFrame, key: str, keep=lambda value: F.lit(True)) -> DataFrame:
-    """key, mask, value, place, near of each masked span that `keep` keeps."""
-    for number, mask in enumerate(MASKS):
-        rows = rows.withColumn(f"s{number}", spans(mask, number))
 
-    def kept(number: int) -> Column:
-        s = F.col(f"s{number}")
-        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        entry = lambda i: F.struct(F.lit(number).alias("mask"), F.get(s, i).alias("value"), i.alias("place"), around(i, REACH).alias("near"))
-        return F.transform(F.filter(places, lambda i: keep(F.get(s, i))), entry)
+def entries(rows: DataFrame, key: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, n_tokens, value, place, near (the tokens from `lead` before the place on) of each masked span that `keep` keeps.
 
-    per_mask = [kept(number) for number in range(len(MASKS))]
-    return rows.select(key, F.explode(F.concat(*per_mask)).alias("e")).select(key, "e.*")
+    A row of the exploded array holds the tokens at its place and after it, so
+    that hashing and filtering stay in generated code; the masks' values are
+    exploded before the test, which keeps that code small enough to be compiled.
+    """
+    words = rows.filter(F.col(key).isNotNull()).select(key, tokens(F.col("text")).alias("w"))
+    ahead = F.arrays_zip(*(F.expr(f"slice(w, {p + 1}, size(w))").alias(str(p)) for p in range(REACH + 1)))
+    at = words.select(key, "w", F.posexplode_outer(ahead).alias("place", "t"))
+    at = at.select(key, "w", "place", F.explode_outer(F.array(*map(value, range(len(MASKS))))).alias("value")).filter("value is not null")
+    if keep is not None:
+        at = at.filter(keep(F.col("value")))
+    lead = F.least("place", F.lit(WINDOW))
+    near = F.slice("w", F.col("place") - lead + 1, lead + REACH + WINDOW + 1)
+    return at.select(key, F.size("w").alias("n_tokens"), "value", "place", lead.alias("lead"), near.alias("near"))
 
 
 def seeds(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_tokens, mask, value, place, near; equal seeds of one item stand for each of their places."""
-    rows = hashed(benchmark, "item_id")
-    sizes = rows.groupBy("item_id").agg(F.max(F.size("h")).alias("n_tokens"))
-    return cut(entries(rows, "item_id").join(sizes, "item_id"), "seeds")
+    """item_id and the entries of the benchmark; equal seeds of one item stand for each of their places."""
+    return cut(entries(benchmark, "item_id"), "seeds")
 
 
 def probes(value: Column, bits: int) -> list[Column]:
@@ -107,19 +98,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = seeds(benchmark)
     sieve = filter_of(known)
     if sieve is None:
-        keep = lambda value: F.lit(True)
+        keep = None
     else:
         bits, words = sieve
         keep = lambda value: reduce(lambda a, b: a & b, (F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in probes(value, bits)))
-    found = entries(hashed(docs, "doc_id"), "doc_id", keep)
-    seed = known.select("item_id", "n_tokens", "mask", "value", F.col("place").alias("seed_place"), F.col("near").alias("seed_near"))
-    hits = found.join(seed, ["mask", "value"])
-    same = F.zip_with("near", "seed_near", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
+    found = entries(docs, "doc_id", keep).drop("n_tokens")
+    seed = known.select("item_id", "n_tokens", "value", F.col("lead").alias("seed_lead"), F.col("near").alias("seed_near"))
+    hits = found.join(seed, "value")
+    same = F.transform(
+        F.sequence(F.lit(-WINDOW), F.lit(REACH + WINDOW)),
+        lambda o: F.coalesce((F.get("near", F.col("lead") + o) == F.get("seed_near", F.col("seed_lead") + o)).cast("int"), F.lit(0)),
+    )
     width = F.least(F.lit(WINDOW), F.col("n_tokens"))
     # along the hit's diagonal: equal tokens in each window, of which the best counts
-    checked = hits.select("doc_id", "item_id", "place", same.alias("same"), width.alias("width"), F.ceil(width * MATCH).alias("need")).withColumn(
-        "most", F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda k: F.aggregate(F.slice("same", k, F.col("width")), F.lit(0), lambda a, x: a + x)))
-    )
+    sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda k: F.aggregate(F.slice("same", k, F.col("width")), F.lit(0), lambda a, x: a + x))
+    checked = hits.select("doc_id", "item_id", "place", same.alias("same"), width.alias("width"), F.ceil(width * MATCH).alias("need")).withColumn("most", F.array_max(sums))
     return (
         checked.filter(F.col("most") >= F.col("need"))
         .groupBy("doc_id", "item_id")
@@ -145,7 +138,7 @@ def _sql() -> str:
         parts = (f"SELECT {key}, w, k, {i} AS mask, {masked(m)} AS value FROM (SELECT {key}, w, unnest(range(1, len(w) - {m[-1]} + 1)) AS k FROM {table} WHERE len(w) > {m[-1]})" for i, m in enumerate(MASKS))
         return " UNION ALL ".join(parts)
 
-    token = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEPARATORS}'), lambda t: t <> '')"
+    token = f"regexp_split_to_array(lower(coalesce(text, '')), '{SEPARATORS}')"
     return rf"""
         WITH d AS (SELECT doc_id, {token} AS w FROM documents), b AS (SELECT item_id, {token} AS w FROM benchmark),
         ds AS ({entry("d", "doc_id")}), bs AS ({entry("b", "item_id")}),
