@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, chat, decontam, licenses, quality, simhash, substring, tokens_orc, urls
+from gridstone.llm import bpe, chat, decontam, licenses, quality, simhash, substring, tokens_orc, toxicity, urls
 from gridstone.llm.common import table
 from gridstone.session import ship
 
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
@@ -58,7 +62,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op1_decontam, op2_licenses, op3_bpe, op4_substring, op5_quality, op7_chat, op8_urls, op9_orc, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op1_decontam, op2_licenses, op3_bpe, op4_substring, op5_quality, op6_toxicity, op7_chat, op8_urls, op9_orc, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontam": decontam.SQL,
