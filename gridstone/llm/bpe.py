@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstone.llm import kernel as K
 from gridstone.llm.common import bound_arrow, text_rows
@@ -409,3 +410,21 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+def with_ids(docs: DataFrame, path: str) -> DataFrame:
+    """The documents with all their columns, ids (an array of integers) and n_tokens; the text is what the ids decode to."""
+    bound_arrow(docs.sparkSession)
+    names = [c for c in docs.columns if c not in ("ids", "n_tokens", "text")]
+    kept = docs.select(*names, "text")
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, encoder = ready(path)
+        for b in K.chunks(batches):
+            ids, at = encoder(*K.buffer(K.column(b, "text")))
+            text = valid_text(*merges.decode(ids, at))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(K.column(b, c) for c in names), text, lists, pa.array(np.diff(at).astype(np.int64))], [*names, "text", "ids", "n_tokens"])
+
+    return kept.mapInArrow(run, schema)

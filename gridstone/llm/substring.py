@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstone.llm import kernel as K
 from gridstone.llm.common import bound_arrow, cut, text_rows
@@ -130,37 +131,61 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.join(first, "h").filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
 
 
+def edited(batch: pa.RecordBatch, window: int, gone_column: str = "gone") -> list[pa.Array]:
+    """n_words, n_removed, kept of each text."""
+    w = Words(batch)
+    h, at = K.windows(w.hash, w.first, window)
+    doc = np.searchsorted(w.first, at, side="right") - 1
+    gone = K.covered(len(w.starts), at[_among(h, doc, *_lists(K.column(batch, gone_column)))], window)
+    n_gone = K.per_doc(gone, w.first)
+    size = (w.ends - w.starts + 1)[~gone]
+    kept = K.gather(np.append(w.data, np.uint8(32)), w.starts[~gone], size)  # each word with what follows it
+    ends = np.cumsum(size)
+    kept[ends - 1] = 32
+    left = np.diff(w.first) - n_gone
+    to = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(left)])]
+    keep = np.ones(len(kept), bool)
+    keep[to[1:][left > 0] - 1] = False  # the space after a document's last word
+    offsets = to - np.concatenate([[0], np.cumsum(left > 0)])
+    return [pa.array(np.diff(w.first)), pa.array(n_gone), K.to_array(kept[keep], offsets, pa.string())]
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, one space between), cleaned (the text; where words went, as kept)."""
+    """doc_id, n_words, n_removed, kept (the words that stay, one space between)."""
     bound_arrow(docs.sparkSession)
     docs = text_rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
-            w = Words(b)
-            h, at = K.windows(w.hash, w.first, window)
-            doc = np.searchsorted(w.first, at, side="right") - 1
-            gone = K.covered(len(w.starts), at[_among(h, doc, *_lists(K.column(b, "gone")))], window)
-            n_gone = K.per_doc(gone, w.first)
-            size = (w.ends - w.starts + 1)[~gone]
-            spaced = np.append(w.data, np.uint8(32))
-            kept = K.gather(spaced, w.starts[~gone], size)  # each word with what follows it
-            ends = np.cumsum(size)
-            kept[ends - 1] = 32
-            left = np.diff(w.first) - n_gone
-            edge = np.concatenate([[0], np.cumsum(left)])
-            to = np.concatenate([[0], ends])[edge]
-            drop = to[1:][left > 0] - 1  # the space after a document's last word
-            keep = np.ones(len(kept), bool)
-            keep[drop] = False
-            off = to - np.concatenate([[0], np.cumsum(left > 0)])
-            yield pa.RecordBatch.from_arrays(
-                [K.column(b, "doc_id"), pa.array(np.diff(w.first)), pa.array(n_gone), K.to_array(kept[keep], off, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
-            )
+            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), *edited(b, window)], ["doc_id", "n_words", "n_removed", "kept"])
 
     return docs.join(removals(docs, window), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents with all their columns; where words were removed the text is what stays, and n_chars its length.
+
+    Rows that lose all their words go; other texts stay as they are."""
+    bound_arrow(docs.sparkSession)
+    names = docs.columns
+    gone = removals(text_rows(docs), window).withColumnRenamed("gone", "__gone")
+    rows = docs.join(gone, "doc_id", "left")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__kept", T.StringType()), T.StructField("__removed", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.chunks(batches):
+            _, n_gone, kept = edited(b, window, "__gone")
+            yield pa.RecordBatch.from_arrays([*(K.column(b, c) for c in names), kept, n_gone], [*names, "__kept", "__removed"])
+
+    out = rows.select(*names, "__gone").mapInArrow(run, schema).filter("__removed = 0 or __kept <> ''")
+    text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
+    out = out.withColumn("text", text)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*names)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """What op4 returns."""
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
