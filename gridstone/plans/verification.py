@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-9
-#: Names that may not be features of a game.
-FORBIDDEN = ("score", "result", "total_points", "margin_actual", "overtime", "moneyline", "spread_line", "total_line", "home_win", "is_tie")
+#: Names, and parts of names, that no feature of a game may have.
+FORBIDDEN = {"result", "margin", "total", "total_points", "overtime", "home_win", "is_tie"}
+FORBIDDEN_PARTS = ("score", "moneyline", "spread", "total_line", "_odds", "implied_prob")
 
 
 def corrupted(df: DataFrame, after: Column, keys: Sequence[str], columns: Sequence[str], seed: int = 7) -> DataFrame:
@@ -51,7 +51,7 @@ def invariant(build: Callable[[dict], DataFrame], clean: dict, corrupt: dict, ke
 
 def static_problems(features: DataFrame, labels: DataFrame, team_rows: DataFrame, key: str = "game_id") -> list[str]:
     """What a look at the schema and the keys finds."""
-    out = [f"forbidden column {c}" for c in features.columns if any(f in c.lower() for f in FORBIDDEN)]
+    out = [f"forbidden column {c}" for c in features.columns if c.lower() in FORBIDDEN or any(f in c.lower() for f in FORBIDDEN_PARTS)]
     if not features.groupBy(key).count().filter("count > 1").isEmpty():
         out.append("a game has several feature rows")
     if not team_rows.groupBy(key).count().filter("count <> 2").isEmpty():
@@ -72,7 +72,3 @@ def report(results: dict[str, DataFrame], control: DataFrame) -> tuple[str, bool
     fine &= n > 0
     lines.append(f"| positive control | {n} |")
     return "\n".join(lines) + "\n", fine
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
