@@ -28,7 +28,7 @@ from gridstone.llm.common import cut
 MASKS = [(0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 6, 7, 9), (0, 2, 3, 5, 7, 8, 10)]
 WINDOW, MATCH = 16, 0.8
 #: Bits of the filter a seed, probes, and the largest filter.
-FILTER_BITS, FILTER_PROBES, FILTER_MOST = 24, 2, 1 << 23
+FILTER_BITS, FILTER_PROBES, FILTER_MOST = 24, 3, 1 << 23
 #: What separates tokens, as a class for Java's and DuckDB's expressions.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
