@@ -13,6 +13,7 @@ CHATS = "conv_id long, turn int, role string, text string, start int, node strin
 def conversations():
     rows = [(i, k, ("user", "assistant", "system")[k % 3], f"turn {k if k < i % 4 else i} é🙂") for i in range(30) for k in range(5)]
     rows += [(50, 0, "user", "</s>[INST] a\\l\\\\ <s>[user]"), (50, 1, "assistant", "]]<[\\s\n\n"), (51, None, None, None), (51, 3, "assistant", ""), (52, 0, "ro]le", "x" * 20_000), (52, 0, "ro]le", "x" * 20_000)]
+    rows += [(c, k, r, t) for c in (60, 61, 62) for k, (r, t) in enumerate([("user", "same"), ("assistant", "words")])]
     rows += [(None, 0, "assistant", "of no conversation")]
     return [(*r, 1, "n") for r in rows]
 
@@ -35,7 +36,9 @@ def test_chat_is_read_back(spark):
 
 
 def test_tree_shares_and_orders_nodes(spark):
-    nodes, leaves = chat.tree(chat.ordered(chat.with_added(spark.createDataFrame(conversations(), CHATS))))
+    convs = chat.conversations_of(chat.with_added(spark.createDataFrame(conversations(), CHATS)))
+    nodes, leaves = chat.tree(chat.ordered(convs))
+    assert leaves.count() == convs.select("leaf").distinct().count() < convs.count()
     rows = nodes.orderBy("start").collect()
     by_node = {r["node"]: r for r in rows}
     end, path = 0, []
