@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridstone.functions.expressions import differs, implied_probability, no_vig, ratio, truth
+from gridstone.functions.expressions import implied_probability, no_vig, ratio, truth
 from gridstone.operators import metrics, records
 from gridstone.operators import timeseries as ts
 from gridstone.operators.asof import strict_asof
