@@ -208,6 +208,7 @@ class Merges:
         order = np.argsort(key, kind="stable")
         self.pair_key, self.pair_rank = key[order], order.astype(np.int64)
         self.by_bytes = {s.encode(): i for s, i in self.specials.items()}
+        self.rank_of: dict[int, int] = {}  # made when the first long piece comes
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -300,7 +301,7 @@ class Merges:
             top[node // 2 : node] = np.minimum(top[node : 2 * node : 2], top[node + 1 : 2 * node : 2])
             node //= 2
         tree, sym, never = top.tolist(), sym.tolist(), int(NEVER)
-        rank = dict(zip(self.pair_key.tolist(), self.pair_rank.tolist(), strict=True))
+        rank = self.rank_of = self.rank_of or dict(zip(self.pair_key.tolist(), self.pair_rank.tolist(), strict=True))
         after, before, merged = [*range(1, n), -1], list(range(-1, n - 1)), self.merged
 
         def put(leaf: int, value: int) -> None:
