@@ -106,29 +106,35 @@ def _among(keys: np.ndarray, doc: np.ndarray, of: np.ndarray, of_doc: np.ndarray
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """The windows whose minimizer is in the row's list `lows`: hash, doc_id."""
+    """The windows whose minimizer is in the row's lists `own` or `shared`: hash, doc_id, and whether it is of `shared`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
             w = Words(b)
             low, at, doc = w.minimizers(window)
             r = K.rolling(7)
-            on = _among(low, doc, *_lists(K.column(b, "lows")))
-            h = r.spans(r.prefix(w.hash), at[on], at[on] + window)
-            yield _pairs(h, _ids(b)[doc[on]], ["h", "doc_id"])
+            prefix = r.prefix(w.hash)
+            for name in ("own", "shared"):
+                on = _among(low, doc, *_lists(K.column(b, name)))
+                rows = _pairs(r.spans(prefix, at[on], at[on] + window), _ids(b)[doc[on]], ["h", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, name == "shared"))], ["h", "doc_id", "later"])
 
-    return docs.mapInArrow(run, "h long, doc_id long")
+    return docs.mapInArrow(run, "h long, doc_id long, later boolean")
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and the hashes of its windows that start in a smaller document too."""
+    """doc_id and the hashes of its windows that start in a smaller document too.
+
+    A document that is the first with a minimizer loses none of its windows; they
+    are counted, but only those of later documents are joined with the counts."""
     known = docs.filter("doc_id is not null")
     lows = cut(minimizer_rows(known, window), "windows-low")
-    shared = lows.groupBy("low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("low")
-    may = lows.join(shared, "low").groupBy("doc_id").agg(F.collect_set("low").alias("lows"))
+    shared = lows.groupBy("low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("low", "first")
+    first = F.col("doc_id") == F.col("first")
+    may = lows.join(shared, "low").groupBy("doc_id").agg(F.collect_set(F.when(first, F.col("low"))).alias("own"), F.collect_set(F.when(~first, F.col("low"))).alias("shared"))
     rows = cut(window_rows(known.join(may, "doc_id"), window), "windows")
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "first")
-    return rows.join(first, "h").filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return rows.filter("later").join(firsts, "h").filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
 
 
 def edited(batch: pa.RecordBatch, window: int, gone_column: str = "gone") -> list[pa.Array]:
