@@ -19,3 +19,23 @@ def test_bands_reject_junk_and_keep_plain_texts(judged):
     assert len(junk) > 20 and len(plain) > 500
     assert sum(junk) < 0.25 * len(junk)
     assert sum(plain) > 0.98 * len(plain)
+
+
+def test_small_classes_take_a_wider_band(spark):
+    of = lambda lang, size, n, at: [(lang, size, 50, at + 0.01 * (i % 11)) for i in range(n)]
+    rows = of("en", 8, 40, 2.0) + of("en", 9, 40, 3.0) + of("en", 12, 3, 2.5) + of("xx", 8, 2, 9.0)
+    rows = spark.createDataFrame(rows, "lang string, size long, n_words long, nll double")
+    got = {(r["lang"], r["size"]): (r["low"], r["high"]) for r in quality.bands(rows).collect()}
+    assert set(got) == {("en", 8), ("en", 9), ("en", 12), ("xx", 8)}
+    assert got["en", 8][0] < 2 < got["en", 8][1] < got["en", 9][0] < 3
+    # over all lengths of the language, and over all texts for a language of two
+    assert got["en", 12][0] < 2 and got["en", 12][1] > 3
+    assert got["xx", 8][0] < 2 and 3 < got["xx", 8][1] < 9
+
+
+def test_every_text_that_passes_the_base_rules_has_a_band(spark):
+    docs = table(spark, SF, "documents").filter("lang = 'es'").limit(20)
+    text = " ".join("ab%%% cd%%%" for _ in range(1)) + " "
+    junk = spark.createDataFrame([(-1, " ".join(f"{text}q{i}" for i in range(40)))], "doc_id long, text string").selectExpr("doc_id", "text", "'es' AS lang")
+    got = quality.decisions(docs.select("doc_id", "text", "lang").unionByName(junk)).filter("not base_failed")
+    assert not got.filter("doc_id = -1").first()["kept"]
