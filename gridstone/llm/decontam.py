@@ -8,8 +8,15 @@ verified: along the diagonal of the hit at least MATCH of WINDOW consecutive
 tokens (of a shorter item all its tokens) must be equal. Seeds of a benchmark too
 large for the filter are joined without it. The documents' texts are not shuffled.
 
-Edge cases: a null or empty text has no tokens; an item of fewer tokens than a
-mask's span is found by no seed; repeated rows of one doc_id give one row; rows
+Every pattern of equal tokens that verification accepts holds a whole mask of the
+item's length: items of 16 tokens or more have MASKS and MORE, shorter ones
+lighter masks (SHORT), the shortest are hashed whole. Masks for lengths that the
+benchmark does not have are not looked for. Places, and equal tokens of the best
+window, are those of hits by MASKS; the other masks' hits are used where an item
+has none of these.
+
+Edge cases: a null or empty text has no tokens, and an item without any (separators
+alone) is in no document; repeated rows of one doc_id give one row; rows
 without a doc_id or item_id are left out; extra columns are ignored; an empty
 table gives an empty one.
 """
@@ -26,6 +33,22 @@ from gridstone.llm.common import cut
 
 #: Token positions that count.
 MASKS = [(0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 6, 7, 9), (0, 2, 3, 5, 7, 8, 10)]
+#: With MASKS they cover three other tokens of 16.
+MORE = [(0, 1, 2, 5, 6, 7, 9), (0, 1, 4, 7, 8, 9, 10), (0, 1, 2, 3, 5, 7, 9)]
+#: For items of up to so many tokens the masks that cover the ceil(0.8 n) equal tokens of n.
+SHORT = {
+    1: [(0,)],
+    2: [(0, 1)],
+    3: [(0, 1, 2)],
+    4: [(0, 1, 2, 3)],
+    6: [(0, 1, 2), (0, 1, 3)],
+    7: [(0, 1, 3, 4)],
+    9: [(0, 1, 2, 4, 5), (0, 1, 2, 3, 4)],
+    11: [(0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4)],
+    12: [(0, 1, 2, 4, 6, 7), (0, 1, 3, 7, 8, 9), (0, 1, 2, 3, 4, 5)],
+    14: [(0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8)],
+    15: [(0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10)],
+}
 WINDOW, MATCH = 16, 0.8
 #: Bits of the filter a seed, probes, and the largest filter.
 FILTER_BITS, FILTER_PROBES, FILTER_MOST = 24, 3, 1 << 23
@@ -34,6 +57,16 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 REACH = max(m[-1] for m in MASKS)
+#: All masks by number, and the numbers of the masks for items of n tokens: the first whose length is not below n.
+EVERY = list(dict.fromkeys([*MASKS, *MORE, *(m for masks in SHORT.values() for m in masks)]))
+LENGTHS = [(n, [EVERY.index(m) for m in masks]) for n, masks in SHORT.items()]
+LONG = list(range(len(MASKS) + len(MORE)))
+
+
+def masks_of(n: int) -> list[int]:
+    """Numbers of the masks that an item of n tokens is looked for by; MASKS that fit are always among them."""
+    light = next((numbers for most, numbers in LENGTHS if n <= most), LONG)
+    return sorted({*light, *(i for i, m in enumerate(MASKS) if m[-1] < n)})
 
 
 def tokens(text: Column) -> Column:
@@ -43,12 +76,12 @@ def tokens(text: Column) -> Column:
 
 def value(number: int) -> Column:
     """The hash of the masked span that starts at the row's place; null if it ends beyond the text. The mask's number is part of it."""
-    mask = MASKS[number]
+    mask = EVERY[number]
     return F.when(F.col(f"t.{mask[-1]}").isNotNull(), F.xxhash64(F.lit(number), *(F.col(f"t.{p}") for p in mask)))
 
 
-def entries(rows: DataFrame, key: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """key, n_tokens, value, place, near (the tokens from `lead` before the place on) of each masked span that `keep` keeps.
+def entries(rows: DataFrame, key: str, numbers: list[int], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, n_tokens, mask, value, place, near (the tokens from `lead` before the place on) of each span of the masks `numbers` that `keep` keeps.
 
     A row of the exploded array holds the tokens at its place and after it, so
     that hashing and filtering stay in generated code; the masks' values are
@@ -57,17 +90,29 @@ def entries(rows: DataFrame, key: str, keep: Callable[[Column], Column] | None =
     words = rows.filter(F.col(key).isNotNull()).select(key, tokens(F.col("text")).alias("w"))
     ahead = F.arrays_zip(*(F.expr(f"slice(w, {p + 1}, size(w))").alias(str(p)) for p in range(REACH + 1)))
     at = words.select(key, "w", F.posexplode_outer(ahead).alias("place", "t"))
-    at = at.select(key, "w", "place", F.explode_outer(F.array(*map(value, range(len(MASKS))))).alias("value")).filter("value is not null")
+    at = at.select(key, "w", "place", F.posexplode_outer(F.array(*map(value, numbers))).alias("mask", "value")).filter("value is not null")
     if keep is not None:
         at = at.filter(keep(F.col("value")))
     lead = F.least("place", F.lit(WINDOW))
     near = F.slice("w", F.col("place") - lead + 1, lead + REACH + WINDOW + 1)
-    return at.select(key, F.size("w").alias("n_tokens"), "value", "place", lead.alias("lead"), near.alias("near"))
+    return at.select(key, F.size("w").alias("n_tokens"), "mask", "value", "place", lead.alias("lead"), near.alias("near"))
+
 
+def seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    """item_id and the entries of the benchmark, and the numbers of the masks used; equal seeds of one item stand for each of their places.
 
-def seeds(benchmark: DataFrame) -> DataFrame:
-    """item_id and the entries of the benchmark; equal seeds of one item stand for each of their places."""
-    return cut(entries(benchmark, "item_id"), "seeds")
+    An item shorter than the window has no empty tokens at its ends, so it is found within a text too."""
+    w = tokens(F.col("text"))
+    bare = F.regexp_replace("text", f"^{SEPARATORS}|{SEPARATORS}$", "")
+    items = benchmark.filter(F.exists(w, lambda t: t != "")).withColumn("text", F.when(F.size(w) < WINDOW, bare).otherwise(F.col("text")))
+    sizes = items.filter("item_id is not null").select(F.least(F.size(w), F.lit(WINDOW)).alias("n")).distinct().collect()  # at most WINDOW
+    by_length = {r["n"]: masks_of(r["n"]) for r in sizes}
+    numbers = sorted({*range(len(MASKS)), *(k for of in by_length.values() for k in of)})
+    rows = entries(items, "item_id", numbers).withColumn("mask", F.get(F.array(*map(F.lit, numbers)), F.col("mask")))
+    own = F.lit(False)
+    for n, of in by_length.items():
+        own = own | ((F.least("n_tokens", F.lit(WINDOW)) == n) & F.col("mask").isin(of))
+    return cut(rows.filter(own), "seeds"), numbers
 
 
 def probes(value: Column, bits: int) -> list[Column]:
@@ -95,15 +140,15 @@ def filter_of(known: DataFrame) -> tuple[int, Column] | None:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_hits, first_word, last_word (places of the first and last verified hit), most (equal tokens in the best window)."""
-    known = seeds(benchmark)
+    known, numbers = seeds(benchmark)
     sieve = filter_of(known)
     if sieve is None:
         keep = None
     else:
         bits, words = sieve
         keep = lambda value: reduce(lambda a, b: a & b, (F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in probes(value, bits)))
-    found = entries(docs, "doc_id", keep).drop("n_tokens")
-    seed = known.select("item_id", "n_tokens", "value", F.col("lead").alias("seed_lead"), F.col("near").alias("seed_near"))
+    found = entries(docs, "doc_id", numbers, keep).drop("n_tokens", "mask")
+    seed = known.select("item_id", "n_tokens", "mask", "value", F.col("lead").alias("seed_lead"), F.col("near").alias("seed_near"))
     hits = found.join(seed, "value")
     same = F.transform(
         F.sequence(F.lit(-WINDOW), F.lit(REACH + WINDOW)),
@@ -112,11 +157,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     width = F.least(F.lit(WINDOW), F.col("n_tokens"))
     # along the hit's diagonal: equal tokens in each window, of which the best counts
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda k: F.aggregate(F.slice("same", k, F.col("width")), F.lit(0), lambda a, x: a + x))
-    checked = hits.select("doc_id", "item_id", "place", same.alias("same"), width.alias("width"), F.ceil(width * MATCH).alias("need")).withColumn("most", F.array_max(sums))
+    checked = hits.select("doc_id", "item_id", "place", (F.col("mask") < len(MASKS)).alias("first"), same.alias("same"), width.alias("width"), F.ceil(width * MATCH).alias("need")).withColumn("most", F.array_max(sums))
+    of = lambda agg, c: F.coalesce(agg(F.when(F.col("first"), F.col(c))), agg(c)).cast("long")
+    n_hits = F.when(F.bool_or("first"), F.count_distinct(F.when(F.col("first"), F.col("place")))).otherwise(F.count_distinct("place"))
     return (
         checked.filter(F.col("most") >= F.col("need"))
         .groupBy("doc_id", "item_id")
-        .agg(F.countDistinct("place").alias("n_hits"), F.min("place").cast("long").alias("first_word"), F.max("place").cast("long").alias("last_word"), F.max("most").cast("long").alias("most"))
+        .agg(n_hits.alias("n_hits"), of(F.min, "place").alias("first_word"), of(F.max, "place").alias("last_word"), of(F.max, "most").alias("most"))
     )
 
 

@@ -1,8 +1,11 @@
 """Tests of what a reviewer found cut: each fails over the code before its change."""
 
+from itertools import combinations
+from math import ceil
+
 import pytest
 
-from gridstone.llm import quality
+from gridstone.llm import decontam, quality
 from gridstone.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -39,3 +42,23 @@ def test_every_text_that_passes_the_base_rules_has_a_band(spark):
     junk = spark.createDataFrame([(-1, " ".join(f"{text}q{i}" for i in range(40)))], "doc_id long, text string").selectExpr("doc_id", "text", "'es' AS lang")
     got = quality.decisions(docs.select("doc_id", "text", "lang").unionByName(junk)).filter("not base_failed")
     assert not got.filter("doc_id = -1").first()["kept"]
+
+
+@pytest.mark.parametrize("n", range(1, decontam.WINDOW + 1))
+def test_masks_cover_all_that_verification_accepts(n):
+    masks = [decontam.EVERY[k] for k in decontam.masks_of(n)]
+    for other in combinations(range(n), n - ceil(decontam.MATCH * n)):
+        equal = set(range(n)) - set(other)
+        assert any(all(s + p in equal for p in m) for m in masks for s in range(n - m[-1])), other
+
+
+def test_accepted_overlaps_of_any_length_are_found(spark):
+    texts = {n: [f"t{n}x{i}" for i in range(n)] for n in range(1, 17)}
+    bench = [(n, " ".join(w)) for n, w in texts.items()] + [(50, "What is the capital of France?"), (51, "?!"), (52, ""), (53, "(Oslo)")]
+    found = [(n, w, other) for n, w in texts.items() for other in ([], list(range(n))[4 % n :: 4][: n - ceil(0.8 * n)], list(range(n - ceil(0.8 * n))))]
+    docs = [(k, "so " + " ".join("other" if i in other else x for i, x in enumerate(w)) + " and on") for k, (_, w, other) in enumerate(found)]
+    missed = [(1000 + n, "so " + " ".join("other" if i <= n - ceil(0.8 * n) else x for i, x in enumerate(w)) + " and on") for n, w in texts.items()]
+    docs += [*missed, (2000, "Asked: what is the capital of france Paris"), (2001, "in oslo today"), (2002, "? ! ...")]
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    want = {(k, n) for k, (n, _, _) in enumerate(found)} | {(2000, 50), (2001, 53)}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
