@@ -150,13 +150,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = entries(docs, "doc_id", numbers, keep).drop("n_tokens", "mask")
     seed = known.select("item_id", "n_tokens", "mask", "value", F.col("lead").alias("seed_lead"), F.col("near").alias("seed_near"))
     hits = found.join(seed, "value")
-    same = F.transform(
-        F.sequence(F.lit(-WINDOW), F.lit(REACH + WINDOW)),
-        lambda o: F.coalesce((F.get("near", F.col("lead") + o) == F.get("seed_near", F.col("seed_lead") + o)).cast("int"), F.lit(0)),
-    )
+    # a bit for each place along the hit's diagonal where the tokens are equal
+    span = 2 * WINDOW + REACH + 1
+    equal = lambda i: F.get("near", F.col("lead") + i - WINDOW) == F.get("seed_near", F.col("seed_lead") + i - WINDOW)
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(span - 1)), F.lit(0).cast("long"), lambda a, i: F.when(equal(i), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(a))
     width = F.least(F.lit(WINDOW), F.col("n_tokens"))
-    # along the hit's diagonal: equal tokens in each window, of which the best counts
-    sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda k: F.aggregate(F.slice("same", k, F.col("width")), F.lit(0), lambda a, x: a + x))
+    # equal tokens in each window, of which the best counts
+    ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width")) - 1
+    sums = F.transform(F.sequence(F.lit(0), F.lit(span) - F.col("width")), lambda k: F.bit_count(F.call_function("shiftright", F.col("same"), k).bitwiseAND(ones)))
     checked = hits.select("doc_id", "item_id", "place", (F.col("mask") < len(MASKS)).alias("first"), same.alias("same"), width.alias("width"), F.ceil(width * MATCH).alias("need")).withColumn("most", F.array_max(sums))
     of = lambda agg, c: F.coalesce(agg(F.when(F.col("first"), F.col(c))), agg(c)).cast("long")
     n_hits = F.when(F.bool_or("first"), F.count_distinct(F.when(F.col("first"), F.col("place")))).otherwise(F.count_distinct("place"))
