@@ -614,4 +614,5 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = pregame_record(spark, sf_dir).join(games(spark, sf_dir).select("game_id", "season", (F.col("home_score") - F.col("away_score")).cast("double").alias("margin")), "game_id")
     rows = rows.filter("margin is not null and margin <> 0").withColumn("home_adv", F.lit(1.0))
-    return run(rows, ["diff_wins", "diff_win_pct", "diff_avg_diff", "home_adv"], seasons=[1999, 2000])
+    seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())[1:]  # the first has no past to fit on
+    return run(rows, ["diff_wins", "diff_win_pct", "diff_avg_diff", "home_adv"], seasons=seasons)
