@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
 Texts are cut to pre-tokens as the tokenizer file's byte-level pre-tokenizer
-does; each distinct pre-token is encoded once a worker and remembered under a
-64-bit hash. In the tree the leaf of a position holds the rank of the pair that
+does; each distinct pre-token is encoded once a worker and remembered with its
+bytes. In the tree the leaf of a position holds the rank of the pair that
 starts there (and the position), an inner node the smaller of its children. The
 root thus names the leftmost pair of lowest rank; a merge changes three leaves,
 each with logarithmic updates, until no pair can be merged.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstone.llm import kernel as K
-from gridstone.llm.common import bound_arrow, text_rows
+from gridstone.llm.common import bound_arrow, free_name, text_rows
 
 U = np.uint64
 #: The byte-level pre-tokenizer's pattern, a fixed value of the format.
@@ -119,17 +119,22 @@ class Pieces:
 
 
 class Memo:
-    """Ids of pre-tokens under their 64-bit hashes, in an open-addressing table that starts anew when full."""
+    """Ids of pre-tokens in an open-addressing table that starts anew when full.
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int = 22):
-        self.encode, self.mask = encode, U((1 << bits) - 1)
+    An entry is found by the pre-token's hash (a worker draws its base) and counts only if its bytes
+    are the same; a pre-token whose hash another one holds is encoded without the table."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int = 22, hash_: K.Hash | None = None):
+        self.encode, self.mask, self.hash = encode, U((1 << bits) - 1), hash_ or K.Hash(K.fresh_key())
         self.clear()
 
     def clear(self) -> None:
         size = int(self.mask) + 1
         self.keys, self.slots = np.zeros(size, U), np.zeros(size, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
+        self.raw, self.n_raw = np.zeros(1 << 16, np.uint8), 0
         self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         out, left, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & self.mask
@@ -156,9 +161,37 @@ class Memo:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
+    def same(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, at: np.ndarray) -> bool:
+        """Whether all pre-tokens are those of their entries; up to SHORT bytes the hash holds all of them."""
+        if np.any(self.size[at] != size):
+            return False
+        eight = lambda x: np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,))
+        a, b = eight(data), eight(self.raw[: self.n_raw])
+        on = np.flatnonzero(size > K.SHORT)
+        mine, theirs, left = starts[on], self.at[at[on]], size[on]
+        long = left > 4096
+        for x, y, n in zip(mine[long].tolist(), theirs[long].tolist(), left[long].tolist(), strict=True):
+            if not np.array_equal(data[x : x + n], self.raw[y : y + n]):
+                return False
+        mine, theirs, left = mine[~long], theirs[~long], left[~long]
+        while len(left):
+            unused = (U(8) - np.minimum(left, 8).astype(U)) << U(3)
+            if np.any((a[mine] ^ b[theirs]) << unused):
+                return False
+            on = left > 8
+            mine, theirs, left = mine[on] + 8, theirs[on] + 8, left[on] - 8
+        return True
+
+    def each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Without the table."""
+        number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+        counts, ids = self.encode(list(number))
+        at = np.array([number[p] for p in pieces])
+        return counts[at], K.gather(ids, (np.cumsum(counts) - counts)[at], counts[at])
+
     def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each pre-token's number of ids, and all ids end to end."""
-        h = K.rolling(11).of_bytes(data, starts, ends) | U(1)
+        h = K.splitmix(self.hash.words(data, starts, ends) + U(1))
         at = self.find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing):
@@ -167,17 +200,25 @@ class Memo:
                 if self.n:
                     self.clear()
                     return self.ids_of(data, starts, ends)
-                self.__init__(self.encode, int(self.mask).bit_length() + 2)
+                self.__init__(self.encode, int(self.mask).bit_length() + 2, self.hash)
             where, raw = missing[first], data.tobytes()
-            counts, ids = self.encode([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            pieces = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            counts, ids = self.encode(pieces)
             self.ids = self._room(self.ids, self.n_ids + len(ids))
             self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.start, self.length = self._room(self.start, self.n + len(new)), self._room(self.length, self.n + len(new))
-            self.start[self.n : self.n + len(new)] = self.n_ids + np.cumsum(counts) - counts
-            self.length[self.n : self.n + len(new)] = counts
-            self.insert(new, np.arange(self.n, self.n + len(new), dtype=np.int32))
-            self.n, self.n_ids = self.n + len(new), self.n_ids + len(ids)
+            own = np.frombuffer(b"".join(pieces), np.uint8)
+            self.raw = self._room(self.raw, self.n_raw + len(own))
+            self.raw[self.n_raw : self.n_raw + len(own)] = own
+            size, n = (ends - starts)[where], self.n + len(new)
+            for name, values in (("start", self.n_ids + np.cumsum(counts) - counts), ("length", counts), ("at", self.n_raw + np.cumsum(size) - size), ("size", size)):
+                setattr(self, name, self._room(getattr(self, name), n))
+                getattr(self, name)[self.n : n] = values
+            self.insert(new, np.arange(self.n, n, dtype=np.int32))
+            self.n, self.n_ids, self.n_raw = n, self.n_ids + len(ids), self.n_raw + len(own)
             at[missing] = self.find(h[missing])
+        if not self.same(data, starts, ends - starts, at):
+            raw = data.tobytes()
+            return self.each([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         counts = self.length[at].astype(np.int64)
         return counts, K.gather(self.ids, self.start[at], counts)
 
@@ -414,11 +455,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, path: str) -> DataFrame:
-    """The documents with all their columns, ids (an array of integers) and n_tokens; the text is what the ids decode to."""
+    """The documents with all their columns, ids (an array of integers) and n_tokens; the text is what the ids decode to.
+
+    Where the documents have a column of such a name, it stays and the new one gets underscores before its name."""
     bound_arrow(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("ids", "n_tokens", "text")]
+    names = [c for c in docs.columns if c != "text"]
     kept = docs.select(*names, "text")
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    added = [free_name(docs, "ids"), free_name(docs, "n_tokens")]
+    schema = T.StructType([*kept.schema.fields, T.StructField(added[0], T.ArrayType(T.IntegerType())), T.StructField(added[1], T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, encoder = ready(path)
@@ -426,6 +470,6 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
             ids, at = encoder(*K.buffer(K.column(b, "text")))
             text = valid_text(*merges.decode(ids, at))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(K.column(b, c) for c in names), text, lists, pa.array(np.diff(at).astype(np.int64))], [*names, "text", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(K.column(b, c) for c in names), text, lists, pa.array(np.diff(at).astype(np.int64))], [*names, "text", *added])
 
     return kept.mapInArrow(run, schema)

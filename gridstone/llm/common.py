@@ -23,13 +23,20 @@ def bound_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where the session names none."""
+    """The folder that all executors see. Where the session names none, a local one for a local master, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("start the session with spark.checkpoint.dir: a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridstone-")
+    return _local[context.applicationId]
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -54,6 +61,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: A key with more rows is hot; so many hot keys are broadcast at once.
+HOT_ROWS, HOT_KEYS = 200_000, 100_000
+
+
+def join_by_counts(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with a written table of one row a key, whose column n counts the key's rows in `rows`.
+
+    Hot keys are broadcast, so that their rows stay where they are; as each has HOT_ROWS rows or more,
+    they are few. The others are shuffled."""
+    hot = table.filter(F.col("n") > HOT_ROWS).drop("n")
+    n = hot.count()
+    if not n:
+        return rows.join(table.drop("n"), on)
+    keys = hot.select(*on)
+    hint = F.broadcast if n <= HOT_KEYS else (lambda df: df)
+    cold = rows.join(hint(keys), on, "left_anti").join(table.filter(F.col("n") <= HOT_ROWS).drop("n"), on)
+    return cold.unionByName(rows.join(hint(hot), on))
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text is an empty one."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -1,24 +1,24 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions alone.
 
-A mask names the token positions of a span that count; the others may differ. The
-hashes of all masked spans of the benchmark form the seeds. Of a document's
-spans those that may be seeds (a Bloom filter of bounded size, as a literal, over
-64-bit hashes) go on with the tokens around them, are joined with the seeds and
-verified: along the diagonal of the hit at least MATCH of WINDOW consecutive
-tokens (of a shorter item all its tokens) must be equal. Seeds of a benchmark too
-large for the filter are joined without it. The documents' texts are not shuffled.
-
-Every pattern of equal tokens that verification accepts holds a whole mask of the
-item's length: items of 16 tokens or more have MASKS and MORE, shorter ones
-lighter masks (SHORT), the shortest are hashed whole. Masks for lengths that the
-benchmark does not have are not looked for. Places, and equal tokens of the best
-window, are those of hits by MASKS; the other masks' hits are used where an item
-has none of these.
-
-Edge cases: a null or empty text has no tokens, and an item without any (separators
-alone) is in no document; repeated rows of one doc_id give one row; rows
-without a doc_id or item_id are left out; extra columns are ignored; an empty
-table gives an empty one.
+A text and an item overlap where, on one diagonal, at least MATCH of the tokens of a
+window of the item (WINDOW consecutive tokens; all tokens of a shorter item) are
+equal. A mask names the token positions of a span that count; the others may
+differ. Masks are chosen by the item's length so that every pattern of equal tokens
+that counts as an overlap holds a whole mask: two masks of five tokens do for items
+of 15 tokens or more. So the overlaps found are all overlaps, whatever the masks.
+
+Each token is hashed once; the value of a masked span joins the hashes of its tokens
+by rotation and exclusive or. The values of the benchmark's spans are the seeds. Of a
+document's spans those that may be seeds (a Bloom filter of bounded size, as a
+literal) go on with the tokens around them, are joined with the seeds and verified
+token by token. Up to SEED_ROWS seeds are broadcast; more are dealt on the value and
+one of SALTS numbers, so that no value's spans are one task's. The documents' texts
+are not shuffled.
+
+Edge cases: a null or empty text, and an item of separators alone, has no tokens and
+no overlap; repeated rows of one doc_id give one row; rows without a doc_id or
+item_id are left out of the report, but `clean` judges rows without a doc_id by their texts;
+extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,12 +31,8 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.common import cut
 
-#: Token positions that count.
-MASKS = [(0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 6, 7, 9), (0, 2, 3, 5, 7, 8, 10)]
-#: With MASKS they cover three other tokens of 16.
-MORE = [(0, 1, 2, 5, 6, 7, 9), (0, 1, 4, 7, 8, 9, 10), (0, 1, 2, 3, 5, 7, 9)]
-#: For items of up to so many tokens the masks that cover the ceil(0.8 n) equal tokens of n.
-SHORT = {
+#: By the item's greatest length: token positions that count.
+MASKS = {
     1: [(0,)],
     2: [(0, 1)],
     3: [(0, 1, 2)],
@@ -46,51 +42,54 @@ SHORT = {
     9: [(0, 1, 2, 4, 5), (0, 1, 2, 3, 4)],
     11: [(0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4)],
     12: [(0, 1, 2, 4, 6, 7), (0, 1, 3, 7, 8, 9), (0, 1, 2, 3, 4, 5)],
-    14: [(0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8)],
-    15: [(0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10)],
+    14: [(0, 1, 2, 3, 5)],
+    16: [(0, 1, 2, 4, 5), (0, 1, 2, 3, 4)],
 }
 WINDOW, MATCH = 16, 0.8
 #: Bits of the filter a seed, probes, and the largest filter.
-FILTER_BITS, FILTER_PROBES, FILTER_MOST = 24, 3, 1 << 23
+FILTER_BITS, FILTER_PROBES, FILTER_MOST = 48, 3, 1 << 23
+#: Seeds that are broadcast (about 500 bytes each), and numbers that more seeds are dealt by.
+SEED_ROWS, SALTS = 100_000, 16
+#: Contaminated documents whose ids are broadcast, at 16 bytes each.
+IDS_ROWS = 1_000_000
 #: What separates tokens, as a class for Java's and DuckDB's expressions.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-
-REACH = max(m[-1] for m in MASKS)
-#: All masks by number, and the numbers of the masks for items of n tokens: the first whose length is not below n.
-EVERY = list(dict.fromkeys([*MASKS, *MORE, *(m for masks in SHORT.values() for m in masks)]))
-LENGTHS = [(n, [EVERY.index(m) for m in masks]) for n, masks in SHORT.items()]
-LONG = list(range(len(MASKS) + len(MORE)))
+#: All masks by number, and the numbers of the masks for items of at most n tokens.
+EVERY = list(dict.fromkeys(m for masks in MASKS.values() for m in masks))
+LENGTHS = [(n, [EVERY.index(m) for m in masks]) for n, masks in MASKS.items()]
+REACH = max(m[-1] for m in EVERY)
+#: Places around a hit that verification sees: so many before it and after the span.
+SPAN = 2 * WINDOW + REACH + 1
 
 
 def masks_of(n: int) -> list[int]:
-    """Numbers of the masks that an item of n tokens is looked for by; MASKS that fit are always among them."""
-    light = next((numbers for most, numbers in LENGTHS if n <= most), LONG)
-    return sorted({*light, *(i for i, m in enumerate(MASKS) if m[-1] < n)})
+    """Numbers of the masks that an item of n tokens is looked for by."""
+    return next(numbers for most, numbers in LENGTHS if min(n, WINDOW) <= most)
 
 
 def tokens(text: Column) -> Column:
-    """The parts between separators; a text that begins or ends with one has an empty token there."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+    """The parts between separators, without empty ones."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
 def value(number: int) -> Column:
     """The hash of the masked span that starts at the row's place; null if it ends beyond the text. The mask's number is part of it."""
-    mask = EVERY[number]
-    return F.when(F.col(f"t.{mask[-1]}").isNotNull(), F.xxhash64(F.lit(number), *(F.col(f"t.{p}") for p in mask)))
+    out = F.lit(number + 1).cast("long")
+    for k, p in enumerate(EVERY[number]):
+        t, turn = F.get("h", F.col("place") + p), 11 * k + 1
+        out = out.bitwiseXOR(F.shiftleft(t, turn).bitwiseOR(F.shiftrightunsigned(t, 64 - turn)))
+    return out
 
 
 def entries(rows: DataFrame, key: str, numbers: list[int], keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """key, n_tokens, mask, value, place, near (the tokens from `lead` before the place on) of each span of the masks `numbers` that `keep` keeps.
+    """key, n_tokens, mask, value, place, lead, near (the tokens from `lead` before the place on) of each span of the masks `numbers` that `keep` keeps.
 
-    A row of the exploded array holds the tokens at its place and after it, so
-    that hashing and filtering stay in generated code; the masks' values are
-    exploded before the test, which keeps that code small enough to be compiled.
-    """
+    Places and values are exploded, so that hashing and filtering stay in generated code, each small enough to be compiled."""
     words = rows.filter(F.col(key).isNotNull()).select(key, tokens(F.col("text")).alias("w"))
-    ahead = F.arrays_zip(*(F.expr(f"slice(w, {p + 1}, size(w))").alias(str(p)) for p in range(REACH + 1)))
-    at = words.select(key, "w", F.posexplode_outer(ahead).alias("place", "t"))
-    at = at.select(key, "w", "place", F.posexplode_outer(F.array(*map(value, numbers))).alias("mask", "value")).filter("value is not null")
+    hashed = words.select(key, "w", F.transform("w", lambda t: F.xxhash64(t)).alias("h"))
+    at = hashed.select(key, "w", "h", F.posexplode("h").alias("place", "t"))
+    at = at.select(key, "w", "place", F.posexplode(F.array(*map(value, numbers))).alias("mask", "value")).filter("value is not null")
     if keep is not None:
         at = at.filter(keep(F.col("value")))
     lead = F.least("place", F.lit(WINDOW))
@@ -99,15 +98,14 @@ def entries(rows: DataFrame, key: str, numbers: list[int], keep: Callable[[Colum
 
 
 def seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """item_id and the entries of the benchmark, and the numbers of the masks used; equal seeds of one item stand for each of their places.
-
-    An item shorter than the window has no empty tokens at its ends, so it is found within a text too."""
-    w = tokens(F.col("text"))
-    bare = F.regexp_replace("text", f"^{SEPARATORS}|{SEPARATORS}$", "")
-    items = benchmark.filter(F.exists(w, lambda t: t != "")).withColumn("text", F.when(F.size(w) < WINDOW, bare).otherwise(F.col("text")))
-    sizes = items.filter("item_id is not null").select(F.least(F.size(w), F.lit(WINDOW)).alias("n")).distinct().collect()  # at most WINDOW
+    """item_id and the entries of the benchmark, and the numbers of the masks used."""
+    size = F.size(tokens(F.col("text")))
+    items = benchmark.filter(F.col("item_id").isNotNull() & (size > 0))
+    sizes = items.select(F.least(size, F.lit(WINDOW)).alias("n")).distinct().collect()  # at most WINDOW
     by_length = {r["n"]: masks_of(r["n"]) for r in sizes}
-    numbers = sorted({*range(len(MASKS)), *(k for of in by_length.values() for k in of)})
+    numbers = sorted({k for of in by_length.values() for k in of})
+    if not numbers:
+        numbers = masks_of(WINDOW)
     rows = entries(items, "item_id", numbers).withColumn("mask", F.get(F.array(*map(F.lit, numbers)), F.col("mask")))
     own = F.lit(False)
     for n, of in by_length.items():
@@ -138,8 +136,33 @@ def filter_of(known: DataFrame) -> tuple[int, Column] | None:
     return bits, F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_hits, first_word, last_word (places of the first and last verified hit), most (equal tokens in the best window)."""
+def verified(hits: DataFrame) -> DataFrame:
+    """The hits with first, last (places in the text of the first and last token of windows that overlap) and most (equal tokens in the best one)."""
+    one = F.lit(1).cast("long")
+    # a bit for each place along the hit's diagonal where the tokens are equal
+    equal = lambda i: F.get("near", F.col("lead") + i - WINDOW) == F.get("seed_near", F.col("seed_lead") + i - WINDOW)
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(SPAN - 1)), F.lit(0).cast("long"), lambda a, i: F.when(equal(i), a.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(a))
+    # exploded, so that it is computed once a hit and not once a window
+    rows = hits.select("*", F.explode(F.array(same)).alias("same")).withColumn("width", F.least(F.lit(WINDOW), F.col("item_tokens")))
+    # windows that lie within the item, each by its place in the bits
+    low = F.greatest(F.lit(WINDOW) - F.col("seed_place"), F.lit(0))
+    high = F.least(F.lit(SPAN) - F.col("width"), F.col("item_tokens") - F.col("width") - F.col("seed_place") + WINDOW)
+    ones = F.call_function("shiftleft", one, F.col("width")) - 1
+    count = lambda k: F.bit_count(F.call_function("shiftright", F.col("same"), k).bitwiseAND(ones))
+    rows = rows.withColumn("windows", F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), count(k).alias("n"))))
+    rows = rows.withColumn("windows", F.filter("windows", lambda x: x["n"] >= F.ceil(F.col("width") * MATCH))).filter(F.size("windows") > 0)
+    at = lambda k: F.col("place") - WINDOW + k
+    return rows.select(
+        "doc_id",
+        "item_id",
+        F.greatest(at(F.get("windows", F.lit(0))["k"]), F.lit(0)).alias("first"),
+        F.least(at(F.element_at("windows", -1)["k"]) + F.col("width") - 1, F.col("n_tokens") - 1).alias("last"),
+        F.array_max(F.transform("windows", lambda x: x["n"])).alias("most"),
+    )
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS) -> DataFrame:
+    """doc_id, item_id, first_word, last_word (places of the first and last token of windows that overlap), most (equal tokens in the best one)."""
     known, numbers = seeds(benchmark)
     sieve = filter_of(known)
     if sieve is None:
@@ -147,25 +170,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         bits, words = sieve
         keep = lambda value: reduce(lambda a, b: a & b, (F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in probes(value, bits)))
-    found = entries(docs, "doc_id", numbers, keep).drop("n_tokens", "mask")
-    seed = known.select("item_id", "n_tokens", "mask", "value", F.col("lead").alias("seed_lead"), F.col("near").alias("seed_near"))
-    hits = found.join(seed, "value")
-    # a bit for each place along the hit's diagonal where the tokens are equal
-    span = 2 * WINDOW + REACH + 1
-    equal = lambda i: F.get("near", F.col("lead") + i - WINDOW) == F.get("seed_near", F.col("seed_lead") + i - WINDOW)
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(span - 1)), F.lit(0).cast("long"), lambda a, i: F.when(equal(i), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(a))
-    width = F.least(F.lit(WINDOW), F.col("n_tokens"))
-    # equal tokens in each window, of which the best counts
-    ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width")) - 1
-    sums = F.transform(F.sequence(F.lit(0), F.lit(span) - F.col("width")), lambda k: F.bit_count(F.call_function("shiftright", F.col("same"), k).bitwiseAND(ones)))
-    checked = hits.select("doc_id", "item_id", "place", (F.col("mask") < len(MASKS)).alias("first"), same.alias("same"), width.alias("width"), F.ceil(width * MATCH).alias("need")).withColumn("most", F.array_max(sums))
-    of = lambda agg, c: F.coalesce(agg(F.when(F.col("first"), F.col(c))), agg(c)).cast("long")
-    n_hits = F.when(F.bool_or("first"), F.count_distinct(F.when(F.col("first"), F.col("place")))).otherwise(F.count_distinct("place"))
-    return (
-        checked.filter(F.col("most") >= F.col("need"))
-        .groupBy("doc_id", "item_id")
-        .agg(n_hits.alias("n_hits"), of(F.min, "place").alias("first_word"), of(F.max, "place").alias("last_word"), of(F.max, "most").alias("most"))
-    )
+    found = entries(docs, "doc_id", numbers, keep).drop("mask")
+    seed = known.select("value", "item_id", F.col("n_tokens").alias("item_tokens"), F.col("place").alias("seed_place"), F.col("lead").alias("seed_lead"), F.col("near").alias("seed_near"))
+    if known.count() <= seed_rows:
+        hits = found.join(F.broadcast(seed), "value")
+    else:
+        salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int"))
+        hits = salted.join(seed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["value", "salt"])
+    out = verified(hits).groupBy("doc_id", "item_id").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.max("most").alias("most"))
+    return out.select("doc_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("first_word", "last_word", "most")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,34 +187,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a verified overlap, with all their columns."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id"), "doc_id", "left_anti")
-
-
-def _sql() -> str:
-    def masked(mask: tuple[int, ...]) -> str:
-        return " || ' ' || ".join(f"w[k + {p}]" for p in mask)
-
-    def entry(table: str, key: str) -> str:
-        parts = (f"SELECT {key}, w, k, {i} AS mask, {masked(m)} AS value FROM (SELECT {key}, w, unnest(range(1, len(w) - {m[-1]} + 1)) AS k FROM {table} WHERE len(w) > {m[-1]})" for i, m in enumerate(MASKS))
-        return " UNION ALL ".join(parts)
-
-    token = f"regexp_split_to_array(lower(coalesce(text, '')), '{SEPARATORS}')"
-    return rf"""
-        WITH d AS (SELECT doc_id, {token} AS w FROM documents), b AS (SELECT item_id, {token} AS w FROM benchmark),
-        ds AS ({entry("d", "doc_id")}), bs AS ({entry("b", "item_id")}),
-        pairs AS (
-            SELECT ds.doc_id, bs.item_id, ds.k, ds.w AS dw, bs.k AS bk, bs.w AS bw, least({WINDOW}, len(bs.w)) AS width
-            FROM ds JOIN bs USING (mask, value)
-        ), best AS (
-            SELECT doc_id, item_id, k, CAST(ceil(width * {MATCH}) AS BIGINT) AS need,
-                   list_max(list_transform(range(-{WINDOW}, {WINDOW + REACH} - width + 2), lambda s:
-                       len(list_filter(range(s, s + width), lambda o: k + o >= 1 AND bk + o >= 1 AND dw[k + o] = bw[bk + o])))) AS most
-            FROM pairs
-        )
-        SELECT doc_id, count(DISTINCT item_id) AS n_items, min(k) - 1 AS first_word, max(k) - 1 AS last_word, max(most) AS most
-        FROM best WHERE most >= need GROUP BY doc_id
-    """
-
-
-SQL = _sql()
+    """The documents without an overlap, with all their columns; rows without a doc_id are judged by their texts."""
+    bad = cut(overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    few = bad.count() <= IDS_ROWS
+    kept = docs.filter("doc_id is not null").join(F.broadcast(bad) if few else bad, "doc_id", "left_anti").select(*docs.columns)
+    bare = docs.filter("doc_id is null")
+    if bare.isEmpty():
+        return kept
+    texts = bare.select(F.col("text").alias("doc_id"), "text").distinct()
+    found = overlaps(texts, benchmark).select(F.col("doc_id").alias("text")).distinct()
+    return kept.unionByName(bare.join(found, "text", "left_anti").select(*docs.columns))
+
+
+#: Every diagonal with three equal tokens in a row is looked at (two for items of fewer than 12 tokens, one below 6); no mask is used.
+SQL = rf"""
+    WITH d AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEPARATORS}'), lambda t: t <> '') AS w FROM documents
+    ), b AS (
+        SELECT item_id, w, len(w) AS n, least({WINDOW}, len(w)) AS width, CASE WHEN len(w) >= 14 THEN 3 WHEN len(w) >= 6 THEN 2 ELSE 1 END AS run
+        FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEPARATORS}'), lambda t: t <> '') AS w FROM benchmark WHERE item_id IS NOT NULL)
+        WHERE len(w) > 0
+    ), bs AS (
+        SELECT item_id, run, k, array_to_string(w[k : k + run - 1], ' ') AS g FROM (SELECT item_id, w, run, unnest(range(1, n - run + 2)) AS k FROM b)
+    ), ds AS (
+        SELECT doc_id, run, k, array_to_string(w[k : k + run - 1], ' ') AS g
+        FROM (SELECT doc_id, w, run, unnest(range(1, len(w) - run + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT run FROM b) r WHERE len(w) >= run AND doc_id IS NOT NULL)
+    ), diagonals AS (
+        SELECT DISTINCT doc_id, item_id, ds.k - bs.k AS shift FROM ds JOIN bs USING (run, g)
+    ), windows AS (
+        SELECT doc_id, item_id, shift, d.w AS dw, b.w AS bw, b.width, unnest(range(1, b.n - b.width + 2)) AS s
+        FROM diagonals JOIN d USING (doc_id) JOIN b USING (item_id)
+    ), counted AS (
+        SELECT doc_id, item_id, width, s + shift - 1 AS place, len(dw) AS n_doc,
+               len(list_filter(range(s, s + width), lambda i: i + shift >= 1 AND dw[i + shift] = bw[i])) AS n
+        FROM windows
+    )
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, CAST(min(greatest(place, 0)) AS BIGINT) AS first_word,
+           CAST(max(least(place + width, n_doc) - 1) AS BIGINT) AS last_word, CAST(max(n) AS BIGINT) AS most
+    FROM counted WHERE n >= ceil(width * {MATCH}) GROUP BY doc_id
+"""

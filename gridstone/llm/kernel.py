@@ -7,6 +7,8 @@ found for all documents of a chunk at once.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,44 +61,90 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Rolling:
-    """Polynomial hashes modulo 2^64 of any spans of a sequence, from one prefix sum.
+#: The Mersenne prime of all hashes: sums and products stay exact in 64-bit numbers.
+PRIME = (1 << 61) - 1
+_M = U(PRIME)
+#: A word of up to SHORT bytes is its own value; one of more than LONG bytes is hashed by keyed BLAKE2b.
+SHORT, LONG = 7, 112
 
-    The base is odd, so each power has an inverse and a span's value does not
-    depend on where it stands; the result is mixed. Two instances with other
-    seeds give independent values.
-    """
 
-    def __init__(self, seed: int):
-        r = splitmix(np.arange(1, 260, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
-        self.of_byte, self.base, self.salt = r[:256] | U(1), int(r[256]) | 3, r[257]
-        self.inverse = pow(self.base, -1, 1 << 64)
+def fresh_key() -> int:
+    """A random base. The driver draws it for what tasks must agree on, a worker for what it keeps to itself:
+    as nobody knows it when texts are written, two different words of n bytes have one hash with a
+    probability of at most n / 7 in 2^61, whatever the words are."""
+    return secrets.randbelow(PRIME - (1 << 32)) + (1 << 31)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _M) + (x >> U(61))
+    return np.where(x >= _M, x - _M, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo PRIME of values below it."""
+    low, half = U(0xFFFFFFFF), U(32)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a1 * b0 + a0 * b1
+    x = a0 * b0
+    out = ((a1 * b1) << U(3)) + (mid >> U(29)) + ((mid & U((1 << 29) - 1)) << half) + (x & _M) + (x >> U(61))
+    return _reduce(out)
+
+
+def prefix_sums(x: np.ndarray) -> np.ndarray:
+    """Sums modulo PRIME of the values before each place."""
+    out = np.zeros(len(x) + 1, U)
+    low, high = np.cumsum(x & U(0xFFFFFFFF)), np.cumsum(x >> U(32))
+    out[1:] = _reduce((low & _M) + (low >> U(61)) + (high >> U(29)) + ((high & U((1 << 29) - 1)) << U(32)))
+    return out
+
+
+class Hash:
+    """Polynomial (Rabin-Karp) hashes modulo PRIME of words and of windows of words, by a secret base."""
+
+    def __init__(self, key: int):
+        self.key, self.base = key, U(key)
+        self.inverse = pow(key, -1, PRIME)
         self.up = self.down = np.ones(1, U)
 
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Values of the words data[start:end]: of words of up to SHORT bytes different for different words."""
+        size = ends - starts
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+        def block(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return eight[at] & ((U(1) << (n.astype(U) << U(3))) - U(1))
+
+        out = block(starts, np.minimum(size, SHORT)) | (np.minimum(size, SHORT).astype(U) << U(56))
+        on = np.flatnonzero((size > SHORT) & (size <= LONG))
+        if len(on):
+            acc, at, left = out[on] ^ U(1 << 60), starts[on] + SHORT, size[on] - SHORT
+            while len(on):
+                n = np.minimum(left, SHORT)
+                acc = _reduce(mulmod(acc, self.base) + block(at, n) + (n.astype(U) << U(56)))
+                left, at = left - n, at + n
+                out[on] = acc
+                more = left > 0
+                on, acc, at, left = on[more], acc[more], at[more], left[more]
+        for i in np.flatnonzero(size > LONG).tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=self.key.to_bytes(8, "little")).digest(), "little") % PRIME
+        return out
+
     def _grow(self, n: int) -> None:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U(pow(self.inverse, k, 1 << 64))])
+            self.up = np.concatenate([self.up, mulmod(self.up, U(pow(self.key, k, PRIME)))])
+            self.down = np.concatenate([self.down, mulmod(self.down, U(pow(self.inverse, k, PRIME)))])
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, U)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
+        return prefix_sums(mulmod(values, self.up[: len(values)]))
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return splitmix((prefix[ends] - prefix[starts]) * self.down[starts] + self.salt)
-
-    def of_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.spans(self.prefix(self.of_byte[data]), starts, ends)
-
-
-_rolling: dict[int, Rolling] = {}
-
-
-def rolling(seed: int) -> Rolling:
-    return _rolling.setdefault(seed, Rolling(seed))
+        """Hashes of the values from start to end, wherever they stand."""
+        difference = prefix[ends] + (_M - prefix[starts])
+        return mulmod(np.where(difference >= _M, difference - _M, difference), self.down[starts])
 
 
 def in_class(data: np.ndarray, *spans: tuple[int, int]) -> np.ndarray:
@@ -123,13 +171,16 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def windows(word_hash: np.ndarray, first: np.ndarray, k: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def window_starts(first: np.ndarray, k: int) -> np.ndarray:
+    """The words where the windows of k words of one document start."""
+    count = np.maximum(np.diff(first) - k + 1, 0)
+    return np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
+
+def windows(h: Hash, values: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all windows of k words of one document, and the words where they start."""
-    n = np.diff(first)
-    count = np.maximum(n - k + 1, 0)
-    at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    r = rolling(seed)
-    return r.spans(r.prefix(word_hash), at, at + k), at
+    at = window_starts(first, k)
+    return h.spans(h.prefix(values), at, at + k), at
 
 
 def covered(n: int, at: np.ndarray, k: int) -> np.ndarray:

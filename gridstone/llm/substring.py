@@ -2,10 +2,14 @@
 
 Equal windows have equal minimizers (the smallest hash of their 8-word parts),
 so a first count over minimizers, a few per cent of the windows, tells which
-windows can occur in two documents at all; only those windows' 64-bit hashes are
+windows can occur in two documents at all; only those windows' hashes are
 counted. Each hash's smallest document keeps the window; in the others the
 covered words, merged to maximal intervals, are removed.
 
+A window has two hashes modulo 2^61 - 1 under two bases that the driver draws for
+the run. Two different windows of n bytes share both with a probability of at most
+((n / 7 + 50) / 2^61)^2, about 10^-32 for 350 bytes, whatever the texts are.
+
 Edge cases: a null or empty text has no words; a text of fewer words than a
 window keeps all; a window repeated in one document alone stays; rows with one
 doc_id count as one document and lose nothing to each other; a row without a
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstone.llm import kernel as K
-from gridstone.llm.common import bound_arrow, cut, text_rows
+from gridstone.llm.common import bound_arrow, cut, free_name, join_by_counts, text_rows
 
 U = np.uint64
 WINDOW, PART = 50, 8
@@ -41,17 +45,18 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a chunk of texts: their bytes, places, hashes and documents."""
+    """The words of a chunk of texts: their bytes, places, documents and values under two secret bases."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, keys: tuple[int, int]):
         self.data, self.offsets = K.buffer(K.column(batch, "text"))
         self.starts, self.ends, self.first = K.runs(~K.is_space(self.data), self.offsets)
-        self.hash = K.rolling(3).of_bytes(self.data, self.starts, self.ends)
+        self.hashes = [K.Hash(k) for k in keys]
+        self.values = [h.words(self.data, self.starts, self.ends) for h in self.hashes]
 
     def minimizers(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all windows: the minimizer, the first word, the document."""
         part = min(PART, window)
-        low, at = K.windows(self.hash, self.first, part, 5)
+        low, at = K.windows(self.hashes[0], self.values[0], self.first, part)
         size = np.maximum(np.diff(self.first) - part + 1, 0)
         span = window - part + 1
         if len(low) < span:
@@ -61,88 +66,110 @@ class Words:
         own = doc[: len(low)] == doc[span - 1 :]
         return low[own], at[own], doc[: len(low)][own]
 
+    def windows(self, at: np.ndarray, window: int) -> list[np.ndarray]:
+        """Both hashes of the windows that start at the words `at`."""
+        return [h.spans(h.prefix(v), at, at + window) for h, v in zip(self.hashes, self.values, strict=True)]
+
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     """doc_ids; rows without one are dropped before."""
     return K.column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pairs(keys: np.ndarray, docs: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Distinct pairs."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(docs[new])], names)
+def _distinct(docs: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Places of one row for each (keys, document)."""
+    order = np.lexsort((docs, keys[0]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (docs, *keys)])
+    return order[new]
+
 
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-def minimizer_rows(docs: DataFrame, window: int) -> DataFrame:
+
+def minimizer_rows(docs: DataFrame, window: int, keys: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
-            low, _, doc = Words(b).minimizers(window)
+            low, _, doc = Words(b, keys).minimizers(window)
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-            yield _pairs(low[new], _ids(b)[doc[new]], ["low", "doc_id"])
+            low, ids = low[new], _ids(b)[doc[new]]
+            one = _distinct(ids, low)
+            yield pa.RecordBatch.from_arrays([_signed(low[one]), pa.array(ids[one])], ["low", "doc_id"])
 
     return docs.mapInArrow(run, "low long, doc_id long")
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All values of a list column with the row of each; null lists are empty."""
     n = np.diff(column.offsets.to_numpy())
     if column.null_count:
         n = np.where(column.is_valid().to_numpy(zero_copy_only=False), n, 0)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U), np.repeat(np.arange(len(n)), n)
+    return column.flatten(), np.repeat(np.arange(len(n)), n)
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(U)
 
 
-def _among(keys: np.ndarray, doc: np.ndarray, of: np.ndarray, of_doc: np.ndarray) -> np.ndarray:
-    """Which (key, document) are among (of, of_doc)."""
-    salt = lambda k, d: K.splitmix(k ^ (d.astype(U) * U(0x9E3779B97F4A7C15)))
-    some = np.sort(salt(of, of_doc))
-    if not len(some):
-        return np.zeros(len(keys), bool)
-    x = salt(keys, doc)
-    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+def _among(doc: np.ndarray, keys: list[np.ndarray], of_doc: np.ndarray, of: list[np.ndarray]) -> np.ndarray:
+    """Which (document, keys) are among (of_doc, of)."""
+    mixed = lambda d, k: K.splitmix(k[0] ^ (d.astype(U) * U(0x9E3779B97F4A7C15)))
+    if not len(of_doc):
+        return np.zeros(len(doc), bool)
+    some = mixed(of_doc, of)
+    order = np.argsort(some)
+    x = mixed(doc, keys)
+    at = order[np.minimum(np.searchsorted(some, x, sorter=order), len(some) - 1)]
+    return np.logical_and.reduce([of_doc[at] == doc, *(b[at] == a for a, b in zip(keys, of, strict=True))])
 
 
-def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """The windows whose minimizer is in the row's lists `own` or `shared`: hash, doc_id, and whether it is of `shared`."""
+def window_rows(docs: DataFrame, window: int, keys: tuple[int, int]) -> DataFrame:
+    """The windows whose minimizer is in the row's lists `own` or `shared`: both hashes, doc_id, and whether it is of `shared`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
-            w = Words(b)
+            w = Words(b, keys)
             low, at, doc = w.minimizers(window)
-            r = K.rolling(7)
-            prefix = r.prefix(w.hash)
             for name in ("own", "shared"):
-                on = _among(low, doc, *_lists(K.column(b, name)))
-                rows = _pairs(r.spans(prefix, at[on], at[on] + window), _ids(b)[doc[on]], ["h", "doc_id"])
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, name == "shared"))], ["h", "doc_id", "later"])
+                values, of_doc = _lists(K.column(b, name))
+                on = _among(doc, [low], of_doc, [_unsigned(values)])
+                h, ids = w.windows(at[on], window), _ids(b)[doc[on]]
+                one = _distinct(ids, *h)
+                yield pa.RecordBatch.from_arrays([*(_signed(x[one]) for x in h), pa.array(ids[one]), pa.array(np.full(len(one), name == "shared"))], ["h", "g", "doc_id", "later"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, later boolean")
+    return docs.mapInArrow(run, "h long, g long, doc_id long, later boolean")
 
 
-def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removals(docs: DataFrame, window: int, keys: tuple[int, int]) -> DataFrame:
     """doc_id and the hashes of its windows that start in a smaller document too.
 
     A document that is the first with a minimizer loses none of its windows; they
     are counted, but only those of later documents are joined with the counts."""
     known = docs.filter("doc_id is not null")
-    lows = cut(minimizer_rows(known, window), "windows-low")
-    shared = lows.groupBy("low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("low", "first")
+    lows = cut(minimizer_rows(known, window, keys), "windows-low")
+    counted = lows.groupBy("low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = cut(counted.filter("first < last").select("low", "first", "n"), "windows-shared")
     first = F.col("doc_id") == F.col("first")
-    may = lows.join(shared, "low").groupBy("doc_id").agg(F.collect_set(F.when(first, F.col("low"))).alias("own"), F.collect_set(F.when(~first, F.col("low"))).alias("shared"))
-    rows = cut(window_rows(known.join(may, "doc_id"), window), "windows")
-    firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first"))
-    return rows.filter("later").join(firsts, "h").filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    may = join_by_counts(lows, shared, ["low"]).groupBy("doc_id").agg(F.collect_set(F.when(first, F.col("low"))).alias("own"), F.collect_set(F.when(~first, F.col("low"))).alias("shared"))
+    rows = cut(window_rows(known.join(may, "doc_id"), window, keys), "windows")
+    firsts = rows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count_if("later").alias("n")).filter("n > 0")
+    later = join_by_counts(rows.filter("later").drop("later"), cut(firsts, "windows-first"), ["h", "g"])
+    return later.filter("first < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
 
 
-def edited(batch: pa.RecordBatch, window: int, gone_column: str = "gone") -> list[pa.Array]:
+def edited(batch: pa.RecordBatch, window: int, keys: tuple[int, int], gone_column: str = "gone") -> list[pa.Array]:
     """n_words, n_removed, kept of each text."""
-    w = Words(batch)
-    h, at = K.windows(w.hash, w.first, window)
+    w = Words(batch, keys)
+    values, of_doc = _lists(K.column(batch, gone_column))
+    some = np.zeros(batch.num_rows, bool)
+    some[of_doc] = True
+    at = K.window_starts(w.first, window)
     doc = np.searchsorted(w.first, at, side="right") - 1
-    gone = K.covered(len(w.starts), at[_among(h, doc, *_lists(K.column(batch, gone_column)))], window)
+    at, doc = at[some[doc]], doc[some[doc]]
+    on = _among(doc, w.windows(at, window), of_doc, [_unsigned(x) for x in values.flatten()]) if len(at) else np.zeros(0, bool)
+    gone = K.covered(len(w.starts), at[on], window)
     n_gone = K.per_doc(gone, w.first)
     size = (w.ends - w.starts + 1)[~gone]
     kept = K.gather(np.append(w.data, np.uint8(32)), w.starts[~gone], size)  # each word with what follows it
@@ -160,12 +187,13 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, one space between)."""
     bound_arrow(docs.sparkSession)
     docs = text_rows(docs)
+    keys = K.fresh_key(), K.fresh_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
-            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), *edited(b, window)], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), *edited(b, window, keys)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(removals(docs, window), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.join(removals(docs, window, keys), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -174,21 +202,24 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows that lose all their words go; other texts stay as they are."""
     bound_arrow(docs.sparkSession)
     names = docs.columns
-    gone = removals(text_rows(docs), window).withColumnRenamed("gone", "__gone")
+    keys = K.fresh_key(), K.fresh_key()
+    gone_name, kept_name, removed_name = (free_name(docs, c) for c in ("gone", "kept", "removed"))
+    gone = removals(text_rows(docs), window, keys).withColumnRenamed("gone", gone_name)
     rows = docs.join(gone, "doc_id", "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__kept", T.StringType()), T.StructField("__removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(kept_name, T.StringType()), T.StructField(removed_name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
-            _, n_gone, kept = edited(b, window, "__gone")
-            yield pa.RecordBatch.from_arrays([*(K.column(b, c) for c in names), kept, n_gone], [*names, "__kept", "__removed"])
+            _, n_gone, kept = edited(b, window, keys, gone_name)
+            yield pa.RecordBatch.from_arrays([*(K.column(b, c) for c in names), kept, n_gone], [*names, kept_name, removed_name])
 
-    out = rows.select(*names, "__gone").mapInArrow(run, schema).filter("__removed = 0 or __kept <> ''")
-    text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    out = rows.select(*names, gone_name).mapInArrow(run, schema)
+    kept, cut_short = F.col(kept_name), F.col(removed_name) > 0
+    out = out.filter(~cut_short | (kept != ""))
+    changed = {"text": F.when(cut_short, kept).otherwise(F.col("text"))}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        changed["n_chars"] = F.when(cut_short, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:
