@@ -1,18 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the 5-byte pieces of the lower-cased words (with the blank before), of
-which the labelled examples of toxic texts hold significantly more; they are
-chosen, weighted and indexed from a bounded sample of labelled documents (SAMPLE,
-those of smallest hash). The index keeps each term's postings by blocks of
-documents with the block's largest weight; a query visits blocks by their upper
-bounds until none can enter its K nearest. Votes weighted by distance are
+Terms are all lower-cased words (runs of digits, letters and signs beyond ASCII) of a
+bounded sample of labelled documents (SAMPLE, those of smallest hash): none is left out.
+A term weighs (1 + log tf) * idf, its idf counted over all documents, times FLOOR plus its
+lift: how much likelier, drawn towards even by SHRINK examples, a sampled text that
+holds it is toxic (0 for terms that are not). The lift keeps a few telling words of a long text from drowning in the rest of it.
+The index keeps each term's postings by blocks of examples, with the block's
+largest weight; a query visits blocks by their upper bounds until none can enter its
+NEIGHBOURS nearest, so the neighbours are the exact ones. Votes weighted by distance are
 calibrated on the sample (each example without itself) by pooled isotonic steps.
 
 Only texts and the labels of the rows that are not held out are used; labels, language,
-source and doc_id are no inputs of a score. Edge cases: a null or empty text, or one without any
-term, gets the calibrated rate of examples without a neighbour; without toxic
+source and doc_id are no inputs of a score. Terms that no sampled text has are in no example and
+count for nothing. Edge cases: a null or empty text, or one without any
+term of the sample, gets the calibrated rate of examples without a neighbour; without toxic
 examples every score is that rate; equal texts get equal scores; repeated label
-rows count once (toxic if any is); a null doc_id is never held out nor learned from; extra
+rows count once (toxic if any is), of repeated rows of a document the text that comes first in order is learned from; a null doc_id is never held out nor learned from; extra
 columns are ignored; an empty table gives an empty one.
 """
 
@@ -26,97 +29,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm import kernel as K
-from gridstone.llm.common import bound_arrow, text_rows
+from gridstone.llm.common import bound_arrow, cut, text_rows
 
 U = np.uint64
-#: Bounds of what is learned from: documents, terms.
-SAMPLE, TERMS = 8192, 512
-PIECE, NEIGHBOURS, BLOCK = 5, 15, 64
-#: Least log-likelihood ratio of a term and least share of toxic texts among those that hold it.
-LEAST_G, LEAST_SHARE = 20.0, 0.5
+#: Bound of what is learned from: labelled documents.
+SAMPLE = 8192
+NEIGHBOURS, BLOCK = 15, 64
+FLOOR, SHRINK = 0.05, 20
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed 5-byte pieces of the words of all texts, and the text of each."""
+def counted(data: np.ndarray, offsets: np.ndarray, h: K.Hash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word and number of times of each word of each text, by text and word."""
     lower = data + 32 * K.in_class(data, (65, 90)).astype(np.uint8)
-    letter = K.in_class(lower, (48, 57), (97, 122), (128, 255))
-    sign = np.where(letter, lower, np.uint8(32)).astype(U)
-    n = len(data)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    packed = sign.copy()
-    inner = np.ones(n, bool)  # no blank but the first sign
-    for k in range(1, PIECE):
-        back = np.full(n, 32, U)
-        back[k:] = sign[:-k]
-        back[place < k] = 32
-        packed |= back << U(8 * k)
-        if k < PIECE - 1:
-            inner &= back != 32
-    on = np.flatnonzero(inner & letter)
-    return packed[on], np.searchsorted(offsets, on, side="right") - 1
-
-
-def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """piece, text and count of each piece of each text."""
-    key, doc = pieces(data, offsets)
-    both = key << U(24) | doc.astype(U)
-    both, n = np.unique(both, return_counts=True)
-    return both >> U(24), (both & U(0xFFFFFF)).astype(np.int64), n
-
-
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """piece, toxic, clean: how many of the sample's texts hold it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches):
-            key, doc, _ = distinct(*K.buffer(K.column(b, "text")))
-            toxic = K.column(b, "toxic").to_numpy(zero_copy_only=False)[doc] > 0
-            names, at = np.unique(key, return_inverse=True)
-            n, t = np.bincount(at, minlength=len(names)), np.bincount(at, weights=toxic, minlength=len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(t), pa.array((n - t).astype(np.int64))], ["piece", "toxic", "clean"])
-
-    return sample.mapInArrow(run, "piece long, toxic long, clean long").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    starts, ends, first = K.runs(K.in_class(lower, (48, 57), (97, 122), (128, 255)), offsets)
+    word = h.words(lower, starts, ends).view(np.int64)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    order = np.lexsort((word, doc))
+    word, doc = word[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])) if len(word) else np.zeros(0, np.int64)
+    return doc[new], word[new], np.diff(np.append(new, len(word)))
 
 
 class Vocabulary:
-    """The chosen pieces in order, and their weights."""
+    """The sample's words in order, and their weights."""
 
-    def __init__(self, keys: np.ndarray, idf: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.idf = keys[order].astype(U), idf[order]
-        self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[self._slot(self.keys)] = True
+    def __init__(self, words: np.ndarray, weight: np.ndarray):
+        self.words, self.weight = words, weight
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.int64)
+    def places(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are among the words, and where."""
+        if not len(self.words):
+            return np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return self.words[at] == word, at
 
-    def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(self, doc: np.ndarray, word: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms and unit weights of all texts end to end, and each text's first."""
-        key, doc = pieces(data, offsets)
-        n = len(offsets) - 1
-        if len(self.keys):
-            may = np.flatnonzero(self.sieve[self._slot(key)])
-            key, doc = key[may], doc[may]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            on = self.keys[at] == key
-            at, doc = at[on], doc[on]
-        else:
-            at = doc = np.zeros(0, np.int64)
-        both, count = np.unique(doc * TERMS + at, return_counts=True)
-        doc, term = both // TERMS, both % TERMS
-        w = (1 + np.log(count)) * self.idf[term] if len(term) else np.zeros(0)
-        norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n)[:n])
-        first = np.searchsorted(doc, np.arange(n + 1))
-        return term, w / norm[doc] if len(w) else w, first
+        on, at = self.places(word)
+        doc, term, n = doc[on], at[on], n[on]
+        w = (1 + np.log(n)) * self.weight[term]
+        norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=texts)[:texts]) if len(doc) else np.zeros(texts)
+        on = norm[doc] > 0 if len(doc) else np.zeros(0, bool)
+        doc, term, w = doc[on], term[on], w[on]
+        return term, w / norm[doc] if len(w) else w, np.searchsorted(doc, np.arange(texts + 1))
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + length of all pairs, end to end."""
+    to = np.cumsum(lengths)
+    return np.repeat(starts - (to - lengths), lengths) + np.arange(int(to[-1]) if len(to) else 0)
 
 
 class Index:
-    """Postings by term and block, and the blocks' largest weights."""
+    """Postings by term and block, and each one's largest weight in each block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
         # texts of one leading term stand together, which keeps the blocks' bounds low
@@ -127,32 +96,41 @@ class Index:
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         doc = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
         by = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[by], doc[by], weight[by]
-        self.start = np.searchsorted(term * self.blocks + self.doc // BLOCK, np.arange(TERMS * self.blocks + 1))
-        self.most = np.zeros((TERMS, self.blocks))
-        np.maximum.at(self.most, (term, self.doc // BLOCK), self.weight)
+        term, self.doc, self.weight = term[by], doc[by].astype(np.int32), weight[by]
+        part = term * self.blocks + self.doc // BLOCK
+        self.lo = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.lo, len(part)))
+        self.block = (part[self.lo] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, self.lo) if len(part) else np.zeros(0)
+        terms = int(term[-1]) + 1 if len(term) else 0
+        self.first = np.searchsorted(term[self.lo], np.arange(terms + 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties by place) and their cosines."""
-        bound = weight @ self.most[term]
-        best_doc, best = np.zeros(0, np.int64), np.zeros(0)
+        own = term < len(self.first) - 1
+        term, weight = term[own], weight[own]
+        n = self.first[term + 1] - self.first[term]
+        entry = _ranges(self.first[term], n)
+        w, block = np.repeat(weight, n), self.block[entry]
+        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        for b in order:
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
+        best_doc, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
+        while done < len(order):
+            top = bound[order[done]]
+            if top <= 0 or (len(best) == k and top < best[-1] - 1e-12):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                i = t * self.blocks + b
-                lo, hi = self.start[i], self.start[i + 1]
-                if lo < hi:
-                    score[self.doc[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            on = np.flatnonzero(score > 0)
-            docs, s = on + b * BLOCK, score[on]
-            if without >= 0:
-                docs, s = docs[docs != without], s[docs != without]
-            best_doc, best = np.concatenate([best_doc, docs]), np.concatenate([best, s])
-            top = np.lexsort((best_doc, -np.round(best, 9)))[:k]
-            best_doc, best = best_doc[top], best[top]
+            visit = np.zeros(self.blocks, bool)
+            visit[order[done : done + step]] = True
+            on = np.flatnonzero(visit[block])
+            size = self.size[entry[on]]
+            at = _ranges(self.lo[entry[on]], size)
+            score = np.bincount(self.doc[at], weights=np.repeat(w[on], size) * self.weight[at], minlength=self.n)
+            docs = np.flatnonzero(score > 0)
+            docs = docs[docs != without]
+            best_doc, best = np.concatenate([best_doc, docs]), np.concatenate([best, score[docs]])
+            keep = np.lexsort((best_doc, -np.round(best, 9)))[:k]
+            best_doc, best = best_doc[keep], best[keep]
+            done, step = done + step, step * 2
         return best_doc, best
 
     def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
@@ -165,18 +143,18 @@ class Index:
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
-        self.vocabulary = vocabulary
-        some = [i for i, v in enumerate(vectors) if len(v[0])]
-        self.index = Index([vectors[i] for i in some], labels[some], ids[some])
-        place = {int(d): p for p, d in enumerate(self.index.ids)}
-        votes = [self.index.vote(*vectors[i], without=place[int(ids[i])])[0] for i in some]
-        none = np.ones(len(labels), bool)
-        none[some] = False
-        alone = np.array(votes) < 0 if votes else np.zeros(0, bool)
-        bare = np.concatenate([labels[none], labels[some][alone]])
-        self.bare = float((bare.sum() + 0.5) / (len(bare) + 2.0)) if len(bare) else 0.0
-        self.edges, self.values = isotonic(np.array(votes)[~alone], labels[some][~alone].astype(float))
+    """Vocabulary and index, and how votes become scores."""
+
+    def __init__(self, vocabulary: Vocabulary, index: Index, key: int):
+        self.vocabulary, self.index, self.key = vocabulary, index, key
+        self.edges = self.values = np.zeros(0)
+        self.bare = 0.0
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """By the votes on the examples, each without itself."""
+        alone = votes < 0
+        self.bare = float((toxic[alone].sum() + 0.5) / (alone.sum() + 2.0)) if len(votes) else 0.0
+        self.edges, self.values = isotonic(votes[~alone], toxic[~alone].astype(float))
 
     def score(self, vote: float) -> float:
         if vote < 0 or not len(self.edges):
@@ -202,60 +180,99 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """doc_id, text, toxic of at most `size` labelled documents that are not held out."""
+    """doc_id, toxic, text of at most `size` labelled documents that are not held out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return text_rows(docs).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    return text_rows(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def chosen(counts: DataFrame, n_toxic: int, n_clean: int) -> Vocabulary:
-    """The terms with the largest log-likelihood ratios."""
-    n = n_toxic + n_clean
-    t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    held = t + c
-    g = 2 * (part(t, held * n_toxic / n) + part(c, held * n_clean / n) + part(n_toxic - t, (n - held) * n_toxic / n) + part(n_clean - c, (n - held) * n_clean / n))
-    rows = counts.filter((t >= LEAST_SHARE * held) & (held < n)).withColumn("g", F.round(g, 6)).filter(F.col("g") >= LEAST_G)
-    top = rows.orderBy(F.desc("g"), "piece").limit(TERMS).select("piece", (F.col("toxic") + F.col("clean")).alias("df")).toPandas()
-    return Vocabulary(top["piece"].to_numpy(np.int64), np.log((n + 1) / (top["df"].to_numpy(float) + 1)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    bound_arrow(docs.sparkSession)
-    sample = sample_of(docs, labels, size)
-    n = sample.groupBy("toxic").count().toPandas()
-    n_toxic, n_clean = int(n["count"][n["toxic"] > 0].sum()), int(n["count"][n["toxic"] <= 0].sum())
-    vocabulary = chosen(gram_counts(sample), n_toxic, n_clean) if n_toxic and n_clean else Vocabulary(np.zeros(0, np.int64), np.zeros(0))
+def document_frequencies(docs: DataFrame, words: np.ndarray, key: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of the words stands, counted by workers before it is summed; and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # the words of at most SAMPLE documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, h = Vocabulary(shared.value, np.zeros(0)), K.Hash(key)
+        total, rows = np.zeros(len(shared.value), np.int64), 0
         for b in K.chunks(batches):
-            term, weight, first = vocabulary.vectors(*K.buffer(K.column(b, "text")))
-            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (term.astype(np.int64), weight.astype(float))]
-            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), K.column(b, "toxic"), *lists], ["doc_id", "toxic", "term", "weight"])
+            on, at = vocabulary.places(counted(*K.buffer(K.column(b, "text")), h)[1])
+            total += np.bincount(at[on], minlength=len(total))[: len(total)]
+            rows += b.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], ["term", "df"])
 
-    rows = sample.mapInArrow(run, "doc_id long, toxic long, term array<long>, weight array<double>").toPandas().sort_values("doc_id")
-    vectors = [(np.asarray(t, np.int64), np.asarray(w, float)) for t, w in zip(rows["term"], rows["weight"], strict=True)]
-    return Model(vocabulary, vectors, rows["toxic"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64))
+    got = docs.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a word
+    term, df = got["term"].to_numpy(), got["df"].to_numpy()
+    out = np.zeros(len(words), np.int64)
+    out[term[term >= 0]] = df[term >= 0]
+    return out, int(df[term < 0].sum())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and evidence (the labelled examples that voted, nearest first) of every document."""
+def weights(df: np.ndarray, n: int, held: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """idf times FLOOR plus lift; held, toxic: how many examples, and toxic ones, have the word."""
+    lift = np.log2((toxic + SHRINK * rate) / (held + SHRINK) / rate) if rate > 0 else np.zeros(len(df))
+    return np.log((n + 1) / (np.minimum(df, n) + 1)) * (FLOOR + np.maximum(lift, 0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     bound_arrow(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most SAMPLE examples of TERMS terms
+    key = K.fresh_key()
+    sample = cut(sample_of(docs, labels, size), "toxic-sample")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = K.Hash(key)
+        for b in K.chunks(batches):
+            doc, word, n = counted(*K.buffer(K.column(b, "text")), h)
+            at = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (word, n)]
+            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), K.column(b, "toxic"), *lists], ["doc_id", "toxic", "word", "n"])
+
+    rows = sample.mapInArrow(words, "doc_id long, toxic long, word array<long>, n array<long>").toArrow().sort_by("doc_id").combine_chunks()  # at most SAMPLE rows
+    ids, labels_ = rows["doc_id"].to_numpy(), (rows["toxic"].to_numpy() > 0).astype(np.int64)
+    flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in rows[c].chunks]) if rows.num_rows else np.zeros(0, np.int64)
+    word, n = flat("word"), flat("n")
+    doc = np.repeat(np.arange(len(ids)), np.concatenate([np.diff(x.offsets.to_numpy()) for x in rows["word"].chunks])) if rows.num_rows else np.zeros(0, np.int64)
+    known, at = np.unique(word, return_inverse=True)
+    df, total = document_frequencies(text_rows(docs), known, key)
+    held = np.bincount(at, minlength=len(known))
+    toxic = np.bincount(at, weights=labels_[doc], minlength=len(known)) if len(at) else np.zeros(0)
+    vocabulary = Vocabulary(known, weights(df, total, held, toxic, float(labels_.mean()) if len(ids) else 0.0))
+    term, weight, first = vocabulary.vectors(doc, word, n, len(ids))
+    vectors = [(term[a:z], weight[a:z]) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    some = [i for i, v in enumerate(vectors) if len(v[0])]
+    model = Model(vocabulary, Index([vectors[i] for i in some], labels_[some], ids[some]), key)
+    votes = voted(sample, model, True).select("vote", "toxic").toArrow()
+    model.calibrate(votes["vote"].to_numpy(), (votes["toxic"].to_numpy() > 0).astype(np.int64))
+    return model
+
+
+def voted(docs: DataFrame, model: Model, without_itself: bool = False) -> DataFrame:
+    """doc_id, vote, evidence (the labelled examples that voted, nearest first) of every document, and toxic if the examples vote on each other."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        h = K.Hash(m.key)
+        place = {int(d): p for p, d in enumerate(m.index.ids)} if without_itself else {}
         for b in K.chunks(batches):
-            term, weight, first = m.vocabulary.vectors(*K.buffer(K.column(b, "text")))
-            scores, evidence = [], []
-            for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                vote, docs_ = m.index.vote(term[a:z], weight[a:z]) if a < z else (-1.0, [])
-                scores.append(m.score(vote))
-                evidence.append([int(m.index.ids[d]) for d in docs_])
-            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
-
-    return text_rows(docs).mapInArrow(run, "doc_id long, score double, evidence array<long>")
+            term, weight, first = m.vocabulary.vectors(*counted(*K.buffer(K.column(b, "text")), h), b.num_rows)
+            ids = K.column(b, "doc_id").to_pylist()
+            votes, evidence = [], []
+            for i, a, z in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                vote, near = m.index.vote(term[a:z], weight[a:z], place.get(i, -1)) if a < z else (-1.0, [])
+                votes.append(vote)
+                evidence.append([int(m.index.ids[d]) for d in near])
+            more = [K.column(b, "toxic")] if without_itself else []
+            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), pa.array(votes, pa.float64()), pa.array([m.score(v) for v in votes], pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *more], ["doc_id", "vote", "score", "evidence", "toxic"][: 4 + len(more)])
+
+    rows = docs.select("doc_id", "text", "toxic") if without_itself else text_rows(docs)
+    return rows.mapInArrow(run, "doc_id long, vote double, score double, evidence array<long>" + (", toxic long" if without_itself else ""))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, vote, score and evidence (the labelled examples that voted, nearest first) of every document."""
+    bound_arrow(docs.sparkSession)
+    return voted(docs, model)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
