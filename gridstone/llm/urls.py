@@ -3,18 +3,24 @@
 Level 0 holds the listed keys; each further level the keys of the other kind that
 pass the level before, over the complete universe of keys. The first level that
 a key fails decides, so each key of the universe gets its exact answer with bit
-tests alone. The levels' bits are literals while they hold at most LITERAL_BITS;
-a larger list is dealt to shards by the key's hash, each with its own cascade, and
-the rows meet their shard's bits by its number.
+tests alone. A level's bits lie in arrays of words, one a shard of at most SHARD_KEYS
+listed keys; they reach the rows as the value of a scalar subquery, for at most
+PASS_BITS bits at once. A longer list takes several passes over the rows, each over the
+rows of its own shards: rows are never joined or shuffled, whatever the list's length.
+
+The production list (`listed_keys`) is a table of keys: those of pages whose whole url or
+whose title holds a listed word. All other urls of such a key are blocked with it.
 
 Edge cases: a null url, or one without "://", has an empty host and path, no rule
-and the verdict of an unlisted key; repeated rows get equal results; extra columns
+and the verdict of its (empty) key; repeated rows get equal results; extra columns
 are ignored; an empty table gives an empty one; an empty list blocks nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +35,29 @@ RULES = [
     ("allow", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: A key with one of these as a word is listed.
-LISTED_WORDS = ["adult", "bets", "bet", "betting", "casino", "escort", "gambling", "jackpot", "poker", "porn", "roulette", "sex", "slots", "warez", "win", "xxx"]
+#: Words of a url or title that put its key on the list.
+LISTED_WORDS = """
+adult adults bdsm camgirl camgirls dating escort escorts erotic erotica fetish hentai hookup lolita milf naked nude nudes
+nsfw porn porno porntube sex sexcam sexshop sexy swinger threesome tits upskirt voyeur webcam xrated xxx
+baccarat bet bets betting bingo blackjack bookie bookmaker casino craps gamble gambling jackpot keno lotto lottery poker roulette
+slot slots sportsbook wager win
+cialis kamagra levitra pharmacy phentermine pill pills steroids tramadol valium viagra xanax
+botnet crack cracked crackz exploit keygen keylogger malware nulled phish phishing ransomware rootkit serialz spyware torrent torrents trojan warez
+cashadvance forex getrich payday replica scam
+""".split()
 LISTED_PATTERN = "(^|[^a-z0-9])(" + "|".join(LISTED_WORDS) + ")([^a-z0-9]|$)"
-BITS_PER_KEY, PROBES, LITERAL_BITS, SHARD_KEYS, MOST_LEVELS = 12, 4, 1 << 22, 200_000, 60
+TITLE_PATTERN = "<title[^>]*>([^<]*)"
+BITS_PER_KEY, PROBES, SHARD_KEYS, PASS_BITS = 12, 4, 200_000, 1 << 29
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, key."""
+def parsed(pages: DataFrame, *more: Column) -> DataFrame:
+    """page_id, host, path, key, and the columns `more`."""
     has = F.coalesce(F.instr("url", "://"), F.lit(0)) > 0
     rest = F.when(has, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
-    rows = pages.select("page_id", rest.alias("rest")).withColumn("raw", F.regexp_extract("rest", "^[^/?#]*", 0))
+    rows = pages.select("page_id", rest.alias("rest"), *more).withColumn("raw", F.regexp_extract("rest", "^[^/?#]*", 0))
     path = F.regexp_extract(F.expr("substring(rest, length(raw) + 1)"), "^[^?#]*", 0)
-    rows = rows.select("page_id", F.translate("raw", UPPER, LOWER).alias("host"), path.alias("path"))
+    rows = rows.select(*rows.columns, F.translate("raw", UPPER, LOWER).alias("host"), path.alias("path")).drop("rest", "raw")
     return rows.withColumn("key", F.concat("host", "path"))
 
 
@@ -68,77 +83,83 @@ def hit(words: Column, level: int, bits: int) -> Column:
     return reduce(lambda a, b: a & b, (test(p) for p in positions(level, bits)))
 
 
-def filled(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """shard, words: one array of 64-bit words a shard, with the keys' bits set; pre-aggregated word by word."""
+def filled(keys: DataFrame, level: int, bits: int, shards: int) -> DataFrame:
+    """shard, words: one array of 64-bit words a shard, with the keys' bits set.
+
+    A zero for each word goes with the bits, so that no word is missing and the words need only be sorted."""
+    size = bits // 64
+    none = keys.sparkSession.range(shards * size).select(F.floor(F.col("id") / size).cast("int").alias("shard"), (F.col("id") % size).cast("int").alias("i"), F.lit(0).cast("long").alias("w"))
     p = keys.select("shard", F.explode(F.array(*positions(level, bits))).alias("p"))
-    one = _bit(F.col("p"))
-    words = p.groupBy("shard", F.shiftright("p", 6).cast("int").alias("i")).agg(F.bit_or(one).alias("w"))
-    by_word = F.map_from_entries(F.collect_list(F.struct("i", "w")))
-    some = words.groupBy("shard").agg(by_word.alias("m"))
-    every = F.sequence(F.lit(0), F.lit(bits // 64 - 1))
-    return some.select("shard", F.transform(every, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("words"))
+    words = none.unionByName(p.select("shard", F.shiftright("p", 6).cast("int").alias("i"), _bit(F.col("p")).alias("w"))).groupBy("shard", "i").agg(F.bit_or("w").alias("w"))
+    laid = words.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("w"))
+    return laid.select("shard", F.transform("w", lambda x: x["w"]).alias("words"))
 
 
 class Cascade:
     """Exact membership of the keys of `universe` (key, listed), by levels of Bloom filters."""
 
-    def __init__(self, universe: DataFrame, shard_keys: int = SHARD_KEYS):
+    def __init__(self, universe: DataFrame, shard_keys: int = SHARD_KEYS, pass_bits: int = PASS_BITS):
         n = universe.filter("listed").count()
-        self.shards = max(1, -(-n // shard_keys))
-        keys = universe.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(self.shards)).cast("int"))
+        self.shards, self.pass_bits = max(1, -(-n // shard_keys)), pass_bits
         self.bits: list[int] = []
-        self.tables: list[DataFrame | None] = []
-        self.literals: list[Column | None] = []
-        held = keys
-        for level in range(MOST_LEVELS):
-            inside = held.filter(F.col("listed") if level % 2 == 0 else ~F.col("listed"))
+        self.tables: list[DataFrame] = []
+        held = self.dealt(universe)
+        for level in count():  # each level holds a small share of the keys that the one before it held
+            own = F.col("listed") if level % 2 == 0 else ~F.col("listed")
+            inside = held.filter(own)
             most = inside.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
             if not most:
                 return
-            bits = 64 * max(1, -(-most * BITS_PER_KEY // 64))
-            table = cut(filled(inside, level, bits), "bloom")
-            self.bits.append(bits)
-            if self.shards == 1 and bits <= LITERAL_BITS:
-                # one string literal, folded to an array once by the optimizer
-                self.literals.append(F.split(F.lit(",".join(map(str, table.first()["words"]))), ",").cast("array<bigint>"))
-                self.tables.append(None)
-            else:
-                self.literals.append(None)
-                self.tables.append(table)
+            self.bits.append(64 * max(1, -(-most * BITS_PER_KEY // 64)))
+            self.tables.append(cut(filled(inside, level, self.bits[level], self.shards), "bloom"))
             # to the next level go this level's keys and the others that pass it
-            own = F.col("listed") if level % 2 == 0 else ~F.col("listed")
-            held = cut(self._tested(held, level).filter(own | F.col(f"pass{level}")).drop(f"pass{level}"), "cascade")
-        raise RuntimeError("the cascade did not end")
+            held = cut(self.passes(held, lambda words, level=level: lambda rows: rows.filter(own | words(level))), "cascade")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(self.shards)).cast("int"))
+
+    def passes(self, rows: DataFrame, step: Callable) -> DataFrame:
+        """The rows of some shards after another, each through `step(test)`, where test(level) is the test of a level."""
+        some = max(1, self.pass_bits // sum(self.bits))
+        out = None
+        for low in range(0, self.shards, some):
+            mine = F.col("shard").between(low, low + some - 1)
 
-    def _tested(self, rows: DataFrame, level: int) -> DataFrame:
-        name, words = f"pass{level}", self.literals[level]
-        if words is not None:
-            return rows.withColumn(name, hit(words, level, self.bits[level]))
-        bits = self.tables[level].withColumnRenamed("words", "_words")
-        joined = rows.join(bits, "shard", "left")
-        return joined.withColumn(name, F.col("_words").isNotNull() & F.coalesce(hit(F.col("_words"), level, self.bits[level]), F.lit(False))).drop("_words")
+            def test(level: int, low: int = low, mine: Column = mine) -> Column:
+                words = self.tables[level].filter(mine).agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "words"))), lambda x: x["words"]).alias("words"))
+                return F.coalesce(hit(F.get(words.scalar(), F.col("shard") - low), level, self.bits[level]), F.lit(False))
+
+            part = step(test)(rows if self.shards <= some else rows.filter(mine))
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def mark(self, rows: DataFrame, name: str = "listed") -> DataFrame:
         """The rows (with key) and whether the key is listed."""
-        out = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(self.shards)).cast("int"))
-        levels = range(len(self.bits))
-        for level in levels:
-            out = self._tested(out, level)
-        answer = F.lit(len(self.bits) % 2 == 1)
-        for level in reversed(levels):
-            answer = F.when(~F.col(f"pass{level}"), F.lit(level % 2 == 1)).otherwise(answer)
-        return out.withColumn(name, answer).drop("shard", *(f"pass{level}" for level in levels))
+        if not self.bits:
+            return rows.withColumn(name, F.lit(False))
+
+        def step(test: Callable[[int], Column]) -> Callable[[DataFrame], DataFrame]:
+            answer = F.lit(len(self.bits) % 2 == 1)
+            for level in reversed(range(len(self.bits))):
+                answer = F.when(~test(level), F.lit(level % 2 == 1)).otherwise(answer)
+            return lambda rows: rows.withColumn(name, answer)
+
+        return self.passes(self.dealt(rows), step).drop("shard")
+
+
+def listed_keys(pages: DataFrame) -> DataFrame:
+    """The production list: key of each page whose whole url or title holds a listed word."""
+    words = F.lower(F.concat_ws(" ", F.coalesce("url", F.lit("")), F.regexp_extract(F.coalesce("html", F.lit("")), TITLE_PATTERN, 1)))
+    return parsed(pages, words.rlike(LISTED_PATTERN).alias("found")).filter("found").select("key").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, listed: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict; `listed` has a column key, by default the universe's keys with a listed word."""
+    """page_id, host, path, rule, verdict; `listed` is a table with a column key, by default the production list."""
     rows = parsed(pages)
-    universe = rows.select("key").distinct()
-    if listed is None:
-        universe = universe.withColumn("listed", F.col("key").rlike(LISTED_PATTERN))
-    else:
-        named = listed.select("key").distinct().withColumn("listed", F.lit(True))
-        universe = universe.join(named, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    listed = listed_keys(pages) if listed is None else listed.select("key")
+    # one pass over both tables gives the universe with its listed keys
+    both = rows.select("key", F.lit(False).alias("listed"), F.lit(True).alias("seen")).unionByName(listed.select("key", F.lit(True).alias("listed"), F.lit(False).alias("seen")))
+    universe = both.groupBy("key").agg(F.bool_or("listed").alias("listed"), F.bool_or("seen").alias("seen")).filter("seen").drop("seen")
     cascade = Cascade(cut(universe, "urls"))
     rule = ruled(rules)
     out = cascade.mark(rows.withColumn("found", rule))
@@ -148,11 +169,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, listed: D
 
 SQL = rf"""
     WITH rest AS (
-        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+               lower(coalesce(url, '') || ' ' || coalesce(regexp_extract(html, '{TITLE_PATTERN}', 1), '')) AS words
+        FROM pages
     ), parts AS (
-        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+        SELECT page_id, words, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
                regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
         FROM rest
+    ), listed AS (
+        SELECT DISTINCT host || path AS key FROM parts WHERE regexp_matches(words, '{LISTED_PATTERN}')
     ), rules (verdict, host, path) AS (
         VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}
     ), fit AS (
@@ -160,7 +185,6 @@ SQL = rf"""
         FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
         GROUP BY page_id
     )
-    SELECT page_id, p.host, p.path, f.rule,
-           coalesce(f.verdict, CASE WHEN regexp_matches(p.host || p.path, '{LISTED_PATTERN}') THEN 'block' ELSE 'allow' END) AS verdict
-    FROM parts p LEFT JOIN fit f USING (page_id)
+    SELECT page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parts p LEFT JOIN fit f USING (page_id) LEFT JOIN listed l ON l.key = p.host || p.path
 """
