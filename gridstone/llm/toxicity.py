@@ -21,11 +21,11 @@ columns are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.llm import kernel as K
@@ -96,20 +96,22 @@ class Index:
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         doc = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
         by = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[by], doc[by].astype(np.int32), weight[by]
-        part = term * self.blocks + self.doc // BLOCK
-        self.lo = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        self.size = np.diff(np.append(self.lo, len(part)))
-        self.block = (part[self.lo] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, self.lo) if len(part) else np.zeros(0)
+        term, doc, weight = term[by], doc[by], weight[by]
+        part = term * self.blocks + doc // BLOCK
+        lo = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         terms = int(term[-1]) + 1 if len(term) else 0
-        self.first = np.searchsorted(term[self.lo], np.arange(terms + 1))
+        # in narrow types, for a worker holds a copy
+        self.doc, self.weight = doc.astype(np.min_scalar_type(self.n)), weight.astype(np.float32)
+        self.lo, self.block = lo.astype(np.int32), (part[lo] % self.blocks).astype(np.min_scalar_type(self.blocks))
+        self.size = np.diff(np.append(lo, len(part))).astype(np.uint8)
+        self.most = np.maximum.reduceat(self.weight, lo) if len(part) else np.zeros(0, np.float32)
+        self.first = np.searchsorted(term[lo], np.arange(terms + 1)).astype(np.int32)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties by place) and their cosines."""
         own = term < len(self.first) - 1
         term, weight = term[own], weight[own]
-        n = self.first[term + 1] - self.first[term]
+        n = (self.first[term + 1] - self.first[term]).astype(np.int64)
         entry = _ranges(self.first[term], n)
         w, block = np.repeat(weight, n), self.block[entry]
         bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
@@ -122,7 +124,7 @@ class Index:
             visit = np.zeros(self.blocks, bool)
             visit[order[done : done + step]] = True
             on = np.flatnonzero(visit[block])
-            size = self.size[entry[on]]
+            size = self.size[entry[on]].astype(np.int64)
             at = _ranges(self.lo[entry[on]], size)
             score = np.bincount(self.doc[at], weights=np.repeat(w[on], size) * self.weight[at], minlength=self.n)
             docs = np.flatnonzero(score > 0)
@@ -143,10 +145,10 @@ class Index:
 
 
 class Model:
-    """Vocabulary and index, and how votes become scores."""
+    """Vocabulary and index, sent to the workers once, and how votes become scores."""
 
-    def __init__(self, vocabulary: Vocabulary, index: Index, key: int):
-        self.vocabulary, self.index, self.key = vocabulary, index, key
+    def __init__(self, spark: SparkSession, vocabulary: Vocabulary, index: Index, key: int):
+        self.shared, self.key = spark.sparkContext.broadcast((vocabulary, index)), key  # at most SAMPLE examples
         self.edges = self.values = np.zeros(0)
         self.bare = 0.0
 
@@ -156,10 +158,15 @@ class Model:
         self.bare = float((toxic[alone].sum() + 0.5) / (alone.sum() + 2.0)) if len(votes) else 0.0
         self.edges, self.values = isotonic(votes[~alone], toxic[~alone].astype(float))
 
-    def score(self, vote: float) -> float:
-        if vote < 0 or not len(self.edges):
-            return self.bare
-        return float(self.values[max(0, np.searchsorted(self.edges, vote, side="right") - 1)])
+    def scores(self) -> Callable[[np.ndarray], np.ndarray]:
+        edges, values, bare = self.edges, self.values, self.bare
+
+        def of(votes: np.ndarray) -> np.ndarray:
+            if not len(edges):
+                return np.full(len(votes), bare)
+            return np.where(votes < 0, bare, values[np.maximum(np.searchsorted(edges, votes, side="right") - 1, 0)])
+
+        return of
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     term, weight, first = vocabulary.vectors(doc, word, n, len(ids))
     vectors = [(term[a:z], weight[a:z]) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     some = [i for i, v in enumerate(vectors) if len(v[0])]
-    model = Model(vocabulary, Index([vectors[i] for i in some], labels_[some], ids[some]), key)
+    model = Model(spark, vocabulary, Index([vectors[i] for i in some], labels_[some], ids[some]), key)
     votes = voted(sample, model, True).select("vote", "toxic").toArrow()
     model.calibrate(votes["vote"].to_numpy(), (votes["toxic"].to_numpy() > 0).astype(np.int64))
     return model
@@ -248,22 +255,22 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
 def voted(docs: DataFrame, model: Model, without_itself: bool = False) -> DataFrame:
     """doc_id, vote, evidence (the labelled examples that voted, nearest first) of every document, and toxic if the examples vote on each other."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE examples
+    shared, key, scores = model.shared, model.key, model.scores()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        h = K.Hash(m.key)
-        place = {int(d): p for p, d in enumerate(m.index.ids)} if without_itself else {}
+        vocabulary, index = shared.value
+        h = K.Hash(key)
+        place = {int(d): p for p, d in enumerate(index.ids)} if without_itself else {}
         for b in K.chunks(batches):
-            term, weight, first = m.vocabulary.vectors(*counted(*K.buffer(K.column(b, "text")), h), b.num_rows)
+            term, weight, first = vocabulary.vectors(*counted(*K.buffer(K.column(b, "text")), h), b.num_rows)
             ids = K.column(b, "doc_id").to_pylist()
             votes, evidence = [], []
             for i, a, z in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                vote, near = m.index.vote(term[a:z], weight[a:z], place.get(i, -1)) if a < z else (-1.0, [])
+                vote, near = index.vote(term[a:z], weight[a:z], place.get(i, -1)) if a < z else (-1.0, [])
                 votes.append(vote)
-                evidence.append([int(m.index.ids[d]) for d in near])
+                evidence.append([int(index.ids[d]) for d in near])
             more = [K.column(b, "toxic")] if without_itself else []
-            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), pa.array(votes, pa.float64()), pa.array([m.score(v) for v in votes], pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *more], ["doc_id", "vote", "score", "evidence", "toxic"][: 4 + len(more)])
+            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), pa.array(votes, pa.float64()), pa.array(scores(np.array(votes, float))), pa.array(evidence, pa.list_(pa.int64())), *more], ["doc_id", "vote", "score", "evidence", "toxic"][: 4 + len(more)])
 
     rows = docs.select("doc_id", "text", "toxic") if without_itself else text_rows(docs)
     return rows.mapInArrow(run, "doc_id long, vote double, score double, evidence array<long>" + (", toxic long" if without_itself else ""))
