@@ -42,6 +42,7 @@ MASKS = {
     9: [(0, 1, 2, 4, 5), (0, 1, 2, 3, 4)],
     11: [(0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4)],
     12: [(0, 1, 2, 4, 6, 7), (0, 1, 3, 7, 8, 9), (0, 1, 2, 3, 4, 5)],
+    13: [(0, 1, 3, 6, 7)],
     14: [(0, 1, 2, 3, 5)],
     16: [(0, 1, 2, 4, 5), (0, 1, 2, 3, 4)],
 }

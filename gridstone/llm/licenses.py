@@ -1,11 +1,11 @@
 """License scans by ordered signature rules.
 
-A text is lower-cased (A-Z), its words joined by one space. Rules are regular
-expressions over that line, made from a table of licenses and a table of
-phrasings; a rule runs only on texts that hold all its keywords, which one pass a
-keyword over a whole chunk of texts finds. Detections are ordered by priority,
-then length, then place; one that lies within the interval of an earlier one is
-suppressed, so the plain name inside a fuller notice does not count again.
+A text is lower-cased (A-Z), its words joined by one space. Rules are hand-written
+regular expressions over that line, in sections by priority; a rule runs only on texts
+that hold all its keywords, which one pass a keyword over a whole chunk of texts
+finds. Detections are ordered by section, then length, then place; one that lies within the
+interval of an earlier one is suppressed, so the plain name inside a fuller notice does
+not count again. Places of the base phrases are never suppressed.
 
 Edge cases: a null or empty text has no words and no labels; labels without a
 detection are the empty string, first_word and last_word then null; equal rows
@@ -28,72 +28,326 @@ from gridstone.llm.common import bound_arrow, text_rows
 #: Phrases whose places are always reported, with their labels: fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label: (names as words, versions as words).
-LICENSES: dict[str, tuple[list[str], list[str]]] = {
-    "mit": (["mit", "expat"], []),
-    "apache": (["apache", "apache software", "asl"], ["1 0", "1 1", "2", "2 0"]),
-    "gpl": (["gnu general public", "gnu gpl", "gpl"], ["1", "2", "3", "1 0", "2 0", "3 0"]),
-    "lgpl": (["gnu lesser general public", "gnu library general public", "gnu lgpl", "lgpl"], ["2", "2 1", "3", "2 0", "3 0"]),
-    "agpl": (["gnu affero general public", "affero general public", "gnu agpl", "agpl"], ["1", "3", "3 0"]),
-    "mpl": (["mozilla public", "mpl"], ["1 0", "1 1", "2 0", "2"]),
-    "epl": (["eclipse public", "epl"], ["1 0", "2 0", "1", "2"]),
-    "cddl": (["common development and distribution", "cddl"], ["1 0", "1 1"]),
-    "eupl": (["european union public", "eupl"], ["1 0", "1 1", "1 2"]),
-    "artistic": (["artistic"], ["1 0", "2 0"]),
-    "bsl": (["boost software", "boost"], ["1 0"]),
-    "bsd": (["bsd", "new bsd", "simplified bsd", "modified bsd", "revised bsd"], []),
-    "isc": (["isc"], []),
-    "zlib": (["zlib", "zlib libpng"], []),
-    "unlicense": (["unlicense"], []),
-    "wtfpl": (["wtfpl", "do what the fuck you want to public"], ["2"]),
-    "ofl": (["sil open font", "ofl"], ["1 0", "1 1"]),
-    "psf": (["python software foundation", "psf"], ["2"]),
-    "php": (["php"], ["3 0", "3 01"]),
-    "ms-pl": (["microsoft public", "ms pl"], []),
-    "odbl": (["open database", "odbl"], ["1 0"]),
-    "postgresql": (["postgresql"], []),
-    "openssl": (["openssl"], []),
-    "vim": (["vim"], []),
-    "ruby": (["ruby"], []),
-    "zpl": (["zope public", "zpl"], ["2 0", "2 1"]),
-    "ipl": (["ibm public"], ["1 0"]),
-    "cpl": (["common public"], ["1 0"]),
-    "ncsa": (["university of illinois ncsa open source", "ncsa"], []),
-    "upl": (["universal permissive"], ["1 0"]),
-}
-#: Creative Commons elements, as identifier words and as spoken.
-COMMONS = {
-    "cc-by-nc-nd": ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"),
-    "cc-by-nc-sa": ("by nc sa", "attribution non ?commercial share ?alike"),
-    "cc-by-nc": ("by nc", "attribution non ?commercial"),
-    "cc-by-nd": ("by nd", "attribution no ?deriv(?:ative)?s"),
-    "cc-by-sa": ("by sa", "attribution share ?alike"),
-    "cc-by": ("by", "attribution"),
-}
-#: Sentences that only one license has.
-NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "the origin of this software must not be misrepresented": "zlib",
-    "you may not use this file except in compliance with the license": "apache-2",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "subject to the terms of the mozilla public license": "mpl",
-    "all rights reserved": "proprietary",
-    "dedicated to the public domain": "public-domain",
-    "released into the public domain": "public-domain",
-    "creative commons zero": "cc0",
-}
-#: Phrasings of a name N with a version V, their priority (higher goes first) and trust.
-PHRASINGS = [
-    (r"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?N (?:public )?licen[sc]e(?: as published by the free software foundation)?(?: version| v)? ?V", 90, 1.0),
-    (r"(?:released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?N (?:public )?licen[sc]e(?: version| v)? ?V", 85, 0.95),
-    (r"under (?:the )?N (?:public )?licen[sc]e(?: version| v)? ?V", 80, 0.9),
-    (r"spdx licen[sc]e identifier N(?: v)? ?V", 95, 1.0),
-    (r"N licen[sc]e(?: version| v)? ?V", 60, 0.8),
-    (r"licen[sc]e N(?: version| v)? ?V", 50, 0.7),
-]
+#: The signatures, in order of priority by section: label | regular expression over lower-case words with one space between.
+#: Written by hand; the first section that holds a place wins it.
+SIGNATURES = r"""
+# identifiers in file headers
+0bsd | spdx license identifier 0bsd
+afl-3.0 | spdx license identifier afl 3 0
+agpl-3.0-only | spdx license identifier agpl 3 0 only
+agpl-3.0-or-later | spdx license identifier agpl 3 0 or later
+agpl-3.0 | spdx license identifier agpl 3 0
+apache-1.1 | spdx license identifier apache 1 1
+apache-2.0 with llvm-exception | spdx license identifier apache 2 0 with llvm exception
+apache-2.0 | spdx license identifier apache 2 0
+artistic-2.0 | spdx license identifier artistic 2 0
+blueoak-1.0.0 | spdx license identifier blueoak 1 0 0
+bsd-2-clause | spdx license identifier bsd 2 clause
+bsd-3-clause-clear | spdx license identifier bsd 3 clause clear
+bsd-3-clause | spdx license identifier bsd 3 clause
+bsd-4-clause | spdx license identifier bsd 4 clause
+bsl-1.0 | spdx license identifier bsl 1 0
+cc-by-4.0 | spdx license identifier cc by 4 0
+cc-by-sa-4.0 | spdx license identifier cc by sa 4 0
+cc0-1.0 | spdx license identifier cc0 1 0
+cddl-1.0 | spdx license identifier cddl 1 0
+cecill-2.1 | spdx license identifier cecill 2 1
+ecl-2.0 | spdx license identifier ecl 2 0
+epl-1.0 | spdx license identifier epl 1 0
+epl-2.0 | spdx license identifier epl 2 0
+eupl-1.2 | spdx license identifier eupl 1 2
+gpl-2.0 with classpath-exception | spdx license identifier gpl 2 0(?: only| or later)? with classpath exception 2 0
+gpl-2.0 with syscall-note | spdx license identifier gpl 2 0(?: only| or later)? with linux syscall note
+gpl-2.0-only | spdx license identifier gpl 2 0 only
+gpl-2.0-or-later | spdx license identifier gpl 2 0 or later
+gpl-2.0 | spdx license identifier gpl 2 0
+gpl-3.0-only | spdx license identifier gpl 3 0 only
+gpl-3.0-or-later | spdx license identifier gpl 3 0 or later
+gpl-3.0 | spdx license identifier gpl 3 0
+isc | spdx license identifier isc
+lgpl-2.1-only | spdx license identifier lgpl 2 1 only
+lgpl-2.1-or-later | spdx license identifier lgpl 2 1 or later
+lgpl-2.1 | spdx license identifier lgpl 2 1
+lgpl-3.0-only | spdx license identifier lgpl 3 0 only
+lgpl-3.0-or-later | spdx license identifier lgpl 3 0 or later
+lgpl-3.0 | spdx license identifier lgpl 3 0
+mit-0 | spdx license identifier mit 0
+mit | spdx license identifier mit
+mpl-2.0 | spdx license identifier mpl 2 0
+ms-pl | spdx license identifier ms pl
+mulan-2.0 | spdx license identifier mulanpsl 2 0
+ncsa | spdx license identifier ncsa
+odbl-1.0 | spdx license identifier odbl 1 0
+ofl-1.1 | spdx license identifier ofl 1 1
+osl-3.0 | spdx license identifier osl 3 0
+postgresql | spdx license identifier postgresql
+psf-2.0 | spdx license identifier (?:psf|python) 2 0
+unlicense | spdx license identifier unlicense
+upl-1.0 | spdx license identifier upl 1 0
+wtfpl | spdx license identifier wtfpl
+zlib | spdx license identifier zlib
+zpl-2.1 | spdx license identifier zpl 2 1
+# grants and notices that only one license has
+mit | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+mit-0 | permission is hereby granted free of charge to any person obtaining a copy of this software to deal in the software without restriction
+x11 | except as contained in this notice the name of the x consortium shall not be used
+isc | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+0bsd | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+hpnd | permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted
+bsd | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+bsd | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd-3-clause | neither the name of [a-z0-9 ]{1,60} nor the names of its contributors may be used to endorse or promote products
+bsd-4-clause | all advertising materials mentioning features or use of this software must display the following acknowledgement
+bsd-3-clause-clear | no express or implied licenses to any party s patent rights are granted by this license
+bsd-2-clause-patent | subject to the terms and conditions of this license each copyright holder and contributor hereby grants to those receiving rights
+apache-2.0 | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+apache-2.0 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0 | you may obtain a copy of the license at https? www apache org licenses license 2 0
+apache-2.0 | terms and conditions for use reproduction and distribution 1 definitions
+apache-1.1 | this product includes software developed by the apache software foundation
+gpl-2.0-or-later | under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or (?:at your option )?any later version
+gpl-3.0-or-later | under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version
+gpl-2.0-only | under the terms of the gnu general public license version 2 as published by the free software foundation
+gpl-3.0-only | under the terms of the gnu general public license version 3 as published by the free software foundation
+gpl | this program is free software you can redistribute it and or modify it
+gpl | this program is distributed in the hope that it will be useful but without any warranty
+gpl | you should have received a copy of the gnu general public license along with this program
+gpl-3.0 | gnu general public license version 3 29 june 2007
+gpl-2.0 | gnu general public license version 2 june 1991
+lgpl-2.1-or-later | under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or (?:at your option )?any later version
+lgpl-3.0-or-later | under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version
+lgpl-2.0-or-later | under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or
+lgpl | this library is free software you can redistribute it and or modify it
+lgpl | you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:library|program)
+agpl-3.0-or-later | under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version
+agpl-3.0 | gnu affero general public license version 3 19 november 2007
+agpl | you should have received a copy of the gnu affero general public license along with this program
+gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+gfdl-1.3 | gnu free documentation license version 1 3
+gfdl-1.2 | gnu free documentation license version 1 2
+gpl with classpath-exception | as a special exception the copyright holders of this library give you permission to link this library with independent modules
+gpl with autoconf-exception | as a special exception to the gnu general public license if you distribute this file as part of a program that contains a configuration script
+gpl with bison-exception | as a special exception you may create a larger work that contains part or all of the bison parser skeleton
+gpl with gcc-exception | under section 7 of gpl version 3 you are granted additional permissions described in the gcc runtime library exception
+mpl-2.0 | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-1.1 | the contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0 | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-2.0-no-copyleft | this source code form is incompatible with secondary licenses as defined by the mozilla public license
+npl-1.1 | the contents of this file are subject to the netscape public license version 1 1
+epl-2.0 | this program and the accompanying materials are made available under the terms of the eclipse public license 2 0
+epl-1.0 | this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
+cddl-1.0 | the contents of this file are subject to the terms of the common development and distribution license
+cpl-1.0 | this program and the accompanying materials are made available under the terms of the common public license v1 0
+ipl-1.0 | this program is provided under the terms of the ibm public license
+bsl-1.0 | distributed under the boost software license version 1 0
+bsl-1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+zlib | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+unlicense | this is free and unencumbered software released into the public domain
+unlicense | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl | you just do what the fuck you want to
+cc0-1.0 | the person who associated a work with this deed has dedicated the work to the public domain
+cc0-1.0 | to the extent possible under law [a-z0-9 ]{1,60} has waived all copyright and related or neighboring rights
+ofl-1.1 | this font software is licensed under the sil open font license version 1 1
+ncsa | to deal with the software without restriction including without limitation the rights to use copy modify merge publish
+openssl | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay | this product includes cryptographic software written by eric young
+php-3.01 | this source file is subject to version 3 01 of the php license
+php-3.0 | this source file is subject to version 3 0 of the php license
+zend-2.0 | this source file is subject to version 2 00 of the zend license
+psf-2.0 | python software foundation license version 2
+cnri-python | cnri license agreement for python
+artistic-2.0 | the artistic license 2 0
+artistic-1.0-perl | same terms as (?:the )?perl (?:5 (?:programming language )?)?(?:system )?itself
+ruby | you can redistribute it and or modify it under either the terms of the gpl
+vim | vim is charityware
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+libpng | the png reference library is supplied as is
+ijg | this software is based in part on the work of the independent jpeg group
+freetype | portions of this software are copyright [a-z0-9 ]{0,20}the freetype project
+curl | except as contained in this notice the name of a copyright holder shall not be used in advertising
+json | the software shall be used for good not evil
+beerware | the beer ?ware license revision 42
+w3c | by obtaining using and or copying this work you the licensee agree that you have read understood and will comply
+unicode | unicode inc license agreement data files and software
+icu | icu license icu 1 8 1 and later
+ms-pl | this license governs use of the accompanying software if you use the software you accept this license microsoft public license
+bzip2-1.0.6 | this program bzip2 the associated library libbzip2 and all documentation are copyright
+sqlite | the author disclaims copyright to this source code in place of a legal notice here is a blessing
+ecl-2.0 | licensed under the educational community license version 2 0
+osl-3.0 | licensed under the open software license version 3 0
+afl-3.0 | licensed under the academic free license version 3 0
+eupl-1.2 | licensed under the eupl version 1 2
+cecill-2.1 | ce logiciel est (?:un programme informatique |)regi par la licence cecill
+mulan-2.0 | is licensed under mulan psl v2
+elastic-2.0 | licensed under the elastic license 2 0
+sspl-1.0 | under the terms of the server side public license version 1
+busl-1.1 | business source license 1 1
+commons-clause | commons clause license condition v1 0
+polyform-nc-1.0.0 | polyform noncommercial license 1 0 0
+openrail-m | openrail m
+openrail-m | open rail m
+llama-2 | llama 2 community license agreement
+odbl-1.0 | this database is made available under the open database license
+odc-by-1.0 | this database is made available under the open data commons attribution license
+pddl-1.0 | made available under the public domain dedication and license
+cdla-permissive-2.0 | community data license agreement permissive version 2 0
+cdla-sharing-1.0 | community data license agreement sharing version 1 0
+ogl-uk-3.0 | contains public sector information licensed under the open government licence v3 0
+etalab-2.0 | licence ouverte 2 0
+dl-de-by-2.0 | datenlizenz deutschland namensnennung version 2 0
+us-government | this is a work of the (?:us|u s|united states) government and is not subject to copyright protection
+# creative commons, the longer names first
+cc-by-nc-nd-4.0 | creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: work)? 4 0
+cc-by-nc-sa-4.0 | creative commons attribution non ?commercial share ?alike 4 0
+cc-by-nc-4.0 | creative commons attribution non ?commercial 4 0
+cc-by-nd-4.0 | creative commons attribution no ?deriv(?:ative)?s 4 0
+cc-by-sa-4.0 | creative commons attribution share ?alike 4 0
+cc-by-4.0 | creative commons attribution 4 0
+cc-by-nc-nd-3.0 | creative commons attribution non ?commercial no ?deriv(?:ative)?s 3 0
+cc-by-nc-sa-3.0 | creative commons attribution non ?commercial share ?alike 3 0
+cc-by-nc-3.0 | creative commons attribution non ?commercial 3 0
+cc-by-sa-3.0 | creative commons attribution share ?alike 3 0
+cc-by-3.0 | creative commons attribution 3 0
+cc-by-nc-nd-4.0 | cc by nc nd 4 0
+cc-by-nc-sa-4.0 | cc by nc sa 4 0
+cc-by-nc-4.0 | cc by nc 4 0
+cc-by-nd-4.0 | cc by nd 4 0
+cc-by-sa-4.0 | cc by sa 4 0
+cc-by-4.0 | cc by 4 0
+cc-by-nc-sa-3.0 | cc by nc sa 3 0
+cc-by-sa-3.0 | cc by sa 3 0
+cc-by-3.0 | cc by 3 0
+cc-by-sa-2.5 | cc by sa 2 5
+cc-by-2.0 | cc by 2 0
+cc-by-nc-nd | cc by nc nd
+cc-by-nc-sa | cc by nc sa
+cc-by-nd | cc by nd
+cc-by-sa | cc by sa
+cc-by-nc-nd | creative commons attribution non ?commercial no ?deriv(?:ative)?s
+cc-by-nc-sa | creative commons attribution non ?commercial share ?alike
+cc-by-nc | creative commons attribution non ?commercial
+cc-by-nd | creative commons attribution no ?deriv(?:ative)?s
+cc-by-sa | creative commons attribution share ?alike
+cc-by | creative commons attribution
+cc0-1.0 | cc0 1 0
+cc0 | creative commons zero
+cc-by-sa | lizenz creative commons namensnennung weitergabe unter gleichen bedingungen
+cc-by-nc | creative commons namensnennung nicht kommerziell
+cc-by-sa | licence creative commons attribution partage dans les memes conditions
+cc-by | licencia creative commons (?:atribucion|reconocimiento)
+# sentences that name a license
+mit | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?mit licen[sc]e
+mit | (?:licensed|released|distributed|available) under (?:the )?expat licen[sc]e
+apache-2.0 | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?apache (?:software )?licen[sc]e (?:version |v)?2 ?0
+apache-2.0 | (?:licensed|released|distributed|available) under (?:the )?apache 2 0
+gpl-3.0 | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e) (?:version |v)?3
+gpl-2.0 | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e) (?:version |v)?2
+gpl | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)
+lgpl-3.0 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?:lgpl|lesser general public licen[sc]e) (?:version |v)?3
+lgpl-2.1 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?:lgpl|lesser general public licen[sc]e) (?:version |v)?2 1
+lgpl | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?:lgpl|lesser general public licen[sc]e)
+agpl | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?(?:agpl|affero general public licen[sc]e)
+bsd-3-clause | (?:licensed|released|distributed|available) under (?:the )?(?:3|three) clause bsd licen[sc]e
+bsd-2-clause | (?:licensed|released|distributed|available) under (?:the )?(?:2|two) clause bsd licen[sc]e
+bsd | (?:licensed|released|distributed|available) under (?:the |a )?bsd (?:style )?licen[sc]e
+mpl-2.0 | (?:licensed|released|distributed|available) under (?:the )?mozilla public licen[sc]e (?:version |v)?2 0
+mpl | (?:licensed|released|distributed|available) under (?:the )?mozilla public licen[sc]e
+isc | (?:licensed|released|distributed|available) under (?:the )?isc licen[sc]e
+epl | (?:licensed|released|distributed|available) under (?:the )?eclipse public licen[sc]e
+unlicense | (?:licensed|released|distributed|available) under (?:the )?unlicense
+public-domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
+public-domain | this work is in the public domain
+mit | veroffentlicht unter der mit lizenz
+mit | unter der mit lizenz
+gpl | unter der gnu general public license
+apache-2.0 | unter der apache lizenz version 2 0
+mit | sous (?:la )?licence mit
+gpl | sous (?:la )?licence gnu gpl
+mit | bajo (?:la )?licencia mit
+gpl | bajo (?:la )?licencia gpl
+apache-2.0 | bajo (?:la )?licencia apache (?:version )?2 0
+# names and versions alone
+apache-2.0 | apache licen[sc]e (?:version |v)?2 0
+apache-1.1 | apache (?:software )?licen[sc]e (?:version |v)?1 1
+apache | apache (?:software )?licen[sc]e
+mit | the mit licen[sc]e
+mit | mit licen[sc]e
+gpl-3.0-or-later | gpl ?v?3 0? ?or later
+gpl-2.0-or-later | gpl ?v?2 0? ?or later
+gpl-3.0 | (?:gnu )?gpl (?:version |v)?3
+gpl-2.0 | (?:gnu )?gpl (?:version |v)?2
+gpl-3.0 | gplv3
+gpl-2.0 | gplv2
+lgpl-3.0 | (?:gnu )?lgpl (?:version |v)?3
+lgpl-2.1 | (?:gnu )?lgpl (?:version |v)?2 1
+lgpl-3.0 | lgplv3
+lgpl-2.1 | lgplv2 1
+agpl-3.0 | (?:gnu )?agpl (?:version |v)?3
+agpl-3.0 | agplv3
+lgpl-3.0 | gnu lesser general public licen[sc]e (?:version |v)?3
+lgpl-2.1 | gnu lesser general public licen[sc]e (?:version |v)?2 1
+agpl-3.0 | gnu affero general public licen[sc]e (?:version |v)?3
+gpl-3.0 | gnu general public licen[sc]e (?:version |v)?3
+gpl-2.0 | gnu general public licen[sc]e (?:version |v)?2
+lgpl | gnu (?:lesser|library) general public licen[sc]e
+agpl | gnu affero general public licen[sc]e
+gpl | gnu general public licen[sc]e
+gfdl | gnu free documentation licen[sc]e
+bsd-3-clause | (?:new|revised|modified|3 clause) bsd licen[sc]e
+bsd-2-clause | (?:simplified|freebsd|2 clause) bsd licen[sc]e
+bsd-4-clause | (?:original|4 clause) bsd licen[sc]e
+bsd | bsd licen[sc]e
+isc | isc licen[sc]e
+mpl-2.0 | mozilla public licen[sc]e (?:version |v)?2 0
+mpl-1.1 | mozilla public licen[sc]e (?:version |v)?1 1
+mpl | mozilla public licen[sc]e
+epl-2.0 | eclipse public licen[sc]e (?:version |v)?2 0
+epl | eclipse public licen[sc]e
+eupl | european union public licen[sc]e
+cddl | common development and distribution licen[sc]e
+artistic | artistic licen[sc]e
+bsl-1.0 | boost software licen[sc]e
+zlib | zlib (?:libpng )?licen[sc]e
+wtfpl | do what the fuck you want to public licen[sc]e
+ofl | (?:sil )?open font licen[sc]e
+psf | python software foundation licen[sc]e
+php | php licen[sc]e
+ms-pl | microsoft public licen[sc]e
+ms-rl | microsoft reciprocal licen[sc]e
+odbl | open database licen[sc]e
+postgresql | postgresql licen[sc]e
+zpl | zope public licen[sc]e
+ncsa | university of illinois ncsa open source licen[sc]e
+upl-1.0 | universal permissive licen[sc]e
+qpl | q public licen[sc]e
+nasa-1.3 | nasa open source agreement
+intel | intel open source licen[sc]e
+sun-sissl | sun industry standards source licen[sc]e
+lppl | latex project public licen[sc]e
+cpal-1.0 | common public attribution licen[sc]e
+rpl-1.5 | reciprocal public licen[sc]e
+nosl | netizen open source licen[sc]e
+watcom-1.0 | sybase open watcom public licen[sc]e
+apsl-2.0 | apple public source licen[sc]e
+ogl | open government licen[sc]e
+# claims without a grant
+proprietary | proprietary and confidential
+proprietary | unauthorized copying of this file via any medium is strictly prohibited
+proprietary | no part of this (?:publication|book|work|document) may be reproduced
+non-commercial | for non ?commercial (?:use|purposes) only
+non-commercial | free for personal use
+research-only | for (?:academic|research) (?:use|purposes) only
+all-rights-reserved | all rights reserved
+all-rights-reserved | alle rechte vorbehalten
+all-rights-reserved | tous droits reserves
+all-rights-reserved | todos los derechos reservados
+"""
+#: How far a section's detections are trusted, by its number; the base phrases come first and are trusted fully.
+TRUST = [1.0, 0.97, 0.9, 0.9, 0.8, 0.5]
 
 
 @dataclass(frozen=True)
@@ -101,29 +355,33 @@ class Rule:
     label: str
     pattern: re.Pattern
     keywords: tuple[str, ...]
-    priority: int
+    #: Sections in order, 0 for the base phrases; within a section the longer detection goes first.
+    section: int
     trust: float
+    #: Words of a base phrase, whose places all count.
+    words: int = 0
+
+
+def keywords_of(pattern: str) -> tuple[str, ...]:
+    """The words that every text of the pattern holds: those outside its groups, classes and options; of many the three longest."""
+    group = r"\(\?:((?:[^()]|\([^()]*\))*)\)\??"
+    # a group that brings its space with it leaves the words beside it whole
+    bare = re.sub(group, lambda m: " " if all(x.endswith(" ") for x in m[1].split("|")) or all(x.startswith(" ") for x in m[1].split("|")) else "|", pattern)
+    bare = re.sub(r"\[[^]]*\](?:\{[^}]*\})?|\S*\?\S*", "|", bare)
+    sure = [w for w in re.findall(r"(?:^|(?<= ))[a-z0-9]{2,}(?= |$)", bare)]
+    return tuple(f" {w} " for w in sorted(dict.fromkeys(sure), key=lambda w: (-len(w), w))[:3])
 
 
 def _rules() -> list[Rule]:
-    out = [Rule(label, re.compile(f"(?= {p} )"), (p,), 100, 1.0) for p, label in BASE.items()]
-    for label, (names, versions) in LICENSES.items():
-        for name in names:
-            for version in ["", *versions]:
-                for text, priority, trust in PHRASINGS:
-                    body = text.replace("N", name).replace(" ?V", f" {version}" if version else "")
-                    full = label if not version else f"{label}-{version.removesuffix(' 0').replace(' ', '.')}"
-                    word = "spdx" if "spdx" in text else "licen"
-                    out.append(Rule(full, re.compile(rf" {body}(?= )"), (f" {name}", word), priority + 4 * bool(version), trust))
-    for label, (words, spoken) in COMMONS.items():
-        for version in ("", "1 0", "2 0", "2 5", "3 0", "4 0"):
-            tail = f" {version}" if version else ""
-            full = label + (f"-{version.replace(' ', '.')}" if version else "")
-            out.append(Rule(full, re.compile(rf" cc {words}{tail}(?= )"), (f" cc {words} ",), 70 + len(words) + 4 * bool(version), 0.9))
-            out.append(Rule(full, re.compile(rf" creative commons {spoken}(?: \w+)?(?: licen[sc]e)?{tail}(?= )"), (" creative commons attribution",), 70 + len(words) + 4 * bool(version), 0.9))
-    out.append(Rule("cc0", re.compile(r" cc0(?: 1 0)?(?= )"), (" cc0",), 70, 0.9))
-    out += [Rule(label, re.compile(f" {p}(?= )"), (f" {p} ",), 75, 0.6 if label == "proprietary" else 0.95) for p, label in NOTICES.items()]
-    return sorted(out, key=lambda r: -r.priority)
+    out = [Rule(label, re.compile(f"(?= {p} )"), tuple(f" {w} " for w in p.split()), 0, 1.0, len(p.split())) for p, label in BASE.items()]
+    section = 0
+    for line in SIGNATURES.strip().splitlines():
+        if line.startswith("#"):
+            section += 1
+            continue
+        label, pattern = line.split(" | ")
+        out.append(Rule(label, re.compile(f" {pattern}(?= )"), keywords_of(pattern), section, TRUST[section - 1]))
+    return out
 
 
 RULES = _rules()
@@ -146,24 +404,47 @@ def line_of(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, n
     return out.tobytes(), at + np.arange(len(offsets)), np.diff(first)
 
 
+def kept_of(found: list[tuple[Rule, int, int]]) -> list[tuple[Rule, int, int]]:
+    """Detections, in order, without those that lie within one that goes before.
+
+    One that goes before is of an earlier section, or of the same one and longer, or as long and further left, or first in
+    the list of rules. What is kept has no member within another that goes before it; those that start at or before a place
+    are searched by their greatest end, section by section, so the work grows with n log n."""
+    order = sorted(range(len(found)), key=lambda i: (found[i][0].section, found[i][1] - found[i][2], found[i][1], found[i][0].label, i))
+    starts = sorted({a for _, a, _ in found})
+    place = {a: i for i, a in enumerate(starts)}
+    most = [0] * (len(starts) + 1)  # the greatest end among those kept that start at or before a place: a binary indexed tree
+    kept = []
+    for i in order:
+        r, a, b = found[i]
+        k, reach = place[a] + 1, 0
+        while k:
+            reach = max(reach, most[k])
+            k &= k - 1
+        if reach >= b:
+            continue
+        kept.append(found[i])
+        k = place[a] + 1
+        while k <= len(starts):
+            most[k] = max(most[k], b)
+            k += k & -k
+    return kept
+
+
 def detect(line: str, held: set[str]) -> list[tuple[Rule, int, int]]:
-    """Detections that no earlier one contains. The line has a space at both ends."""
+    """Detections that none before them contains. The line has a space at both ends."""
     found = [(r, m.start(), m.end()) for r in RULES if held.issuperset(r.keywords) for m in r.pattern.finditer(line)]
-    found = [(r, a, a + len(r.keywords[0]) + 1 if r.priority == 100 else b) for r, a, b in found]
-    found.sort(key=lambda x: (-x[0].priority, x[1] - x[2], x[1], x[0].label))
-    kept: list[tuple[Rule, int, int]] = []
-    for r, a, b in found:
-        if not any(c <= a and b <= d for _, c, d in kept):
-            kept.append((r, a, b))
-    return kept
+    return kept_of([(r, a, a + len(" ".join(k.strip() for k in r.keywords)) + 1 if r.words else b) for r, a, b in found])
 
 
 def scan_text(line: str, held: set[str]) -> dict | None:
     found = detect(line, held)
-    base = sorted((line.count(" ", 0, a), r.label) for r, a, b in found if r.priority == 100)
     if not found:
         return None
-    labels = {r.label for r, _, _ in found}
+    # the numbers of words before places, from one count over the line
+    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
+    word = lambda at: int(np.searchsorted(spaces, at))
+    base = sorted((word(a), r.label) for r, a, b in found if r.words)
     miss = 1.0
     for r, _, _ in found:
         miss *= 1 - 0.97 * r.trust
@@ -172,9 +453,9 @@ def scan_text(line: str, held: set[str]) -> dict | None:
         "first_word": base[0][0] if base else None,
         "last_word": base[-1][0] if base else None,
         "base_labels": ",".join(sorted({x for _, x in base})),
-        "labels": ",".join(sorted(labels)),
+        "labels": ",".join(sorted({r.label for r, _, _ in found})),
         "score": round(1 - miss, 6),
-        "spans": [{"label": r.label, "first": line.count(" ", 0, a), "words": line.count(" ", a + 1, b) + 1} for r, a, b in found],
+        "spans": [{"label": r.label, "first": word(a), "words": word(b) - word(a)} for r, a, b in found],
     }
 
 

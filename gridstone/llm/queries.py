@@ -15,42 +15,52 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap the benchmark: doc_id, n_items, first_word, last_word, most. Nulls, empty texts and empty tables: see `decontam`."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of every document. A null or empty text has none."""
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to. A null text is an empty one."""
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that a smaller document has. A null text has no words."""
     return substring.report(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document. A null text fails; a null language is one of its own."""
     return quality.report(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by its nearest labelled examples. An empty text has the rate of texts without neighbours."""
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as read back from the prefix tree. A null text or role is empty."""
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url. A null url has an empty host and path."""
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op9_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's stored ids. A null text has the end id alone."""
     return tokens_orc.report(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document. A null text has fingerprint zero."""
     return simhash.report(table(spark, sf_dir, "documents"))
 
 

@@ -25,9 +25,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridstone.llm import kernel as K
-from gridstone.llm.common import bound_arrow, cut, text_rows
+from gridstone.llm.common import bound_arrow, cut, free_name, text_rows
 
 U = np.uint64
 RADIUS = 3
@@ -245,14 +246,12 @@ def all_links(distinct: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """node, root (the smallest node that links reach), of all nodes with a link; large and small stars in turn."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
     state = now.select(mark.alias("m")).first()["m"]
-    for _ in range(rounds):
-        if not state["n"]:
-            break
+    while state["n"]:  # each round lowers a root; chains halve, so a chain of n links takes about 2 log n rounds
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
@@ -262,8 +261,6 @@ def components(edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataF
         last, state = state, now.select(mark.alias("m")).first()["m"]
         if state == last:
             break
-    else:
-        raise RuntimeError("the links did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -282,7 +279,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that have the smallest doc_id of their class; of repeated rows one stays, rows without a doc_id all stay."""
-    kept = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    """The documents that have the smallest doc_id of their class, with all their columns; rows without a doc_id all stay.
+
+    Rows of one doc_id are one document: of rows with one text, the first in the order of their columns stays; different texts all stay."""
+    kept = cut(classes(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("first"), "simhash-kept")
+    one = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    bare = docs.filter("doc_id is null")
+    again = kept.filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return one.unionByName(bare)
+    order, rank = F.to_json(F.struct(*docs.columns)), free_name(docs, "rank")
+    several = one.join(again, "doc_id", "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(order))).filter(F.col(rank) == 1).drop(rank)
+    return one.join(again, "doc_id", "left_anti").unionByName(several).unionByName(bare)

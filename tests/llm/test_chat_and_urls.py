@@ -56,10 +56,10 @@ def test_tree_shares_and_orders_nodes(spark):
     assert len(rows) < sum(len(x["starts"]) for x in leaves.collect())
 
 
-@pytest.mark.parametrize("shard_keys", [200_000, 100])
-def test_cascade_is_exact(spark, shard_keys):
-    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed")).cache()
-    cascade = urls.Cascade(keys, shard_keys)
+@pytest.mark.parametrize(("n", "shard_keys", "pass_bits"), [(5000, 200_000, 1 << 29), (3000, 300, 1 << 14), (700_000, 100_000, 1 << 29)])
+def test_cascade_is_exact(spark, n, shard_keys, pass_bits):
+    keys = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 < 3).alias("listed")).cache()
+    cascade = urls.Cascade(keys, shard_keys, pass_bits)
     assert cascade.mark(keys.select("key"), "got").join(keys, "key").filter("got <> listed").count() == 0
 
 
@@ -68,11 +68,12 @@ def test_urls_equal_sql(spark):
         "http://m.casino-win.example.com/en/4033.html", "https://A.example.COM/en/7?x", "https://example.net/de/81#t", "http://x.net/de/", "ftp://org/es/y", "http://notcom/en/1",
         "no scheme", "", None, "http://", "://", "http://h?q", "http://h#f/en/", "http://b.org?casino", "http://b.org/casino", "https://ä.com/en/é", "http://a.com/en/7", "http://a.com/en/7",
     ]
-    pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(rows)], "page_id long, url string, html string, key string")
+    html = lambda i: None if i == 4 else f"<html><title>{'Jackpot now' if i == 6 else 'plain'}</title><p>casino</p>"
+    pages = spark.createDataFrame([(i, u, html(i), "k") for i, u in enumerate(rows)], "page_id long, url string, html string, key string")
     got = {tuple(r) for r in urls.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()}
     con = duckdb.connect()
-    con.execute("create table pages (page_id bigint, url varchar)")
-    con.executemany("insert into pages values (?, ?)", list(enumerate(rows)))
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [(i, u, html(i)) for i, u in enumerate(rows)])
     assert got == set(con.sql(urls.SQL).fetchall())
     assert urls.judge(pages.limit(0)).count() == 0
     listed = spark.createDataFrame([("h",)], "key string")
