@@ -1,12 +1,14 @@
 """Elo ratings before each game: a fold over all games of a league in order.
 
 Each game couples two teams, so a league is one sequence by nature; leagues run in
-parallel and a worker sees a league's six columns only.
+parallel. Spark sorts the games and a worker folds over their batches, with the
+teams' ratings as its only state.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,12 +44,17 @@ def elo(games: DataFrame) -> DataFrame:
     """league, game_id, home_elo, away_elo from league, game_id, at, season, home, away, neutral, margin (null if unplayed); games of one `at` go by game_id."""
     schema = f"league {games.schema['league'].dataType.simpleString()}, game_id {games.schema['game_id'].dataType.simpleString()}, home_elo double, away_elo double"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Ratings(), []
-        for r in rows.sort_values(["at", "game_id"]).itertuples(index=False):
-            out.append((r.league, r.game_id, state.before(r.home, r.season), state.before(r.away, r.season)))
-            if r.margin == r.margin and r.margin is not None:
-                state.after(r.home, r.away, bool(r.neutral), float(r.margin), r.season)
-        return pd.DataFrame(out, columns=["league", "game_id", "home_elo", "away_elo"])
-
-    return games.select("league", "game_id", "at", "season", "home", "away", "neutral", "margin").groupBy("league").applyInPandas(fold, schema)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, league = Ratings(), None
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.league != league:
+                    state, league = Ratings(), r.league
+                out.append((r.league, r.game_id, state.before(r.home, r.season), state.before(r.away, r.season)))
+                if r.margin == r.margin and r.margin is not None:
+                    state.after(r.home, r.away, bool(r.neutral), float(r.margin), r.season)
+            yield pd.DataFrame(out, columns=["league", "game_id", "home_elo", "away_elo"])
+
+    laid = games.select("league", "game_id", "at", "season", "home", "away", "neutral", "margin").repartition("league").sortWithinPartitions("league", "at", "game_id")
+    return laid.mapInPandas(fold, schema)

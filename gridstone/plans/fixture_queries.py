@@ -568,12 +568,46 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elo(g.select(F.lit("league").alias("league"), "game_id", at.alias("at"), "season", "home", "away", F.lit(False).alias("neutral"), (F.col("home_score") - F.col("away_score")).cast("double").alias("margin")))
 
 
-@query()
+#: One game a step; the state is the teams' ratings and the seasons in which they were last used.
+ELO = (
+    GAMES
+    + f""",
+ordered AS (
+    SELECT game_id, season, home, away, home_score - away_score AS margin, row_number() OVER (ORDER BY day, game_id) AS i FROM games
+), fold AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS game_id, list_transform(range({TEAMS}), lambda k: CAST(1500 AS DOUBLE)) AS r, list_transform(range({TEAMS}), lambda k: CAST(NULL AS BIGINT)) AS s,
+           CAST(NULL AS DOUBLE) AS h, CAST(NULL AS DOUBLE) AS a
+    UNION ALL
+    SELECT i, game_id, list_transform(range({TEAMS}), lambda k: CASE WHEN k = home THEN h + gain WHEN k = away THEN a - gain ELSE r[k + 1] END),
+           list_transform(range({TEAMS}), lambda k: CASE WHEN k = home OR k = away THEN season ELSE s[k + 1] END), h, a
+    FROM (
+        SELECT *, CASE WHEN margin IS NULL THEN 0 ELSE 20 * CASE WHEN margin = 0 THEN 1 ELSE 2.2 * ln(1 + abs(margin)) / (2.2 + 0.001 * sign(margin) * (h - a + 65)) END
+                  * ((sign(margin) + 1) / 2.0 - 1 / (1 + pow(10.0, (a - h - 65) / 400))) END AS gain
+        FROM (
+            SELECT o.*, f.r, f.s, f.r[home + 1] + CASE WHEN f.s[home + 1] <> o.season THEN (1500 - f.r[home + 1]) / 3 ELSE 0 END AS h,
+                   f.r[away + 1] + CASE WHEN f.s[away + 1] <> o.season THEN (1500 - f.r[away + 1]) / 3 ELSE 0 END AS a
+            FROM fold f JOIN ordered o ON o.i = f.i + 1
+        )
+    )
+)"""
+)
+
+
+@query(f"WITH RECURSIVE {ELO} SELECT game_id, round(h, 4) AS home_elo, round(a, 4) AS away_elo FROM fold WHERE i > 0")
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(spark, sf_dir).select("game_id", rnd(F.col("home_elo"), 4).alias("home_elo"), rnd(F.col("away_elo"), 4).alias("away_elo"))
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {ELO}, met AS (
+        SELECT g.game_id, day, season, home AS team, a AS elo, CAST(home_score IS NOT NULL AS BIGINT) AS played FROM games g JOIN fold f ON f.game_id = g.game_id
+        UNION ALL SELECT g.game_id, day, season, away, h, CAST(home_score IS NOT NULL AS BIGINT) FROM games g JOIN fold f ON f.game_id = g.game_id
+    )
+    SELECT game_id, team, round(CASE WHEN sum(played) OVER w > 0 THEN sum(elo * played) OVER w / CAST(sum(played) OVER w AS DOUBLE) END, 4) AS avg_opp_elo
+    FROM met WINDOW w AS (PARTITION BY team, season ORDER BY day, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    """
+)
 def schedule_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["team", "season"]
     rows = long(spark, sf_dir).join(rated(spark, sf_dir).drop("league"), "game_id")

@@ -37,7 +37,10 @@ def ship(spark: SparkSession) -> None:
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the session's checkpoint folder: what reads them twice does not compute them twice. A local folder only where the session names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridstone-"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("start the session with spark.checkpoint.dir: a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="gridstone-"))
     return df.checkpoint()
