@@ -574,6 +574,8 @@ ELO = (
     + f""",
 ordered AS (
     SELECT game_id, season, home, away, home_score - away_score AS margin, row_number() OVER (ORDER BY day, game_id) AS i FROM games
+), listed AS MATERIALIZED (
+    SELECT list(ordered ORDER BY i) AS l FROM ordered
 ), fold AS (
     SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS game_id, list_transform(range({TEAMS}), lambda k: CAST(1500 AS DOUBLE)) AS r, list_transform(range({TEAMS}), lambda k: CAST(NULL AS BIGINT)) AS s,
            CAST(NULL AS DOUBLE) AS h, CAST(NULL AS DOUBLE) AS a
@@ -584,9 +586,9 @@ ordered AS (
         SELECT *, CASE WHEN margin IS NULL THEN 0 ELSE 20 * CASE WHEN margin = 0 THEN 1 ELSE 2.2 * ln(1 + abs(margin)) / (2.2 + 0.001 * sign(margin) * (h - a + 65)) END
                   * ((sign(margin) + 1) / 2.0 - 1 / (1 + pow(10.0, (a - h - 65) / 400))) END AS gain
         FROM (
-            SELECT o.*, f.r, f.s, f.r[home + 1] + CASE WHEN f.s[home + 1] <> o.season THEN (1500 - f.r[home + 1]) / 3 ELSE 0 END AS h,
-                   f.r[away + 1] + CASE WHEN f.s[away + 1] <> o.season THEN (1500 - f.r[away + 1]) / 3 ELSE 0 END AS a
-            FROM fold f JOIN ordered o ON o.i = f.i + 1
+            SELECT o.*, r[home + 1] + CASE WHEN s[home + 1] <> season THEN (1500 - r[home + 1]) / 3 ELSE 0 END AS h,
+                   r[away + 1] + CASE WHEN s[away + 1] <> season THEN (1500 - r[away + 1]) / 3 ELSE 0 END AS a
+            FROM (SELECT unnest(l[i + 1]), r, s FROM (SELECT i, r, s FROM fold WHERE i < (SELECT count(*) FROM orders)) CROSS JOIN listed) o
         )
     )
 )"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from gridstone.functions.expressions import truth
 from gridstone.operators import metrics
 from gridstone.operators.asof import strict_asof
 from gridstone.plans import models, pregame
+from gridstone.session import settled
 from gridstone.sources import files
 
 
@@ -25,7 +28,7 @@ def early_flags(games: DataFrame) -> DataFrame:
 
 def until_targets(games: DataFrame, targets: DataFrame) -> DataFrame:
     """Played games and those not after the last target."""
-    last = targets.join(games.select("game_id", "gameday"), "game_id").agg(F.max(F.to_date("gameday"))).first()[0]
+    last = targets.select("game_id").join(games.select("game_id", "gameday"), "game_id").agg(F.max(F.to_date("gameday"))).first()[0]
     return games.filter(F.col("home_score").isNotNull() | (F.to_date("gameday") <= F.lit(last)))
 
 
@@ -54,24 +57,25 @@ def expected_names(games: DataFrame, targets: DataFrame) -> DataFrame:
     return got.groupBy("game_id").agg(side(1).alias("home_qb"), side(0).alias("away_qb"))
 
 
-def predict(rows: DataFrame, wins: list[models.Fitted], margins: list[models.Fitted]) -> DataFrame:
-    """game_id, win_prob, margin: means over the models."""
-    p = models.ensemble([m.predict(rows) for m in [*wins, *margins]], "p").withColumnRenamed("p", "win_prob")
-    return p.join(models.ensemble([m.predict(rows) for m in margins], "margin_hat"), "game_id")
-
-
 def table_of(predictions: DataFrame, games: DataFrame, early: DataFrame) -> DataFrame:
-    """The report's rows, by day and probability."""
-    pick = F.when(F.col("win_prob") > 0.5, F.col("home_team")).otherwise(F.col("away_team"))
-    rows = predictions.join(games.select("game_id", "gameday", "home_team", "away_team"), "game_id").join(early, "game_id", "left").join(expected_names(games, predictions), "game_id", "left")
+    """The report's rows (predictions: game_id, p, margin_hat), by day and probability."""
+    rows = predictions.join(games.select("game_id", "gameday", "home_team", "away_team", "spread_line"), "game_id").join(early, "game_id", "left").join(expected_names(games, predictions), "game_id", "left")
+    p, line = F.col("p"), F.col("spread_line")
+    pick = F.when(p >= 0.5, F.col("home_team")).otherwise(F.col("away_team"))
+    short = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
+    text = F.when(line > 0, F.concat("home_team", F.lit(" -"), short(line))).when(line < 0, F.concat("away_team", F.lit(" -"), short(-line))).when(line == 0, "PK").otherwise("")
     return rows.select(
-        *["gameday", "away_team", "home_team"],
+        F.to_date("gameday").alias("date"),
+        F.concat("away_team", F.lit(" @ "), "home_team").alias("matchup"),
         pick.alias("pick"),
-        F.bround(F.greatest("win_prob", 1 - F.col("win_prob")), 3).alias("confidence"),
-        F.bround("win_prob", 3).alias("win_prob"),
-        F.bround("margin_hat", 1).alias("margin"),
-        *["home_qb", "away_qb", "early"],
-    ).orderBy("gameday", F.desc("win_prob"))
+        F.bround(F.greatest(p, 1 - p), 3).alias("win_prob"),
+        F.bround(p, 3).alias("p_home_win"),
+        F.concat(pick, F.lit(" by "), F.format_string("%.1f", F.abs("margin_hat"))).alias("pred_margin"),
+        text.alias("market_line"),
+        F.concat("away_qb", F.lit(" @ "), "home_qb").alias("expected_qbs"),
+        truth(F.col("early")).alias("early_prediction"),
+        "game_id",
+    ).orderBy("date", F.desc("win_prob"), "game_id")
 
 
 def backtest(predictions: DataFrame, labels: DataFrame, market: DataFrame) -> DataFrame:
@@ -81,44 +85,74 @@ def backtest(predictions: DataFrame, labels: DataFrame, market: DataFrame) -> Da
     right = lambda x: ((x > 0) == (m > 0)).cast("double")
     return rows.agg(
         F.count(F.lit(1)).alias("games"),
-        F.avg(F.when(decided, right(F.col("win_prob") - 0.5))).alias("accuracy"),
+        F.avg(F.when(decided, right(F.col("p") - 0.5))).alias("accuracy"),
         F.avg(F.when(decided & (s != 0), right(s))).alias("market_accuracy"),
         F.avg(F.abs(F.col("margin_hat") - m)).alias("mae"),
         F.avg(F.abs(s - m)).alias("market_mae"),
-        *metrics.win_metrics(F.col("win_prob"), (m > 0).cast("double"))[2:],
+        *metrics.win_metrics(F.col("p"), (m > 0).cast("double"))[2:],
     )
 
 
-def train(rows: DataFrame) -> tuple[list[models.Fitted], list[models.Fitted]]:
-    columns = pregame.feature_columns(rows)
-    rows = rows.withColumn("won", F.col("home_win"))
-    return [models.fit(rows, columns, "won", models.logistic(0.001), False)], [models.fit_margin(rows, columns, models.ridge(3000))]
+def load_inputs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """games, ps and injuries below `root`; player rows of the newer release (ps_new) and the log of downloads (download_log.json) where they are."""
+    inputs = {n: files.read_table(spark, f"{root}/{n}") for n in ("games", "ps", "injuries")}
+    found = lambda name: files.exists(spark, f"{root}/{name}")
+    if found("ps_new"):
+        inputs["ps"] = files.merged_stats(inputs["ps"], files.read_table(spark, f"{root}/ps_new"), inputs["ps"].columns)
+    log = "".join(r["value"] for r in spark.read.text(f"{root}/download_log.json").collect()) if found("download_log.json") else None  # a line a file
+    return inputs | {"injuries": files.stamped_injuries(inputs["injuries"], files.read_log(log))}
+
+
+def known_rows(built: dict[str, DataFrame]) -> DataFrame:
+    return settled(pregame.model_rows(built["features"], built["labels"]).withColumn("won", F.col("home_win")))
+
+
+def retrain(rows: DataFrame, path: str) -> tuple[dict[str, models.Fitted], dict]:
+    """The chosen models, fitted on all completed games and saved."""
+    fitted = models.fit_named(rows, list(dict.fromkeys([*models.WINNERS, *models.MARGINS])), pregame.feature_columns(rows))
+    row = rows.agg(F.max("gameday").cast("string").alias("day"), F.count(F.lit(1)).alias("n")).first()
+    about = {"winners": models.WINNERS, "margins": models.MARGINS, "trained_through": row["day"], "n_games": row["n"]}
+    models.save(rows.sparkSession, path, fitted, about)
+    return fitted, about
 
 
 def main(argv: list[str] | None = None) -> None:
-    a = argparse.ArgumentParser(description="Predicts a week of games, or backtests a season.")
+    a = argparse.ArgumentParser(description="Predicts a week of games, or scores a finished season.")
     a.add_argument("root", help="folder of games, ps and injuries as Parquet")
     a.add_argument("out")
+    a.add_argument("--models", help="folder of the saved models; by default `models` below root")
     a.add_argument("--season", type=int)
     a.add_argument("--week", type=int)
-    a.add_argument("--backtest", type=int)
+    a.add_argument("--refresh", metavar="ADDRESS", help="fetch the schedule, player rows and reports from below this address first")
+    a.add_argument("--retrain", action="store_true", help="fit the chosen models on all completed games")
+    a.add_argument("--backtest", type=int, metavar="SEASON")
     o = a.parse_args(argv)
+    if o.refresh:
+        path = os.path.join(o.root, "download_log.json")
+        old = open(path).read() if os.path.exists(path) else "{}"
+        log = files.refresh(files.fetcher(o.refresh), files.placer(o.root), files.weekly_files(), {k: v.isoformat() for k, v in files.read_log(old).items()})
+        files.placer(o.root)("download_log.json", json.dumps(log, indent=1).encode())
     spark = SparkSession.builder.getOrCreate()
-    inputs = {n: files.read_table(spark, f"{o.root}/{n}") for n in ("games", "ps", "injuries")}
-    games = inputs["games"]
-    built = pregame.build(inputs | {"games": games.filter("home_score is not null")})
-    known = pregame.model_rows(built["features"], built["labels"])
+    inputs = load_inputs(spark, o.root)
+    games, folder = inputs["games"], o.models or f"{o.root}/models"
+    done = lambda: pregame.build(inputs | {"games": games.filter("home_score is not null and away_score is not null")})
+    built = done() if o.retrain or o.backtest else None
+    fitted, about = retrain(known_rows(built), folder) if o.retrain else models.restore(spark, folder)
+    use = lambda rows: models.selected(rows.withColumn("home_adv", F.lit(1.0) - F.col("neutral_site")), fitted, about["winners"], about["margins"])
     if o.backtest:
-        wins, margins = train(known.filter(F.col("season") < o.backtest))
-        got = predict(known.filter(F.col("season") == o.backtest), wins, margins)
-        files.write_csv(backtest(got, built["labels"], built["benchmark"]), o.out, 4)
+        got = use(built["features"].filter(F.col("season") == o.backtest))
+        seen = str(about["trained_through"])[:4] >= str(o.backtest)
+        result = backtest(got, built["labels"], built["benchmark"]).withColumn("out_of_sample", F.lit(not seen))
+        files.write_one_csv(result.select(*(F.round(c, 4).alias(c) if t == "double" else c for c, t in result.dtypes)), f"{o.out}/backtest_{o.backtest}.csv")
         return
     week = (o.season, o.week) if o.season and o.week else next_week(games)
     if not week:
-        raise SystemExit("no game is left to predict")
-    targets = games.filter((F.col("season") == week[0]) & (F.col("week") == week[1]))
-    rows = features_for(inputs, targets).withColumn("home_adv", F.lit(1.0) - F.col("neutral_site"))
-    files.write_csv(table_of(predict(rows, *train(known)), games, early_flags(games)), f"{o.out}/{week[0]}_week{week[1]:02d}")
+        raise SystemExit("no unplayed game is left in the schedule; try --refresh")
+    targets = games.filter((F.col("season") == week[0]) & (F.col("week") == week[1]) & F.col("home_score").isNull())
+    if targets.isEmpty():
+        raise SystemExit("these games are played; use --backtest to score a finished season")
+    rows = features_for(inputs, targets)
+    files.write_one_csv(table_of(use(rows), games, early_flags(games)), f"{o.out}/{week[0]}_week{week[1]:02d}.csv")
 
 
 if __name__ == "__main__":

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import urllib.request
 from collections.abc import Callable, Sequence
 from datetime import UTC, date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import renamed
@@ -22,6 +25,11 @@ def read_table(spark: SparkSession, *paths: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mixed columns as doubles; what is no number is null."""
     return df.withColumns({c: F.expr(f"try_cast({c} as double)") for c in columns if c in df.columns})
@@ -54,12 +62,13 @@ def merged_stats(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> Data
     return first_source([old.select(*columns), new_stats_as_old(new, columns)], ["player_id", "game_id"], ["team"])
 
 
-def stamped_injuries(old: DataFrame, new: DataFrame, log: dict[str, datetime]) -> DataFrame:
-    """Injury rows; those of files without stamps are known from their download on, or never."""
-    stamp: Column = F.lit(None).cast("timestamp")
-    for name, at in log.items():
-        stamp = F.when(F.col("file") == name, F.lit(at)).otherwise(stamp)
-    return old.unionByName(new.withColumn("date_modified", F.coalesce("date_modified", stamp)).drop("file"), allowMissingColumns=True)
+def stamped_injuries(injuries: DataFrame, log: dict[str, datetime]) -> DataFrame:
+    """Injury rows; those without a stamp are known from their season's file's download on (`injuries_<season>` in the log), or never."""
+    stamps = {int(m[1]): at for name, at in log.items() if (m := re.match(r"injuries_(\d{4})", name))}
+    if not stamps:
+        return injuries
+    pairs = F.create_map(*(F.lit(x) for pair in stamps.items() for x in pair))
+    return injuries.withColumn("date_modified", F.coalesce(F.col("date_modified").cast("timestamp"), F.element_at(pairs, F.col("season").cast("int"))))
 
 
 def current_season(today: date | None = None) -> int:
@@ -76,7 +85,7 @@ def read_log(text: str | None) -> dict[str, datetime]:
 
 
 def refresh(fetch: Callable[[str], bytes], put: Callable[[str, bytes], None], files: Sequence[str], log: dict[str, str]) -> dict[str, str]:
-    """Fetches each file, puts it in place whole and logs the time; a file that fails keeps its old state."""
+    """Fetches each file, puts it in place whole and logs the time under its base name; a file that fails keeps its old state."""
     out = dict(log)
     for name in files:
         try:
@@ -84,14 +93,58 @@ def refresh(fetch: Callable[[str], bytes], put: Callable[[str, bytes], None], fi
         except OSError:
             continue
         put(name, body)
-        out[name] = datetime.now(UTC).isoformat(timespec="seconds")
+        out[name.rsplit("/", 1)[-1]] = datetime.now(UTC).isoformat(timespec="seconds")
     return out
 
 
+def fetcher(base: str) -> Callable[[str], bytes]:
+    """Fetches files below a base address."""
+
+    def fetch(name: str) -> bytes:
+        with urllib.request.urlopen(f"{base.rstrip('/')}/{name}") as r:  # noqa: S310
+            return r.read()
+
+    return fetch
+
+
+def placer(root: str) -> Callable[[str, bytes], None]:
+    """Puts a file below a folder of this machine (the landing step): written aside, then renamed."""
+
+    def put(name: str, body: bytes) -> None:
+        path = os.path.join(root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path + ".part", "wb") as f:
+            f.write(body)
+        os.replace(path + ".part", path)
+
+    return put
+
+
 def season_files(first: int, last: int, pattern: str) -> list[str]:
     return [pattern.format(season=s) for s in range(first, last + 1)]
 
 
+#: Last season of the older release of player rows.
+OLD_RELEASE = 2024
+
+
+def release_files(last: int | None = None) -> list[str]:
+    """All files of the releases up to a season, by their places below the base address."""
+    last = last or current_season()
+    # fixed values: names and first seasons
+    out = ["schedules/games.parquet", "players/players.parquet", "player_stats/player_stats.parquet", "player_stats/player_stats_def.parquet"]
+    for first, pattern in ((2002, "weekly_rosters/roster_weekly_{season}.parquet"), (1999, "rosters/roster_{season}.parquet"), (2009, "injuries/injuries_{season}.parquet")):
+        out += season_files(first, OLD_RELEASE, pattern)
+    return out + weekly_files(last)
+
+
+def weekly_files(last: int | None = None) -> list[str]:
+    """What a season's refresh fetches: the schedule, and player rows and reports of the newer release."""
+    last = last or current_season()
+    new = [season_files(OLD_RELEASE + 1, last, p) for p in ("stats_player/stats_player_week_{season}.parquet", "injuries/injuries_{season}.parquet")]
+    return ["schedules/games.parquet", *(f for pair in zip(*new, strict=True) for f in pair)]
+
+
 # ---------------------------------------------------------------- sinks
 
 
@@ -117,3 +170,22 @@ def write_in_ranges(df: DataFrame, path: str, ranges: Sequence[tuple[int, int]])
 def json_report(df: DataFrame) -> str:
     """A few aggregate rows as JSON."""
     return json.dumps([r.asDict(recursive=True) for r in df.collect()], indent=1, default=str)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file in a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """A small result as one file of this name, with a header: written aside, then renamed in its file system."""
+    spark = df.sparkSession
+    aside = f"{path}.parts"
+    df.coalesce(1).write.mode("overwrite").csv(aside, header=True)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    to = jvm.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(jvm.Path(aside)) if x.getPath().getName().startswith("part-"))
+    fs.delete(to, False)
+    fs.rename(part, to)
+    fs.delete(jvm.Path(aside), True)
