@@ -288,7 +288,9 @@ def test_a_worker_keeps_few_files(spark, monkeypatch):
     p = model.p(lang, g)
     assert len(model.files) > 4 and len(model.held) <= 3 and np.all((p > 0) & (p < 1))
     seen = quality.Remembered(4)  # of few places: values are right whatever it forgets
-    assert np.allclose(model.logp(lang, g, seen), np.log(p)) and np.allclose(model.logp(lang, g, seen), np.log(p))
+    for _ in range(2):
+        got = list(model.logp(iter([(lang[:5], g[:5]), (lang, g), (lang[:0], g[:0])]), seen))
+        assert np.allclose(got[0], np.log(p[:5])) and np.allclose(got[1], np.log(p)) and len(got[2]) == 0
 
 
 def test_keep_bears_its_own_names(spark):
