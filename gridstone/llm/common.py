@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most so many rows and bytes.
-ARROW_ROWS, ARROW_BYTES = 4000, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
