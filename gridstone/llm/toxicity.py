@@ -116,7 +116,7 @@ class Index:
         w, block = np.repeat(weight, n), self.block[entry]
         bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        best_doc, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
+        best_doc, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 32
         while done < len(order):
             top = bound[order[done]]
             if top <= 0 or (len(best) == k and top < best[-1] - 1e-12):
@@ -132,7 +132,7 @@ class Index:
             best_doc, best = np.concatenate([best_doc, docs]), np.concatenate([best, score[docs]])
             keep = np.lexsort((best_doc, -np.round(best, 9)))[:k]
             best_doc, best = best_doc[keep], best[keep]
-            done, step = done + step, step * 2
+            done, step = done + step, step * 4
         return best_doc, best
 
     def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
