@@ -35,6 +35,8 @@ U = np.uint64
 #: Bound of what is learned from: labelled documents.
 SAMPLE = 8192
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks that a query visits before it compares the bounds of the others.
+FIRST = 8
 FLOOR, SHRINK = 0.05, 20
 
 
@@ -103,9 +105,10 @@ class Index:
         # in narrow types, for a worker holds a copy
         self.doc, self.weight = doc.astype(np.min_scalar_type(self.n)), weight.astype(np.float32)
         self.lo, self.block = lo.astype(np.int32), (part[lo] % self.blocks).astype(np.min_scalar_type(self.blocks))
-        self.size = np.diff(np.append(lo, len(part))).astype(np.uint8)
+        self.size = np.diff(np.append(lo, len(part))).astype(np.min_scalar_type(BLOCK))
         self.most = np.maximum.reduceat(self.weight, lo) if len(part) else np.zeros(0, np.float32)
         self.first = np.searchsorted(term[lo], np.arange(terms + 1)).astype(np.int32)
+        self.start = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties by place) and their cosines."""
@@ -116,25 +119,42 @@ class Index:
         w, block = np.repeat(weight, n), self.block[entry]
         bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        best_doc, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 32
+        best_doc, best, done = np.zeros(0, np.int64), np.zeros(0), 0
         while done < len(order):
             top = bound[order[done]]
             if top <= 0 or (len(best) == k and top < best[-1] - 1e-12):
                 break
+            # the largest bounds first; what they find says which of the other blocks are left
+            least = best[-1] - 1e-12 if len(best) == k else 0.0
+            left = order[done : done + FIRST] if not done else order[done : done + np.count_nonzero(bound[order[done:]] >= least)]
             visit = np.zeros(self.blocks, bool)
-            visit[order[done : done + step]] = True
-            on = np.flatnonzero(visit[block])
-            size = self.size[entry[on]].astype(np.int64)
-            at = _ranges(self.lo[entry[on]], size)
-            score = np.bincount(self.doc[at], weights=np.repeat(w[on], size) * self.weight[at], minlength=self.n)
+            visit[left] = True
+            score = self.scores(w, block, entry, visit) if 2 * len(left) < self.blocks else self.whole(term, weight, visit)
             docs = np.flatnonzero(score > 0)
             docs = docs[docs != without]
             best_doc, best = np.concatenate([best_doc, docs]), np.concatenate([best, score[docs]])
+            if len(best) > 4 * k:
+                on = best >= np.partition(best, len(best) - k)[len(best) - k] - 2e-9
+                best_doc, best = best_doc[on], best[on]
             keep = np.lexsort((best_doc, -np.round(best, 9)))[:k]
             best_doc, best = best_doc[keep], best[keep]
-            done, step = done + step, step * 4
+            done += len(left)
         return best_doc, best
 
+    def scores(self, w: np.ndarray, block: np.ndarray, entry: np.ndarray, visit: np.ndarray) -> np.ndarray:
+        """The cosines of the examples in few blocks, list by list."""
+        on = np.flatnonzero(visit[block])
+        size = self.size[entry[on]].astype(np.int64)
+        at = _ranges(self.lo[entry[on]], size)
+        return np.bincount(self.doc[at], weights=np.repeat(w[on], size) * self.weight[at], minlength=self.n)
+
+    def whole(self, term: np.ndarray, weight: np.ndarray, visit: np.ndarray) -> np.ndarray:
+        """The cosines of the examples in most blocks: a term's lists lie end to end and are read in one piece."""
+        parts = list(zip(self.start[term].tolist(), self.start[term + 1].tolist(), strict=True))
+        doc, held = (np.concatenate([x[a:z] for a, z in parts]) for x in (self.doc, self.weight))
+        score = np.bincount(doc, weights=np.repeat(weight, self.start[term + 1] - self.start[term]) * held, minlength=self.n)
+        return np.where(np.repeat(visit, BLOCK)[: self.n], score, 0.0)
+
     def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
         """The weighted share of toxic neighbours (-1 without neighbours), and who they are."""
         docs, s = self.nearest(term, weight, NEIGHBOURS, without)

@@ -400,7 +400,9 @@ def test_toxicity_finds_held_out_texts(spark, none):
     assert {r["predicted"] for r in toxicity.report(docs, labels.limit(0)).collect()} == {0}
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("block", [64, 16, 4])
+def test_block_max_search_is_exact(block, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(500):
