@@ -55,10 +55,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends there, and a lost executor costs no recomputation."""
+    return table_cut(df, name)[0]
+
+
+def table_cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`cut`, and the table's path: for `drop_cut` once nothing reads it any more."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_cut(spark: SparkSession, path: str) -> None:
+    """Frees the room of a table that no later job reads."""
+    _forget(spark, path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
