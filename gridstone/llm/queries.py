@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, centroids, chat, decontam, licenses, quality, resampling, simhash, substring, tokens_orc, toxicity, urls
+from gridstone.llm import bpe, centroids, chat, decontam, editprints, licenses, quality, resampling, simhash, substring, tokens_orc, toxicity, urls
 from gridstone.llm.common import table
 from gridstone.session import ship
 
@@ -69,6 +69,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_editprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited one. A null text is an empty one."""
+    return editprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector. Vectors with a null or non-finite component or of another length are left out."""
     return centroids.report(table(spark, sf_dir, "embeddings"))
@@ -82,7 +87,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op1_decontam, op2_licenses, op3_bpe, op4_substring, op5_quality, op6_toxicity, op7_chat, op8_urls, op9_orc, op10_simhash, op11_resampling, op13_centroids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: shipped(q) for q in (op1_decontam, op2_licenses, op3_bpe, op4_substring, op5_quality, op6_toxicity, op7_chat, op8_urls, op9_orc, op10_simhash, op11_resampling, op12_editprints, op13_centroids)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontam": decontam.SQL,
