@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +13,11 @@ from gridstone.operators import metrics
 from gridstone.operators.asof import strict_asof
 from gridstone.plans import models, pregame
 from gridstone.session import settled
-from gridstone.sources import files
+from gridstone.sources import files, landing
+
+
+#: What the builder reads of reports; files of any season are cast to it.
+INJURIES = "season int, week int, team string, gsis_id string, position string, report_status string, date_modified timestamp"
 
 
 def early_flags(games: DataFrame) -> DataFrame:
@@ -93,14 +95,32 @@ def backtest(predictions: DataFrame, labels: DataFrame, market: DataFrame) -> Da
     )
 
 
+SCHEDULE, PLAYERS, REPORTS = "schedules/", "stats_player/", "injuries/"
+
+
 def load_inputs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """games, ps and injuries below `root`; player rows of the newer release (ps_new) and the log of downloads (download_log.json) where they are."""
-    inputs = {n: files.read_table(spark, f"{root}/{n}") for n in ("games", "ps", "injuries")}
-    found = lambda name: files.exists(spark, f"{root}/{name}")
-    if found("ps_new"):
-        inputs["ps"] = files.merged_stats(inputs["ps"], files.read_table(spark, f"{root}/ps_new"), inputs["ps"].columns)
-    log = "".join(r["value"] for r in spark.read.text(f"{root}/download_log.json").collect()) if found("download_log.json") else None  # a line a file
-    return inputs | {"injuries": files.stamped_injuries(inputs["injuries"], files.read_log(log))}
+    """games, ps and injuries: the tables below `root`, and what `--refresh` has landed there.
+
+    The landed schedule stands for the table of games; landed player rows and those of `ps_new` come after the older
+    release's; a landed file of reports stands for its season. Reports without a stamp are known from their file's
+    fetch on, by the manifest or by the older log (download_log.json)."""
+    landed = list(landing.current(spark, root).values())
+    of = lambda kind: [f for f in landed if f.name.startswith(kind)]
+    schedule = of(SCHEDULE)
+    games = files.read_table(spark, schedule[0].path if schedule else f"{root}/games")
+    ps = files.read_table(spark, f"{root}/ps")
+    newer = [f.path for f in of(PLAYERS)] + [p for p in [f"{root}/ps_new"] if landing.exists(spark, p)]
+    if newer:
+        ps = files.merged_stats(ps, files.scan(spark, newer, files.new_stats_schema(ps.schema)), ps.columns)
+    reports = of(REPORTS)
+    injuries = files.scan(spark, [f"{root}/injuries"], INJURIES)
+    if reports:
+        seasons = [f.season for f in reports]
+        injuries = injuries.filter(~F.col("season").isin(seasons) | F.col("season").isNull()).unionByName(files.scan(spark, [f.path for f in reports], INJURIES))
+    log = f"{root}/download_log.json"
+    text = "".join(r["value"] for r in spark.read.text(log).collect()) if landing.exists(spark, log) else None  # a line a file
+    stamps = files.season_stamps(files.read_log(text)) | {f.season: f.fetched_at for f in reports}
+    return {"games": games, "ps": ps, "injuries": files.stamped_injuries(injuries, stamps)}
 
 
 def known_rows(built: dict[str, DataFrame]) -> DataFrame:
@@ -127,12 +147,10 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--retrain", action="store_true", help="fit the chosen models on all completed games")
     a.add_argument("--backtest", type=int, metavar="SEASON")
     o = a.parse_args(argv)
-    if o.refresh:
-        path = os.path.join(o.root, "download_log.json")
-        old = open(path).read() if os.path.exists(path) else "{}"
-        log = files.refresh(files.fetcher(o.refresh), files.placer(o.root), files.weekly_files(), {k: v.isoformat() for k, v in files.read_log(old).items()})
-        files.placer(o.root)("download_log.json", json.dumps(log, indent=1).encode())
     spark = SparkSession.builder.getOrCreate()
+    if o.refresh:
+        for name, why in landing.refresh(spark, o.refresh, o.root, files.weekly_files()).items():
+            print("skipped", name, why)
     inputs = load_inputs(spark, o.root)
     games, folder = inputs["games"], o.models or f"{o.root}/models"
     done = lambda: pregame.build(inputs | {"games": games.filter("home_score is not null and away_score is not null")})

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
 import re
-import urllib.request
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridstone.functions.expressions import renamed
 from gridstone.functions.maps import RELOCATED
@@ -20,14 +20,50 @@ GAME_KEYS = ["season", "week", "team"]
 
 
 def read_table(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """One table from one or several Parquet paths (globs too); missing columns are null."""
+    """One table from one or several Parquet paths (globs too) whose files agree in their types; missing columns are null."""
     df = spark.read.option("mergeSchema", str(len(paths) > 1).lower()).parquet(*paths)
     return df.select(*columns) if columns else df
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+#: Footers read at once.
+FOOTERS = 16
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """The Parquet files at or below a path; globs too. Hidden ones and those of Spark's own bookkeeping are left out."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for top in fs.globStatus(at) or []:
+        found = fs.listFiles(top.getPath(), True)
+        while found.hasNext():
+            p = found.next().getPath()
+            if not p.getName().startswith(("_", ".")) and not p.getName().endswith(".part"):
+                out.append(p.toString())
+    return sorted(out)
+
+
+def scan(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str) -> DataFrame:
+    """One table of the declared schema from files whose schemas differ.
+
+    The footers tell each file's schema (read side by side; no data). Files of one schema
+    are one scan, so there are as many scans as schemas, not files; each is cast to the declared
+    types and they are united. Columns that a file lacks, and values that a type cannot hold, are
+    null; columns that are not declared are not read."""
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    found = [f for p in paths for f in files_below(spark, p)]
+    with ThreadPoolExecutor(FOOTERS) as pool:
+        schemas = list(pool.map(lambda f: spark.read.parquet(f).schema, found))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for f, own in zip(found, schemas, strict=True):
+        groups.setdefault(own.simpleString(), (own, []))[1].append(f)
+    whole = None
+    for own, members in groups.values():
+        df = spark.read.schema(own).parquet(*members)
+        names = {c.lower(): c for c in df.columns}
+        part = df.select(*((F.col(f"`{names[c.name.lower()]}`").try_cast(c.dataType) if c.name.lower() in names else F.lit(None).cast(c.dataType)).alias(c.name) for c in declared))
+        whole = part if whole is None else whole.unionByName(part)
+    return spark.createDataFrame([], declared) if whole is None else whole
 
 
 def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,20 +93,30 @@ def new_stats_as_old(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumn("sack_yards", -F.col("sack_yards_lost")).select(*columns)
 
 
+def new_stats_schema(old: T.StructType) -> T.StructType:
+    """The newer release's columns that make the older release's."""
+    names = {"interceptions": "passing_interceptions", "sacks": "sacks_suffered", "sack_yards": "sack_yards_lost"}
+    return T.StructType([T.StructField(names.get(f.name, f.name), f.dataType) for f in old])
+
+
 def merged_stats(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Both releases; of a player's rows of one game the older release's counts."""
     return first_source([old.select(*columns), new_stats_as_old(new, columns)], ["player_id", "game_id"], ["team"])
 
 
-def stamped_injuries(injuries: DataFrame, log: dict[str, datetime]) -> DataFrame:
-    """Injury rows; those without a stamp are known from their season's file's download on (`injuries_<season>` in the log), or never."""
-    stamps = {int(m[1]): at for name, at in log.items() if (m := re.match(r"injuries_(\d{4})", name))}
+def stamped_injuries(injuries: DataFrame, stamps: dict[int, datetime]) -> DataFrame:
+    """Injury rows; those without a stamp are known from their season's file's download on, or never."""
     if not stamps:
         return injuries
     pairs = F.create_map(*(F.lit(x) for pair in stamps.items() for x in pair))
     return injuries.withColumn("date_modified", F.coalesce(F.col("date_modified").cast("timestamp"), F.element_at(pairs, F.col("season").cast("int"))))
 
 
+def season_stamps(log: dict[str, datetime]) -> dict[int, datetime]:
+    """Season and download time of the log's injury files (`injuries_<season>`)."""
+    return {int(m[1]): at for name, at in log.items() if (m := re.match(r"injuries_(\d{4})", name))}
+
+
 def current_season(today: date | None = None) -> int:
     today = today or datetime.now(UTC).date()
     return today.year if today.month >= 8 else today.year - 1
@@ -84,42 +130,6 @@ def read_log(text: str | None) -> dict[str, datetime]:
         return {}
 
 
-def refresh(fetch: Callable[[str], bytes], put: Callable[[str, bytes], None], files: Sequence[str], log: dict[str, str]) -> dict[str, str]:
-    """Fetches each file, puts it in place whole and logs the time under its base name; a file that fails keeps its old state."""
-    out = dict(log)
-    for name in files:
-        try:
-            body = fetch(name)
-        except OSError:
-            continue
-        put(name, body)
-        out[name.rsplit("/", 1)[-1]] = datetime.now(UTC).isoformat(timespec="seconds")
-    return out
-
-
-def fetcher(base: str) -> Callable[[str], bytes]:
-    """Fetches files below a base address."""
-
-    def fetch(name: str) -> bytes:
-        with urllib.request.urlopen(f"{base.rstrip('/')}/{name}") as r:  # noqa: S310
-            return r.read()
-
-    return fetch
-
-
-def placer(root: str) -> Callable[[str, bytes], None]:
-    """Puts a file below a folder of this machine (the landing step): written aside, then renamed."""
-
-    def put(name: str, body: bytes) -> None:
-        path = os.path.join(root, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path + ".part", "wb") as f:
-            f.write(body)
-        os.replace(path + ".part", path)
-
-    return put
-
-
 def season_files(first: int, last: int, pattern: str) -> list[str]:
     return [pattern.format(season=s) for s in range(first, last + 1)]
 

@@ -149,14 +149,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r["seasons"] for r in spark.read.parquet(str(tmp_path / "r")).collect()} == {"1990_2000", "2010_2020"}
     files.write_csv(both, str(tmp_path / "c"), 2)
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
-    store: dict[str, bytes] = {}
-
-    def fetch(name):
-        if name == "bad":
-            raise OSError
-        return b"x"
-
-    assert set(files.refresh(fetch, store.__setitem__, ["good", "bad"], {})) == {"good"} == set(store)
 
 
 def test_differences(spark):

@@ -51,7 +51,7 @@ def test_leakage_suite(built):
     found = {r["column"] for r in verification.invariance(leaky, inputs, leaky(inputs), day).filter("mismatches > 0").collect()}
     assert found == {"leaky_feature"}
     accuracy, games = verification.smoke_accuracy(out["features"], out["labels"], 2021)
-    assert games > 10 and 0 <= accuracy <= 1
+    assert games == out["labels"].filter("season = 2021 and home_win is not null").count() > 5 and 0 <= accuracy <= 1
 
 
 def test_report_and_exit(spark, built, tmp_path, monkeypatch):
@@ -153,14 +153,11 @@ def test_histories(built):
 def test_release_files_and_merging(spark, tmp_path):
     names = files.release_files(2026)
     assert len(names) == 4 + 23 + 26 + 16 + 1 + 4 and "weekly_rosters/roster_weekly_2002.parquet" in names and names[-1] == "injuries/injuries_2026.parquet"
-    files.placer(str(tmp_path))("a/b.bin", b"x")
-    assert (tmp_path / "a" / "b.bin").read_bytes() == b"x" and not (tmp_path / "a" / "b.bin.part").exists()
-    assert files.fetcher((tmp_path / "a").as_uri())("b.bin") == b"x"
     old = spark.createDataFrame([("p", "g", "T", 1.0, 5.0, 2.0)], "player_id string, game_id string, team string, interceptions double, sacks double, sack_yards double")
     new = spark.createDataFrame([("p", "g", "T", 9.0, 9.0, -9.0), ("q", "g", "T", 1.0, 2.0, -3.0)], "player_id string, game_id string, team string, passing_interceptions double, sacks_suffered double, sack_yards_lost double")
     assert {tuple(r) for r in files.merged_stats(old, new, old.columns).collect()} == {("p", "g", "T", 1.0, 5.0, 2.0), ("q", "g", "T", 1.0, 2.0, 3.0)}
     injuries = spark.createDataFrame([(2025, "2025-01-01 00:00:00"), (2025, None), (2024, None)], "season int, date_modified string").withColumn("date_modified", F.col("date_modified").cast("timestamp"))
-    got = files.stamped_injuries(injuries, files.read_log('{"injuries_2025.parquet": "2025-11-02T10:00:00+00:00"}')).selectExpr("season", "cast(date_modified as string) d").collect()
+    got = files.stamped_injuries(injuries, files.season_stamps(files.read_log('{"injuries_2025.parquet": "2025-11-02T10:00:00+00:00"}'))).selectExpr("season", "cast(date_modified as string) d").collect()
     assert sorted((r["season"], r["d"] or "") for r in got) == [(2024, ""), (2025, "2025-01-01 00:00:00"), (2025, "2025-11-02 10:00:00")]
     games = spark.createDataFrame([("g1", 2020, 1, "OAK", "KC"), ("g2", 2020, 2, "LV", "DEN")], "game_id string, season int, week int, home_team string, away_team string")
     stats = spark.createDataFrame([(2020, 1, "LV"), (2020, 2, "OAK"), (2020, 3, "KC")], "season int, week int, team string")
