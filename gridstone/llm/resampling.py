@@ -30,8 +30,8 @@ from gridstone.llm import kernel as K
 from gridstone.llm.common import bound_arrow, cut, text_rows
 
 BUCKETS, ORDER, SEED, SHARE, LEAST = 10_000, 1, 2024, 10, 20
-#: A posting row holds one bucket of so many bytes of text; a bucket's rows are dealt over so many slices.
-TOGETHER, SLICES = 8 << 20, 64
+#: A posting row holds one bucket of so many bytes of text; a slice's buckets are dealt in so many groups.
+TOGETHER, GROUPS = 8 << 20, 4
 #: A task adds up so many postings before it hands on sums by document.
 HELD = 1 << 21
 #: The bucket under which every document stands with its number of features.
@@ -105,7 +105,7 @@ def postings(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        slice_ = TaskContext.get().partitionId() % SLICES
+        slice_ = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -166,8 +166,8 @@ def weights(docs: DataFrame, target: DataFrame, order: int = ORDER, buckets: int
     """doc_id, n_features, n_words, weight of every document."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    dealt = postings(docs, order, buckets).repartition("bucket", "slice")
-    rows = cut(dealt, "postings")
+    dealt = postings(docs, order, buckets).repartition("slice", F.pmod("bucket", F.lit(GROUPS)))
+    rows = cut(dealt.sortWithinPartitions("slice", "bucket"), "postings")
     source = rows.filter(F.col("bucket") >= 0).groupBy("bucket").agg(F.sum("n").alias("n"))
     gain = gains(source, counted(target, order, buckets), buckets)
     valued = rows.join(F.broadcast(gain), "bucket", "left")  # at most a row a bucket
