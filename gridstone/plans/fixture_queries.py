@@ -641,14 +641,3 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         return found.agg((F.sum("mismatches") > 0).cast("long").alias("leaks")).select(F.lit(name).alias("build"), "leaks")
 
     return leaks(False, "clean").unionByName(leaks(True, "control"))
-
-
-@query()
-def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge margins and logistic wins by season, each fitted on the seasons before."""
-    from gridstone.plans.models import walk_forward as run
-
-    rows = pregame_record(spark, sf_dir).join(games(spark, sf_dir).select("game_id", "season", (F.col("home_score") - F.col("away_score")).cast("double").alias("margin")), "game_id")
-    rows = rows.filter("margin is not null and margin <> 0").withColumn("home_adv", F.lit(1.0))
-    seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())[1:]  # the first has no past to fit on
-    return run(rows, ["diff_wins", "diff_win_pct", "diff_avg_diff", "home_adv"], seasons=seasons)

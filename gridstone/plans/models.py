@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import normal_cdf
 from gridstone.operators import metrics
+from gridstone.plans import folds
 from gridstone.session import settled
+from gridstone.sources import files
 
 
 # fixed values: what a schedule tells of a game, beside the differences of both sides
@@ -111,18 +113,19 @@ class Fitted:
     #: Whether predictions are the mean of both orientations.
     both: bool = True
 
-    def _one(self, df: DataFrame, name: str) -> DataFrame:
+    def _value(self, df: DataFrame, name: str) -> DataFrame:
         out = self.model.transform(self.preparation.apply(df))
-        value = F.col("prediction") if self.margin else vector_to_array("probability")[1]
-        return out.withColumn(name, value).select(*df.columns, name)
+        return out.withColumn(name, F.col("prediction") if self.margin else vector_to_array("probability")[1])
 
     def predict(self, df: DataFrame, key: str = "game_id") -> DataFrame:
-        """The rows with `margin_hat` or `p`: the mean of both orientations, if it was fitted on both."""
+        """The rows with `margin_hat` or `p`: the mean of both orientations, if it was fitted on both; both are computed on the row itself."""
+        name = "margin_hat" if self.margin else "p"
         if not self.both:
-            return self._one(df, "margin_hat" if self.margin else "p")
-        mine = self._one(df, "_a")
-        other = self._one(df.select(key, *flipped(self.features)), "_b").select(key, "_b")
-        both = mine.join(other, key)
+            return self._value(df, name).select(*df.columns, name)
+        own = df.columns
+        mine = self._value(df, "_a").select(*own, "_a")
+        turned = mine.select(F.struct(*own).alias("_row"), "_a", *flipped(self.features))
+        both = self._value(turned, "_b").select("_row.*", "_a", "_b")
         if not self.margin:
             return both.withColumn("p", (F.col("_a") + 1 - F.col("_b")) / 2).drop("_a", "_b")
         out = both.withColumn("margin_hat", (F.col("_a") - F.col("_b")) / 2).drop("_a", "_b")
@@ -165,13 +168,21 @@ def fit_margin(df: DataFrame, features: Sequence[str], estimator: Callable, seas
     return out
 
 
+def linear_candidates(features: Sequence[str], curated: Sequence[str] = CURATED, rating: Sequence[str] = RATING) -> dict[str, tuple[str, float, tuple[str, ...]]]:
+    """Name: kind (`logit` of wins, `ridge` of margins), strength, features."""
+    out: dict[str, tuple[str, float, tuple[str, ...]]] = {"elo_logit": ("logit", 1.0, tuple(rating)), "elo_margin": ("ridge", 1.0, tuple(rating))}
+    # fixed values: the grid
+    for prefix, names, strengths, alphas in (("", features, [0.0003, 0.001, 0.003, 0.01, 0.03, 0.1], [30, 100, 300, 1000, 3000, 10000]), ("curated_", curated, [0.001, 0.003, 0.01], [300, 1000, 3000])):
+        out |= {f"{prefix}logit_C{c}": ("logit", c, tuple(names)) for c in strengths}
+        out |= {f"{prefix}ridge_a{a}": ("ridge", a, tuple(names)) for a in alphas}
+    return out
+
+
 def candidates(features: Sequence[str], curated: Sequence[str] = CURATED, rating: Sequence[str] = RATING) -> dict[str, tuple[list[str], Callable, bool]]:
     """Name: features, estimator, whether it predicts margins."""
-    out: dict[str, tuple[list[str], Callable, bool]] = {"elo_logit": (list(rating), logistic(1.0), False), "elo_margin": (list(rating), ridge(1.0), True)}
+    linear = {"logit": logistic, "ridge": ridge}
+    out: dict[str, tuple[list[str], Callable, bool]] = {n: (list(names), linear[kind](x), kind == "ridge") for n, (kind, x, names) in linear_candidates(features, curated, rating).items()}
     # fixed values: the grid
-    for prefix, names, strengths, alphas in (("", features, [0.0003, 0.001, 0.003, 0.01, 0.03, 0.1], [30, 100, 300, 1000, 3000, 10000]), ("curated_", curated, [0.001, 0.003, 0.01], [300, 1000, 3000])):
-        out |= {f"{prefix}logit_C{c}": (list(names), logistic(c), False) for c in strengths}
-        out |= {f"{prefix}ridge_a{a}": (list(names), ridge(a), True) for a in alphas}
     for rate, depth, rounds in ((0.03, 2, 300), (0.03, 3, 300), (0.02, 3, 600), (0.05, 2, 200)):
         for kind, classify in (("clf", True), ("reg", False)):
             out[f"hgb_{kind}_lr{rate}_d{depth}_n{rounds}"] = list(features), boosted(classify, rate, depth, rounds), not classify
@@ -347,12 +358,41 @@ def market_residuals(rows: DataFrame, seasons: Sequence[int] = VALIDATION, curat
     return whole, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), summary)
 
 
+def validate(rows: DataFrame, features: Sequence[str], seasons: Sequence[int] = VALIDATION, names: Sequence[str] | None = None, curated: Sequence[str] = CURATED, rating: Sequence[str] = RATING) -> DataFrame:
+    """model, game_id, season, won, margin, margin_hat, p: out-of-fold predictions of the candidates (or those named), each season's from the seasons before.
+
+    The linear ones come from one pass of statistics and one job a Newton step; boosted trees are a fit a fold."""
+    linear, every = linear_candidates(features, curated, rating), candidates(features, curated, rating)
+    names = list(every) if names is None else list(names)
+    got = [folds.walk_forward(rows, some, seasons)] if (some := {n: linear[n] for n in names if n in linear}) else []
+    for n in names:
+        if n not in linear:
+            own, estimator, margin = every[n]
+            p = out_of_fold(rows, own, seasons, estimator, margin)
+            got.append(p.select("game_id", F.col("season").cast("long").alias("season"), F.lit(n).alias("model"), (F.col("margin_hat") if margin else F.lit(None).cast("double")).alias("margin_hat"), "p"))
+    whole = reduce(DataFrame.unionByName, got)
+    return whole.join(rows.select("game_id", "won", "margin"), "game_id").select("model", "game_id", "season", "won", "margin", "margin_hat", "p")
+
+
+def validation_summary(predictions: DataFrame) -> DataFrame:
+    """A row of metrics a model, the smallest log loss first; mae and rmse of margin models."""
+    known = F.col("margin_hat").isNotNull()
+    margin = [F.when(F.bool_or(known), x).alias(n) for n, x in zip(("mae", "rmse"), metrics.margin_metrics(F.col("margin_hat"), F.col("margin")), strict=True)]
+    return predictions.groupBy("model").agg(F.when(F.bool_or(known), "margin").otherwise("win").alias("kind"), *metrics.win_metrics(F.col("p"), F.col("won")), *margin).orderBy("log_loss", "model")
+
+
+def write_validation(predictions: DataFrame, path: str) -> DataFrame:
+    """Writes the out-of-fold predictions, a folder a model, and the summary as one CSV file; returns the summary."""
+    predictions.write.mode("overwrite").partitionBy("model").parquet(f"{path}/validation_oof")
+    back = predictions.sparkSession.read.parquet(f"{path}/validation_oof")
+    summary = validation_summary(back)
+    files.write_one_csv(summary, f"{path}/validation_summary.csv")
+    return summary
+
+
 def walk_forward(df: DataFrame, features: Sequence[str], seasons: Sequence[int]) -> DataFrame:
     """model, season, n, accuracy, log_loss, brier of a ridge margin and a logistic model."""
     rows = df.withColumn("won", (F.col("margin") > 0).cast("double"))
-    out = []
-    for name, estimator, margin in (("ridge", ridge(1000), True), ("logit", logistic(0.01), False)):
-        got = out_of_fold(rows, features, seasons, estimator, margin)
-        scored = got.groupBy("season").agg(*metrics.win_metrics(F.col("p"), F.col("won")))
-        out.append(scored.select(F.lit(name).alias("model"), "season", "n", *(F.round(c, 4).alias(c) for c in ("accuracy", "log_loss", "brier"))))
-    return out[0].unionByName(out[1])
+    got = folds.walk_forward(rows, {"ridge": ("ridge", 1000.0, tuple(features)), "logit": ("logit", 0.01, tuple(features))}, seasons)
+    scored = got.join(rows.select("game_id", "won"), "game_id").groupBy("model", "season").agg(*metrics.win_metrics(F.col("p"), F.col("won")))
+    return scored.select("model", "season", "n", *(F.round(c, 4).alias(c) for c in ("accuracy", "log_loss", "brier")))

@@ -1,4 +1,5 @@
 from gridstone.plans import fixture_queries as own
+from gridstone.plans import model_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -6,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 def test_every_season_after_the_first_is_predicted(spark):
     played = own.games(spark, SF).filter("home_score <> away_score").groupBy("season").count().collect()
     first, *rest = sorted((r["season"], r["count"]) for r in played)
-    got = own.walk_forward(spark, SF).collect()
+    got = model_queries.walk_forward(spark, SF).collect()
     assert len(rest) > 2
     for model in ("ridge", "logit"):
         assert sorted((r["season"], r["n"]) for r in got if r["model"] == model) == rest
