@@ -1,6 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every window of 50 words, counted over the corpus.
 
-Equal windows have equal minimizers (the smallest hash of their 8-word parts),
+Texts that a smaller document has as they are lose all their windows: they are
+found by their digests and take no further part. Of the others, equal windows
+have equal minimizers (the smallest hash of their 8-word parts),
 so a first count over minimizers, a few per cent of the windows, tells which
 windows can occur in two documents at all; only those windows' hashes are
 counted. Each hash's smallest document keeps the window; in the others the
@@ -23,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridstone.llm import kernel as K
-from gridstone.llm.common import bound_arrow, cut, free_name, join_by_counts, text_rows
+from gridstone.llm.common import bound_arrow, cut, drop_cut, free_name, join_by_counts, table_cut, text_rows
 
 U = np.uint64
 WINDOW, PART = 50, 8
@@ -142,25 +144,44 @@ def window_rows(docs: DataFrame, window: int, keys: tuple[int, int]) -> DataFram
     return docs.mapInArrow(run, "h long, g long, doc_id long, later boolean")
 
 
+def digest() -> Column:
+    return F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, copies (digests of its texts that a smaller document has), all_copies: whether all its rows are such."""
+    prints = docs.select("doc_id", digest().alias("print"))
+    counted = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = cut(counted.filter("first < last").select("print", "first", "n"), "copies-first")
+    found = join_by_counts(prints, firsts, ["print"]).filter("doc_id > first")
+    found = found.groupBy("doc_id").agg(F.collect_set("print").alias("copies"), F.count(F.lit(1)).alias("n_copies"))
+    sizes = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return cut(found.join(sizes, "doc_id").select("doc_id", "copies", (F.col("n_copies") == F.col("n_rows")).alias("all_copies")), "copies")
+
+
 def removals(docs: DataFrame, window: int, keys: tuple[int, int]) -> DataFrame:
-    """doc_id and the hashes of its windows that start in a smaller document too.
+    """doc_id, gone (hashes of its windows that start in a smaller document too), copies (digests of texts that a smaller document has).
 
     A document that is the first with a minimizer loses none of its windows; they
     are counted, but only those of later documents are joined with the counts."""
     known = docs.filter("doc_id is not null")
-    lows = cut(minimizer_rows(known, window, keys), "windows-low")
+    copies = exact_copies(known)
+    every, path = table_cut(minimizer_rows(known, window, keys), "windows-low")
+    lows = every.join(copies.filter("all_copies").select("doc_id"), "doc_id", "left_anti")
     counted = lows.groupBy("low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = cut(counted.filter("first < last").select("low", "first", "n"), "windows-shared")
     first = F.col("doc_id") == F.col("first")
-    may = join_by_counts(lows, shared, ["low"]).groupBy("doc_id").agg(F.collect_set(F.when(first, F.col("low"))).alias("own"), F.collect_set(F.when(~first, F.col("low"))).alias("shared"))
+    may = cut(join_by_counts(lows, shared, ["low"]).groupBy("doc_id").agg(F.collect_set(F.when(first, F.col("low"))).alias("own"), F.collect_set(F.when(~first, F.col("low"))).alias("shared")), "windows-may")
+    drop_cut(docs.sparkSession, path)
     rows = cut(window_rows(known.join(may, "doc_id"), window, keys), "windows")
     firsts = rows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count_if("later").alias("n")).filter("n > 0")
     later = join_by_counts(rows.filter("later").drop("later"), cut(firsts, "windows-first"), ["h", "g"])
-    return later.filter("first < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
+    gone = later.filter("first < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
+    return gone.join(copies.select("doc_id", "copies"), "doc_id", "full_outer")
 
 
-def edited(batch: pa.RecordBatch, window: int, keys: tuple[int, int], gone_column: str = "gone") -> list[pa.Array]:
-    """n_words, n_removed, kept of each text."""
+def edited(batch: pa.RecordBatch, window: int, keys: tuple[int, int], gone_column: str = "gone", copy_column: str = "copied") -> list[pa.Array]:
+    """n_words, n_removed, kept of each text; a copied one loses all words of its windows, that is all if it has a window."""
     w = Words(batch, keys)
     values, of_doc = _lists(K.column(batch, gone_column))
     some = np.zeros(batch.num_rows, bool)
@@ -170,6 +191,8 @@ def edited(batch: pa.RecordBatch, window: int, keys: tuple[int, int], gone_colum
     at, doc = at[some[doc]], doc[some[doc]]
     on = _among(doc, w.windows(at, window), of_doc, [_unsigned(x) for x in values.flatten()]) if len(at) else np.zeros(0, bool)
     gone = K.covered(len(w.starts), at[on], window)
+    n_words = np.diff(w.first)
+    gone |= np.repeat(K.column(batch, copy_column).to_numpy(zero_copy_only=False).astype(bool) & (n_words >= window), n_words)
     n_gone = K.per_doc(gone, w.first)
     size = (w.ends - w.starts + 1)[~gone]
     kept = K.gather(np.append(w.data, np.uint8(32)), w.starts[~gone], size)  # each word with what follows it
@@ -183,6 +206,10 @@ def edited(batch: pa.RecordBatch, window: int, keys: tuple[int, int], gone_colum
     return [pa.array(np.diff(w.first)), pa.array(n_gone), K.to_array(kept[keep], offsets, pa.string())]
 
 
+def copied(copies: str) -> Column:
+    return F.coalesce(F.array_contains(copies, digest()), F.lit(False))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, one space between)."""
     bound_arrow(docs.sparkSession)
@@ -193,7 +220,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in K.chunks(batches):
             yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), *edited(b, window, keys)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(removals(docs, window, keys), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    rows = docs.join(removals(docs, window, keys), "doc_id", "left").withColumn("copied", copied("copies")).drop("copies")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -203,17 +231,17 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bound_arrow(docs.sparkSession)
     names = docs.columns
     keys = K.fresh_key(), K.fresh_key()
-    gone_name, kept_name, removed_name = (free_name(docs, c) for c in ("gone", "kept", "removed"))
-    gone = removals(text_rows(docs), window, keys).withColumnRenamed("gone", gone_name)
-    rows = docs.join(gone, "doc_id", "left")
+    gone_name, kept_name, removed_name, copies_name, copied_name = (free_name(docs, c) for c in ("gone", "kept", "removed", "copies", "copied"))
+    gone = removals(text_rows(docs), window, keys).withColumnsRenamed({"gone": gone_name, "copies": copies_name})
+    rows = docs.join(gone, "doc_id", "left").withColumn(copied_name, copied(copies_name))
     schema = T.StructType([*docs.schema.fields, T.StructField(kept_name, T.StringType()), T.StructField(removed_name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
-            _, n_gone, kept = edited(b, window, keys, gone_name)
+            _, n_gone, kept = edited(b, window, keys, gone_name, copied_name)
             yield pa.RecordBatch.from_arrays([*(K.column(b, c) for c in names), kept, n_gone], [*names, kept_name, removed_name])
 
-    out = rows.select(*names, gone_name).mapInArrow(run, schema)
+    out = rows.select(*names, gone_name, copied_name).mapInArrow(run, schema)
     kept, cut_short = F.col(kept_name), F.col(removed_name) > 0
     out = out.filter(~cut_short | (kept != ""))
     changed = {"text": F.when(cut_short, kept).otherwise(F.col("text"))}
