@@ -17,10 +17,10 @@ def two_sided(games: DataFrame, sides: dict[str, tuple[str, str]], common: Seque
     return games.select(*common, F.explode(F.array(row(0), row(1))).alias("_s")).select(*common, "_s.*")
 
 
-def wide(rows: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+def wide(rows: DataFrame, key: str | Sequence[str], features: Sequence[str]) -> DataFrame:
     """One row a game: home_, away_ and diff_ of each feature, by one aggregation."""
     side = lambda c, home: F.max(F.when(F.col("is_home") == home, F.col(c)))
-    out = rows.groupBy(key).agg(*(side(c, 1).alias(f"home_{c}") for c in features), *(side(c, 0).alias(f"away_{c}") for c in features))
+    out = rows.groupBy(*([key] if isinstance(key, str) else key)).agg(*(side(c, 1).alias(f"home_{c}") for c in features), *(side(c, 0).alias(f"away_{c}") for c in features))
     return out.select("*", *((F.col(f"home_{c}") - F.col(f"away_{c}")).alias(f"diff_{c}") for c in features))
 
 
@@ -47,11 +47,28 @@ def most_frequent(df: DataFrame, by: Sequence[str], value: str, position: Column
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """An inner join that fails if a side repeats a key."""
-    for name, side in (("left", left), ("right", right)):
-        if not side.groupBy(*on).count().filter("count > 1").isEmpty():
-            raise ValueError(f"the {name} side repeats a key of {list(on)}")
-    return left.join(right, list(on))
+    """An inner join that fails if a side repeats a key; null keys match nothing and may repeat.
+
+    Both sides meet in one aggregation by key that counts each side's rows and keeps one of them, so the check is
+    part of the join's own job: no job before it, and no pairs of a repeated key."""
+    on = list(on)
+    rows = lambda df, mine: F.struct(*(F.col(c) for c in df.columns if c not in on)) if mine else F.lit(None)
+    sides = [("_left", left), ("_right", right)]
+    kinds = {n: df.select(rows(df, True).alias(n)).schema[n].dataType if len(df.columns) > len(on) else None for n, df in sides}
+    kinds = {n: k or "struct<_:int>" for n, k in kinds.items()}
+
+    def tagged(name: str, df: DataFrame) -> DataFrame:
+        known = df.dropna(subset=on)
+        own = rows(df, True) if len(df.columns) > len(on) else F.lit(None)
+        return known.select(*on, F.lit(name).alias("_side"), *((own if n == name else F.lit(None)).cast(kinds[n]).alias(n) for n, _ in sides))
+
+    counted = tagged(*sides[0]).unionByName(tagged(*sides[1])).groupBy(*on)
+    of = lambda n: F.col("_side") == n
+    met = counted.agg(*(F.count_if(of(n)).alias(f"_n{n}") for n, _ in sides), *(F.first(F.when(of(n), F.col(n)), ignorenulls=True).alias(n) for n, _ in sides))
+    key = F.concat_ws(", ", *(F.col(c).cast("string") for c in on))
+    fail = F.raise_error(F.concat(F.lit(f"a side repeats a key of {on}: "), key)).cast("boolean")
+    whole = met.filter(F.when((F.col("_n_left") > 1) | (F.col("_n_right") > 1), fail).otherwise((F.col("_n_left") == 1) & (F.col("_n_right") == 1)))
+    return whole.select(*on, *(F.col(f"{n}.{c}") for n, df in sides for c in df.columns if c not in on))
 
 
 def same_keys(a: DataFrame, b: DataFrame, on: Sequence[str]) -> bool:

@@ -89,11 +89,31 @@ def test_records(spark):
     assert {tuple(r) for r in records.most_frequent(votes, ["k"], "v", F.col("t"), "m").collect()} == {("a", "y")}
     old, new = df.filter("t = 1"), df.withColumn("s", F.lit("new"))
     assert {r["s"] for r in records.first_source([old, new], ["k", "t"], ["t"]).filter("t = 1").collect()} == {"p", None}
-    with pytest.raises(ValueError):
-        records.one_to_one(df, df, ["k"])
+    with pytest.raises(Exception, match="repeats a key"):
+        records.one_to_one(df, df, ["k"]).collect()
     assert records.same_keys(df, new, ["k"]) and not records.same_keys(df, df.filter("k = 'a'"), ["k"])
 
 
+def test_one_to_one_is_one_job_and_checks_itself(spark):
+    left = spark.createDataFrame([(1, "a", None), (2, None, 5), (3, "c", 6), (None, "x", 1), (None, "y", 1)], "k int, s string, n int")
+    right = spark.createDataFrame([(1, 1.0), (2, None), (4, 4.0)], "k int, x double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # under it each shuffle is a job of its own
+    try:
+        spark.sparkContext.setJobGroup("one", "one")
+        got = records.one_to_one(left, right, ["k"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("one")
+        assert got.columns == ["k", "s", "n", "x"] and sorted(map(tuple, got.collect())) == [(1, "a", None, 1.0), (2, None, 5, None)]
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one")) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setJobGroup("rest", "rest")
+    assert records.one_to_one(left, right.select("k"), ["k"]).count() == 2 and records.one_to_one(left.filter("false"), right, ["k"]).count() == 0
+    twice = right.unionByName(right.filter("k = 4"))
+    for a, b in ((left, twice), (twice, left)):
+        with pytest.raises(Exception, match=r"repeats a key.*4"):
+            records.one_to_one(a, b, ["k"]).select("k").collect()
+
+
 def test_elo(spark):
     rows = [("l", i, i // 3, 2000 + i // 9, "ab"[i % 2], "c", i % 4 == 0, None if i == 5 else float(i % 5 - 2)) for i in range(18)]
     got = ratings.elo(spark.createDataFrame(rows, "league string, game_id int, at long, season int, home string, away string, neutral boolean, margin double")).orderBy("game_id").collect()

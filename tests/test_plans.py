@@ -54,13 +54,52 @@ def test_leakage_suite(built):
     assert games == out["labels"].filter("season = 2021 and home_win is not null").count() > 5 and 0 <= accuracy <= 1
 
 
+def test_many_worlds_are_one_build(built):
+    inputs, out = built
+    days = {"first day of 2019": verification.cutoffs(inputs["games"], 0)["first day of 2019"], "some day": "2020-09-22", "last day": verification.cutoffs(inputs["games"], 0)["last day"]}
+    builds = []
+
+    def counted(x):
+        builds.append(1)
+        return verification.leaky(pregame.build)(x)
+
+    got = {(r["world"], r["column"]): r["mismatches"] for r in verification.invariances(counted, inputs, days).collect()}
+    assert len(builds) == 1 and {w for w, _ in got} == set(days)
+    assert {c for (_, c), n in got.items() if n} == {"leaky_feature"} and len(got) > 3 * 280
+    leaky = verification.leaky(pregame.build)
+    for name in ("some day", "last day"):
+        one = {r["column"]: r["mismatches"] for r in verification.invariance(leaky, inputs, leaky(inputs), days[name]).filter("column = 'leaky_feature'").collect()}
+        assert got[name, "leaky_feature"] == one["leaky_feature"]
+
+
+def test_written_tables_keep_their_orders(spark, built, tmp_path):
+    pregame.write(built[1], str(tmp_path))
+    team = [tuple(r) for r in spark.read.parquet(str(tmp_path / "team_features")).select("gameday", "game_id", "is_home").collect()]
+    assert team == sorted(team, key=lambda r: (r[0], r[1], -r[2])) and len(team) > 100
+    games = [tuple(r) for r in spark.read.parquet(str(tmp_path / "labels")).select("gameday", "game_id").collect()]
+    assert games == sorted(games)
+
+
+def test_validation_files(spark, built, tmp_path):
+    rows = pregame.model_rows(built[1]["features"], built[1]["labels"]).withColumn("won", F.col("home_win")).cache()
+    names = ["elo_logit", "elo_margin", "curated_ridge_a3000"]
+    predictions = models.validate(rows, pregame.feature_columns(rows), [2020, 2021], names)
+    summary = models.write_validation(predictions, str(tmp_path)).collect()
+    assert {p.name for p in (tmp_path / "validation_oof").iterdir() if p.is_dir()} == {f"model={n}" for n in names}
+    n = rows.filter("season >= 2020").count()
+    assert all(r["n"] == n for r in summary) and [r["log_loss"] for r in summary] == sorted(r["log_loss"] for r in summary)
+    assert {r["model"]: (r["kind"], r["mae"] is not None) for r in summary} == {"elo_logit": ("win", False), "elo_margin": ("margin", True), "curated_ridge_a3000": ("margin", True)}
+    assert (tmp_path / "validation_summary.csv").is_file()
+
+
 def test_report_and_exit(spark, built, tmp_path, monkeypatch):
     inputs, out = built
     monkeypatch.setattr(pregame, "build", lambda _: out)
-    monkeypatch.setattr(verification, "invariance", lambda build, *_: spark.createDataFrame([("leaky_feature", 3 if build is not pregame.build else 0)], "column string, mismatches long"))
+    found = lambda rows: monkeypatch.setattr(verification, "invariances", lambda build, inputs, days: spark.createDataFrame([(d, *r) for d in days for r in rows], "world string, column string, mismatches long"))
+    found([("leaky_feature", 3), ("diff_elo", 0)])
     text, failed = verification.verify(pregame.build, inputs, 2)
     assert failed == [] and "ALL CHECKS PASSED" in text and "| last day | 0 | PASS |" in text
-    monkeypatch.setattr(verification, "invariance", lambda *_: spark.createDataFrame([("x", 1)], "column string, mismatches long"))
+    found([("x", 1)])
     for name, df in inputs.items():
         files.write_table(df, str(tmp_path / name))
     with pytest.raises(SystemExit):
