@@ -124,17 +124,17 @@ def invariance(build: Callable[[dict], dict], inputs: dict, clean: dict, day: st
 CLEAN = "clean"
 
 
-def in_worlds(inputs: dict[str, DataFrame], days: dict[str, str], seed: int = 7) -> dict[str, DataFrame]:
+def in_worlds(inputs: dict[str, DataFrame], days: dict[str, str], seed: int = 7, corrupt: Callable[[dict, Column, int], dict] = corrupted_inputs) -> dict[str, DataFrame]:
     """All corrupted versions of the inputs and the clean one side by side: one copy a cutoff, as many as days and one more."""
     spark = inputs["games"].sparkSession
     of = spark.createDataFrame([(CLEAN, None), *days.items()], "world string, cut string")
     copies = {n: df.crossJoin(F.broadcast(of)) for n, df in inputs.items()}
-    return {n: df.drop("cut") for n, df in corrupted_inputs(copies, F.col("cut"), seed).items()}
+    return {n: df.drop("cut") for n, df in corrupt(copies, F.col("cut"), seed).items()}
 
 
-def invariances(build: Callable[[dict], dict], inputs: dict[str, DataFrame], days: dict[str, str], seed: int = 7) -> DataFrame:
+def invariances(build: Callable[[dict], dict], inputs: dict[str, DataFrame], days: dict[str, str], seed: int = 7, corrupt: Callable[[dict, Column, int], dict] = corrupted_inputs) -> DataFrame:
     """world, column, mismatches: `invariance` at all cutoffs (name: day) from one build, in which the world is part of every key."""
-    built = build(in_worlds(inputs, days, seed))
+    built = build(in_worlds(inputs, days, seed, corrupt))
     of = F.broadcast(inputs["games"].sparkSession.createDataFrame(list(days.items()), "world string, cut string"))
     out = None
     for name, keys in (("features", ["game_id"]), ("team_features", ["game_id", "team"])):
