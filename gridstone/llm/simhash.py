@@ -17,7 +17,7 @@ an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -144,8 +144,8 @@ def lane_mask(on: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def forest(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, bits: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect, within each group of consecutive rows, what chains of near fingerprints connect."""
+def forest(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, slices: Callable[[np.ndarray], np.ndarray], near: Callable[[np.ndarray, int, np.ndarray], np.ndarray] = near) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect, within each group of consecutive rows, what chains of near fingerprints connect. slices: the bit planes of fingerprints; near: as `near`."""
     label, a, b = np.arange(len(fp)), [], []
     parent = list(range(len(fp)))
 
@@ -160,7 +160,7 @@ def forest(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, bits: list[int])
         rows = rows[size[rows] > d]
         if not len(rows):
             break
-        own, sliced = group[rows], planes(fp[rows], bits)
+        own, sliced = group[rows], slices(fp[rows])
         words = sliced.shape[1] - 1
         for d in range(d, min(2 * d, int(size[rows].max()))):  # noqa: B020  rows are packed anew at each power of two
             same = np.zeros(len(rows), bool)
@@ -200,7 +200,7 @@ def links(buckets: DataFrame) -> DataFrame:
             many = np.bincount(group)[group] > 1
             if many.any():
                 _, own = np.unique(group[many], return_inverse=True)
-                x, y = forest(fp[of][many], rep[of][many], own, bits)
+                x, y = forest(fp[of][many], rep[of][many], own, lambda x, bits=bits: planes(x, bits))
                 a.append(x)
                 b.append(y)
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
@@ -282,10 +282,15 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents that have the smallest doc_id of their class, with all their columns; rows without a doc_id all stay.
 
     Rows of one doc_id are one document: of rows with one text, the first in the order of their columns stays; different texts all stay."""
-    kept = cut(classes(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("first"), "simhash-kept")
-    one = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    return kept_rows(docs, classes(docs).filter("doc_id = component_id").select("doc_id").distinct())
+
+
+def kept_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of the documents in `first` (doc_id, once each), and those without a doc_id."""
+    first = cut(first, "simhash-kept")
+    one = docs.join(first, "doc_id", "left_semi")
     bare = docs.filter("doc_id is null")
-    again = kept.filter("n > 1").select("doc_id")
+    again = cut(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "simhash-again")
     if again.isEmpty():
         return one.unionByName(bare)
     order, rank = F.to_json(F.struct(*docs.columns)), free_name(docs, "rank")

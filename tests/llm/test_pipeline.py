@@ -1,5 +1,5 @@
 import corpus_pipeline
-from gridstone.llm import decontam, quality, simhash, substring
+from gridstone.llm import decontam, nearcopies, quality, substring
 from gridstone.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +13,7 @@ def test_stages_and_result(spark):
     out = corpus_pipeline.run(spark, SF)
     kept = {r["doc_id"] for r in quality.decisions(docs).filter("kept").collect()}
     one = docs.filter(docs.doc_id.isin(list(kept)))
-    kept = {r["doc_id"] for r in simhash.report(one).filter("doc_id = component_id").collect()}
+    kept = {r["doc_id"] for r in nearcopies.classes(one).filter("doc_id = class_id").collect()}
     two = docs.filter(docs.doc_id.isin(list(kept)))
     texts = {r["doc_id"]: r for r in substring.dedup(two).collect()}
     left = {i for i, r in texts.items() if not (r["n_removed"] and not r["kept"])}
