@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstone.llm import bpe, decontam, quality, simhash, substring
+from gridstone.llm import bpe, decontam, nearcopies, quality, substring
 from gridstone.llm.common import cut, table
 from gridstone.llm.queries import TOKENIZER
 from gridstone.session import ship
@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates."""
+    """The first document of each class of near duplicates: five-word shingles, similarity 0.8."""
     ship(spark)
-    return simhash.first_of_each(docs)
+    return nearcopies.first_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
