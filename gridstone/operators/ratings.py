@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Published constants: step, home advantage in points, first rating, share of the way back to it at a new season.
 STEP, HOME, FIRST, BACK = 20.0, 65.0, 1500.0, 1 / 3
@@ -58,3 +59,62 @@ def elo(games: DataFrame) -> DataFrame:
 
     laid = games.select("league", "game_id", "at", "season", "home", "away", "neutral", "margin").repartition("league").sortWithinPartitions("league", "at", "game_id")
     return laid.mapInPandas(fold, schema)
+
+
+#: The state store that keyed state needs; a streaming session sets it before it starts.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+GAME = ["game_id", "at", "season", "home", "away", "neutral", "margin"]
+
+
+class Kept(Ratings):
+    """Ratings that are read from keyed state when a team first plays in a batch, and written back after it."""
+
+    def __init__(self, state):  # noqa: ANN001  a map state
+        super().__init__()
+        self.state = state
+
+    def before(self, team, season) -> float:
+        if team not in self.of and self.state.containsKey((team,)):
+            rating, last = self.state.getValue((team,))
+            self.of[team] = rating, last
+        return super().before(team, season)
+
+    def store(self) -> None:
+        for team, (rating, season) in self.of.items():
+            self.state.updateValue((team,), (float(rating), int(season)))
+
+
+class Fold(StatefulProcessor):
+    """The fold as keyed state: a league's ratings by team, and the day up to which they stand."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ratings = handle.getMapState("ratings", "team string", "rating double, season int")
+        self.day = handle.getValueState("day", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        batch = pd.concat(list(rows)).sort_values(["at", "game_id"])  # one batch of one league
+        last = self.day.get()[0] if self.day.exists() else None
+        if last is not None and batch["at"].iloc[0] < last:
+            raise ValueError(f"league {key[0]}: a game of {batch['at'].iloc[0]} comes after the ratings of {last}; rate the league anew")
+        state, out = Kept(self.ratings), []
+        for r in batch[GAME].itertuples(index=False):
+            out.append((key[0], r.game_id, state.before(r.home, r.season), state.before(r.away, r.season)))
+            if not pd.isna(r.margin):
+                state.after(r.home, r.away, bool(r.neutral), float(r.margin), r.season)
+        state.store()
+        self.day.update((int(batch["at"].iloc[-1]),))
+        yield pd.DataFrame(out, columns=["league", "game_id", "home_elo", "away_elo"])
+
+    def close(self) -> None:
+        pass
+
+
+def elo_stream(games: DataFrame) -> DataFrame:
+    """`elo` over a stream of played games: a new week costs a week.
+
+    Each batch goes on from the ratings kept in state, which a restart finds in the query's checkpoint. Batches must
+    come in order: a game of a day before its league's last one ends the query with an error, as ratings cannot
+    be taken back. Games of one day in two batches are rated in the order of the batches."""
+    schema = f"league {games.schema['league'].dataType.simpleString()}, game_id {games.schema['game_id'].dataType.simpleString()}, home_elo double, away_elo double"
+    keyed = games.filter("margin is not null").select("league", *GAME).groupBy("league")
+    return keyed.transformWithStateInPandas(statefulProcessor=Fold(), outputStructType=schema, outputMode="Append", timeMode="None")
