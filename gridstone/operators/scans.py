@@ -86,3 +86,9 @@ def strict_asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_time:
     got = whole.withColumn("found", F.coalesce(F.last("payload", ignorenulls=True).over(frame), F.col("_carry"))).filter("row is not null")
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)) & F.col("at").isNotNull()
     return got.select("row.*", *(F.when(known, F.col(f"found.p_{c}")).alias(c) for c in columns))
+
+
+def summed_rows(parts: DataFrame, keys: Sequence[str]) -> list:
+    """Rows of matrices (keys, i, row), added up: one result row a matrix row."""
+    cells = parts.select(*keys, "i", F.posexplode("row").alias("j", "x")).groupBy(*keys, "i", "j").agg(F.sum("x").alias("x"))
+    return cells.groupBy(*keys, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("row")).collect()

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import normal_cdf
 from gridstone.operators.quantiles import medians_before
+from gridstone.operators.scans import summed_rows
 
 #: Steps after which, and step size below which, a logistic fit ends.
 STEPS, SMALL = 50, 1e-10
@@ -72,12 +73,6 @@ class Layout:
         return np.column_stack([np.ones(len(df)), np.where(missing, 0, x), missing, df[self.labels].to_numpy(float)])
 
 
-def _summed(parts: DataFrame, keys: Sequence[str]) -> list:
-    """Rows of matrices (keys, i, row), added up: one result row a matrix row."""
-    cells = parts.select(*keys, "i", F.posexplode("row").alias("j", "x")).groupBy(*keys, "i", "j").agg(F.sum("x").alias("x"))
-    return cells.groupBy(*keys, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("row")).collect()
-
-
 def _needed(rows: DataFrame, features: Sequence[str], labels: Sequence[str], season: str) -> DataFrame:
     return rows.select(F.col(season).cast("long").alias("season"), *(F.col(c).cast("double").alias(c) for c in (*features, *labels)))
 
@@ -99,7 +94,7 @@ def moments(rows: DataFrame, layout: Layout, season: str = "season") -> dict[int
 
     parts = _needed(rows, layout.features, layout.labels, season).mapInPandas(run, "season long, i int, row array<double>")
     out: dict[int, np.ndarray] = {}
-    for r in _summed(parts, ["season"]):
+    for r in summed_rows(parts, ["season"]):
         out.setdefault(r["season"], np.zeros((n, n)))[r["i"]] = r["row"]
     return out
 
@@ -229,7 +224,7 @@ class Folds:
 
         parts = _needed(self.rows, layout.features, layout.labels, self.season).mapInPandas(run, "fit int, i int, row array<double>")
         out = {k: np.zeros((len(t), len(t) + 1)) for k, (_, t, _) in enumerate(plan)}
-        for r in _summed(parts, ["fit"]):
+        for r in summed_rows(parts, ["fit"]):
             out[r["fit"]][r["i"]] = r["row"]
         return out
 

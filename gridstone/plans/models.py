@@ -8,15 +8,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.functions.expressions import normal_cdf
-from gridstone.operators import metrics
+from gridstone.operators import histtrees, metrics
+from gridstone.operators.histtrees import HistogramBoosting
 from gridstone.plans import folds
 from gridstone.session import settled
 from gridstone.sources import files
@@ -114,6 +115,8 @@ class Fitted:
     both: bool = True
 
     def _value(self, df: DataFrame, name: str) -> DataFrame:
+        if isinstance(self.model, histtrees.Model):
+            return df.withColumn(name, self.model.value())
         out = self.model.transform(self.preparation.apply(df))
         return out.withColumn(name, F.col("prediction") if self.margin else vector_to_array("probability")[1])
 
@@ -141,18 +144,20 @@ def ridge(alpha: float) -> Callable:
 
 
 def boosted(classify: bool, rate: float, depth: int, rounds: int, leaf: int = LEAF) -> Callable:
-    """An approximation of histogram boosting: Spark's trees have no leaf penalty and no branch for missing values."""
-    kind = GBTClassifier if classify else GBTRegressor
-    return lambda n, sd: kind(featuresCol="_x", labelCol="_y", stepSize=rate, maxDepth=depth, maxIter=rounds, minInstancesPerNode=leaf, seed=7)
+    """Histogram boosting on the features as they are: missing values have a side of their own, leaves a penalty."""
+    return lambda n, sd: HistogramBoosting(classify, rate, depth, rounds, leaf)
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, estimator: Callable, margin: bool, both: bool = True, scaled: bool = True) -> Fitted:
     rows = df.select(*features, F.col(label).cast("double").alias("_y"))
     if both:
         rows = augmented(rows, features, "_y", margin)
-    preparation = Preparation().fit(rows, features, scaled)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("sd")).first()
-    return Fitted(preparation, estimator(stats["n"], stats["sd"] or 1.0).fit(preparation.apply(rows)), list(features), margin, both=both)
+    kind = estimator(stats["n"], stats["sd"] or 1.0)
+    if isinstance(kind, HistogramBoosting):
+        return Fitted(Preparation(), kind.fit(rows, features, "_y"), list(features), margin, both=both)
+    preparation = Preparation().fit(rows, features, scaled)
+    return Fitted(preparation, kind.fit(preparation.apply(rows)), list(features), margin, both=both)
 
 
 def fit_margin(df: DataFrame, features: Sequence[str], estimator: Callable, season: str = "season") -> Fitted:
@@ -206,9 +211,12 @@ def save(spark: SparkSession, path: str, fitted: dict[str, Fitted], about: dict)
     """The models and, as one line of JSON, all else; any store that Spark writes to."""
     told = {"about": about, "models": {}}
     for name, m in fitted.items():
-        m.model.write().overwrite().save(f"{path}/models/{name}")
+        trees = isinstance(m.model, histtrees.Model)
+        if not trees:
+            m.model.write().overwrite().save(f"{path}/models/{name}")
         told["models"][name] = {
             "class": f"{type(m.model).__module__}.{type(m.model).__name__}",
+            "trees": m.model.told() if trees else None,
             "features": m.features,
             "margin": m.margin,
             "sigma": m.sigma,
@@ -226,8 +234,9 @@ def restore(spark: SparkSession, path: str) -> tuple[dict[str, Fitted], dict]:
     out = {}
     for name, m in told["models"].items():
         module, kind = m["class"].rsplit(".", 1)
+        model = histtrees.Model.of(m["trees"]) if m["trees"] else getattr(importlib.import_module(module), kind).load(f"{path}/models/{name}")
         preparation = Preparation(m["medians"], {c: tuple(x) for c, x in m["scales"].items()}, m["flags"])
-        out[name] = Fitted(preparation, getattr(importlib.import_module(module), kind).load(f"{path}/models/{name}"), m["features"], m["margin"], m["sigma"], m["both"])
+        out[name] = Fitted(preparation, model, m["features"], m["margin"], m["sigma"], m["both"])
     return out, told["about"]
 
 
