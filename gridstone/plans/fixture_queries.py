@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridstone.functions.expressions import implied_probability, no_vig, ratio, truth
-from gridstone.operators import metrics, records
+from gridstone.operators import metrics, records, scans
 from gridstone.operators import timeseries as ts
 from gridstone.operators.asof import strict_asof
 from gridstone.operators.ratings import elo
@@ -277,6 +277,35 @@ def asof_date_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_asof(orders, right, ["o_custkey"], "day", "day", ["prior_order", "prior_price"], ties=["prior_order"]).select("o_orderkey", "prior_order", F.round("prior_price", 2).alias("prior_price"))
 
 
+@query(
+    """
+    WITH v AS (SELECT user_id % 2 AS half, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+    p AS (SELECT event_id, user_id % 2 AS half, ts FROM events WHERE event_type = 'purchase')
+    SELECT p.event_id, round(v.value, 6) AS last_view FROM p ASOF LEFT JOIN v ON p.half = v.half AND p.ts > v.ts
+    """
+)
+def asof_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of join by two keys that hold all rows, each over many tasks."""
+    events = load(spark, sf_dir, "events").withColumn("half", F.col("user_id") % 2)
+    views = events.filter("event_type = 'view'").select("half", "ts", "value")
+    buys = events.filter("event_type = 'purchase'").select("event_id", "half", "ts")
+    return scans.strict_asof(buys, views, ["half"], "ts", "ts", ["value"], ties=["value"]).select("event_id", rnd(F.col("value")).alias("last_view"))
+
+
+@query(
+    """
+    SELECT o_orderkey, CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w, 0) AS BIGINT) AS spent, CAST(count(*) OVER w AS BIGINT) AS orders,
+           last_value(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END IGNORE NULLS) OVER w AS last_open
+    FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    """
+)
+def prefix_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, counts and latest known values before each row by a few keys that hold all rows, each over many tasks."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).alias("open"))
+    got = scans.prefixes(orders, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], sums={"spent": "cents"}, lasts={"last_open": "open"}, counts=["orders"])
+    return got.select("o_orderkey", "spent", "orders", "last_open")
+
+
 @query(
     """
     WITH q AS (

@@ -288,6 +288,15 @@ def final_test(rows: DataFrame, market: DataFrame, features: Sequence[str], seas
     }
 
 
+def write_final_test(tables: dict[str, DataFrame], path: str) -> str:
+    """Writes `final_test`'s predictions as a table and its few rows of metrics as one JSON text; returns the text."""
+    spark = tables["predictions"].sparkSession
+    files.write_table(tables["predictions"], f"{path}/predictions")
+    text = json.dumps({name: json.loads(files.json_report(df)) for name, df in tables.items() if name != "predictions"}, indent=1)
+    files.write_text(spark, text, f"{path}/report")
+    return text
+
+
 # fixed values: the features of the market's errors
 BIAS = [
     "spread_line",

@@ -136,6 +136,13 @@ def retrain(rows: DataFrame, path: str) -> tuple[dict[str, models.Fitted], dict]
     return fitted, about
 
 
+def smoke(rows: DataFrame, fitted: dict[str, models.Fitted], about: dict, n: int = 3) -> DataFrame:
+    """The last n games as the models see them, the latest first."""
+    last = rows.orderBy(F.desc("gameday"), F.desc("game_id")).limit(n)
+    got = models.selected(last, fitted, about["winners"], about["margins"])
+    return last.select("game_id", "gameday", "home_team", "away_team", "margin").join(got, "game_id").orderBy(F.desc("gameday"), F.desc("game_id"))
+
+
 def main(argv: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(description="Predicts a week of games, or scores a finished season.")
     a.add_argument("root", help="folder of games, ps and injuries as Parquet")
@@ -155,7 +162,13 @@ def main(argv: list[str] | None = None) -> None:
     games, folder = inputs["games"], o.models or f"{o.root}/models"
     done = lambda: pregame.build(inputs | {"games": games.filter("home_score is not null and away_score is not null")})
     built = done() if o.retrain or o.backtest else None
-    fitted, about = retrain(known_rows(built), folder) if o.retrain else models.restore(spark, folder)
+    if o.retrain:
+        rows = known_rows(built)
+        fitted, about = retrain(rows, folder)
+        for r in smoke(rows, fitted, about).collect():  # three rows
+            print(f"{r['gameday']} {r['away_team']} @ {r['home_team']}: home wins with {r['p']:.3f}, by {r['margin_hat']:.1f}; it was {r['margin']:.0f}")
+    else:
+        fitted, about = models.restore(spark, folder)
     use = lambda rows: models.selected(rows.withColumn("home_adv", F.lit(1.0) - F.col("neutral_site")), fitted, about["winners"], about["margins"])
     if o.backtest:
         got = use(built["features"].filter(F.col("season") == o.backtest))

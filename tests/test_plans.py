@@ -119,7 +119,13 @@ def test_final_test_and_saved_models(spark, built, tmp_path, monkeypatch):
     p = {r["game_id"]: r for r in got["predictions"].collect()}
     assert winner["ensemble"]["brier"] == pytest.approx(sum((r["p"] - r["won"]) ** 2 for r in p.values()) / n)
     assert sum(r["games"] for r in got["seasons"].collect()) == n and got["agreement"].count() == 1
+    told = json.loads(models.write_final_test(got, str(tmp_path / "final")))
+    assert {r["predictor"] for r in told["winner"]} == set(winner) and told["agreement"][0]["disagreements"] >= 0 and "predictions" not in told
+    assert spark.read.parquet(str(tmp_path / "final" / "predictions")).count() == n and "winner" in "".join(r["value"] for r in spark.read.text(str(tmp_path / "final" / "report")).collect())
     fitted = models.fit_named(rows.filter("season < 2021"), ["curated_ridge_a3000", "elo_logit"], columns)
+    last = predict.smoke(rows, fitted, {"winners": ["elo_logit"], "margins": ["curated_ridge_a3000"]}).collect()
+    days = sorted(((r["gameday"], r["game_id"]) for r in rows.collect()), reverse=True)
+    assert [(r["gameday"], r["game_id"]) for r in last] == days[:3] and all(0 < r["p"] < 1 for r in last)
     models.save(spark, str(tmp_path / "m"), fitted, {"trained_through": 2020})
     back, about = models.restore(spark, str(tmp_path / "m"))
     assert about == {"trained_through": 2020}
