@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_arrow(spark: SparkSession) -> None:
+def bound_arrow(spark: SparkSession, size: int = ARROW_BYTES) -> None:
     """Keeps one Arrow batch small however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 _local: dict[str, str] = {}

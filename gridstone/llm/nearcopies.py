@@ -74,7 +74,7 @@ def sketch(h: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def sketches(docs: DataFrame, n: int, key: int) -> DataFrame:
-    bound_arrow(docs.sparkSession)
+    bound_arrow(docs.sparkSession, 2 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
