@@ -161,7 +161,9 @@ def test_bpe_equals_the_library(docs, rows, none, tokenizer):
     assert bag(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter(brute(r[0], r[1]) for r in rows)
     assert bpe.digests(none, tokenizer).count() == 0
     whole = bpe.with_ids(docs, tokenizer)
-    assert [c for c in docs.columns if c not in ("ids", "text")] == [c for c in whole.columns if c not in ("ids", "text", "n_tokens")]
+    # the input's own column of that name stays
+    assert whole.columns == [*(c for c in docs.columns if c != "text"), "text", "_ids", "n_tokens"]
+    assert {(r["doc_id"], tuple(r["_ids"]), r["n_tokens"]) for r in whole.filter("doc_id is not null").select("doc_id", "_ids", "n_tokens").collect()} == {(r[0], tuple(x := t.encode(r[1] or "", add_special_tokens=False).ids), len(x)) for r in rows if r[0] is not None}
 
 
 def test_bpe_over_odd_strings(tokenizer):
