@@ -166,7 +166,9 @@ def weights(docs: DataFrame, target: DataFrame, order: int = ORDER, buckets: int
     """doc_id, n_features, n_words, weight of every document."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    dealt = postings(docs, order, buckets).repartition("slice", F.pmod("bucket", F.lit(GROUPS)))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.col("slice") * GROUPS + F.pmod("bucket", F.lit(GROUPS)), F.lit(n)).cast("int")  # in turn, so no task gets several by chance
+    dealt = postings(docs, order, buckets).repartitionById(n, place)
     rows = cut(dealt.sortWithinPartitions("slice", "bucket"), "postings")
     source = rows.filter(F.col("bucket") >= 0).groupBy("bucket").agg(F.sum("n").alias("n"))
     gain = gains(source, counted(target, order, buckets), buckets)
