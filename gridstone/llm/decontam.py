@@ -9,8 +9,10 @@ of 15 tokens or more. So the overlaps found are all overlaps, whatever the masks
 
 Each token is hashed once; the value of a masked span joins the hashes of its tokens
 by rotation and exclusive or. The values of the benchmark's spans are the seeds. Of a
-document's spans those that may be seeds (a Bloom filter of bounded size, as a
-literal) go on with the tokens around them, are joined with the seeds and verified
+document's spans those that may be seeds go on with the tokens around them: a Bloom filter
+tells, as a literal up to FILTER_MOST bits, else in shards of so many bits that reach the
+rows as the value of a scalar subquery, PASS_SHARDS of them in each pass over the texts
+(eleven million spans a pass). They are joined with the seeds and verified
 token by token. Up to SEED_ROWS seeds are broadcast; more are dealt on the value and
 one of SALTS numbers, so that no value's spans are one task's. The documents' texts
 are not shuffled.
@@ -49,6 +51,8 @@ MASKS = {
 WINDOW, MATCH = 16, 0.8
 #: Bits of the filter a seed, probes, and the largest filter.
 FILTER_BITS, FILTER_PROBES, FILTER_MOST = 48, 3, 1 << 23
+#: Shards of a filter beyond FILTER_MOST that one pass over the texts takes: 64 MB.
+PASS_SHARDS = 64
 #: Seeds that are broadcast (about 500 bytes each), and numbers that more seeds are dealt by.
 SEED_ROWS, SALTS = 100_000, 16
 #: Contaminated documents whose ids are broadcast, at 16 bytes each.
@@ -123,18 +127,48 @@ def bit(p: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def filter_of(known: DataFrame) -> tuple[int, Column] | None:
-    """Bits and words of a filter of the seeds' values; none if it would pass its bound."""
-    n = known.select("value").distinct().count()
+Test = Callable[[Column], Column]
+
+
+def filters(known: DataFrame) -> list[Test]:
+    """Tests of whether a value may be a seed's, one for each pass over the texts; each seed's value passes just one."""
+    values = known.select("value").distinct()
+    n = values.count()
     bits = 1 << max(10, (max(1, n) * FILTER_BITS - 1).bit_length())
-    if bits > FILTER_MOST:
-        return None
-    p = known.select("value").distinct().select(F.explode(F.array(*probes(F.col("value"), bits))).alias("p"))
-    rows = p.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(bit(F.col("p"))).alias("w")).collect()  # at most FILTER_MOST / 64
-    words = ["0"] * (bits // 64)
-    for r in rows:
-        words[r["i"]] = str(r["w"])
-    return bits, F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+    if bits <= FILTER_MOST:
+        p = values.select(F.explode(F.array(*probes(F.col("value"), bits))).alias("p"))
+        rows = p.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(bit(F.col("p"))).alias("w")).collect()  # at most FILTER_MOST / 64
+        words = ["0"] * (bits // 64)
+        for r in rows:
+            words[r["i"]] = str(r["w"])
+        table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+        return [lambda value: probed(table, value, bits)]
+    shards = -(-n * FILTER_BITS // FILTER_MOST)
+    laid = cut(sharded(values, shards), "sieve")
+
+    def one(low: int) -> Test:
+        some = laid.filter(F.col("shard").between(low, low + PASS_SHARDS - 1))
+        words = some.agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "words"))), lambda x: x["words"]).alias("words")).scalar()
+        return lambda value: shard_of(value, shards).between(low, low + PASS_SHARDS - 1) & F.coalesce(probed(F.get(words, shard_of(value, shards) - low), value, FILTER_MOST), F.lit(False))
+
+    return [one(low) for low in range(0, shards, PASS_SHARDS)]
+
+
+def probed(words: Column, value: Column, bits: int) -> Column:
+    return reduce(lambda a, b: a & b, (F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in probes(value, bits)))
+
+
+def shard_of(value: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(shards)).cast("int")
+
+
+def sharded(values: DataFrame, shards: int) -> DataFrame:
+    """shard, words: one filter of FILTER_MOST bits a shard. A zero for each word goes with the bits, so that no word is missing and the words need only be sorted."""
+    size = FILTER_MOST // 64
+    none = values.sparkSession.range(shards * size).select(F.floor(F.col("id") / size).cast("int").alias("shard"), (F.col("id") % size).cast("long").alias("i"), F.lit(0).cast("long").alias("w"))
+    p = values.select(shard_of(F.col("value"), shards).alias("shard"), F.explode(F.array(*probes(F.col("value"), FILTER_MOST))).alias("p"))
+    words = none.unionByName(p.select("shard", F.shiftright("p", 6).cast("long").alias("i"), bit(F.col("p")).alias("w"))).groupBy("shard", "i").agg(F.bit_or("w").alias("w"))
+    return words.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words"))
 
 
 def verified(hits: DataFrame) -> DataFrame:
@@ -165,13 +199,7 @@ def verified(hits: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS) -> DataFrame:
     """doc_id, item_id, first_word, last_word (places of the first and last token of windows that overlap), most (equal tokens in the best one)."""
     known, numbers = seeds(benchmark)
-    sieve = filter_of(known)
-    if sieve is None:
-        keep = None
-    else:
-        bits, words = sieve
-        keep = lambda value: reduce(lambda a, b: a & b, (F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in probes(value, bits)))
-    found = entries(docs, "doc_id", numbers, keep).drop("mask")
+    found = reduce(DataFrame.unionByName, (entries(docs, "doc_id", numbers, keep) for keep in filters(known))).drop("mask")
     seed = known.select("value", "item_id", F.col("n_tokens").alias("item_tokens"), F.col("place").alias("seed_place"), F.col("lead").alias("seed_lead"), F.col("near").alias("seed_near"))
     if known.count() <= seed_rows:
         hits = found.join(F.broadcast(seed), "value")

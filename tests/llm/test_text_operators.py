@@ -368,12 +368,33 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.contaminated(base, bench.limit(0)).count() == 0
 
 
-def test_decontamination_without_filter(spark, monkeypatch):
-    text = " ".join(f"token{i}" for i in range(30))
-    docs = spark.createDataFrame([(1, text), (2, "clean words only " * 20)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
-    monkeypatch.setattr(decontam, "FILTER_MOST", 1)
-    assert [r["doc_id"] for r in decontam.contaminated(docs, bench).collect()] == [1]
+@pytest.mark.parametrize("shards_a_pass", [64, 3])
+def test_decontamination_by_filters_in_shards(spark, monkeypatch, shards_a_pass):
+    """A benchmark beyond the filter's bound: the same overlaps, and few spans but the seeds' own go into the join."""
+    import random
+
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(4000)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, line(rng.randint(16, 60))) for i in range(60)]
+    texts = [(i, line(300)) for i in range(80)]
+    texts += [(100 + i, f"{line(50)} {items[i][1]} {line(50)}") for i in range(0, 60, 7)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {tuple(r) for r in decontam.overlaps(docs, bench).collect()}
+    assert len(want) >= 9
+    monkeypatch.setattr(decontam, "FILTER_MOST", 1 << 13)
+    monkeypatch.setattr(decontam, "PASS_SHARDS", shards_a_pass)
+    known, numbers = decontam.seeds(bench)
+    keeps = decontam.filters(known)
+    assert len(keeps) == 1 if shards_a_pass == 64 else len(keeps) > 3
+    values = known.select("value").distinct()
+    spans = [decontam.entries(docs, "doc_id", numbers, k).select("doc_id", "place", "value") for k in keeps]
+    entering = [s.join(values, "value", how).count() for s in spans for how in ("left_anti", "left_semi")]
+    every = decontam.entries(docs, "doc_id", numbers)
+    assert sum(entering[1::2]) == every.join(values, "value", "left_semi").count() > 0  # each seed's span, once
+    assert sum(entering[::2]) < 0.01 * every.count()  # of the others less than one in a hundred
+    assert {tuple(r) for r in decontam.overlaps(docs, bench, seed_rows=0).collect()} == want
+    assert decontam.overlaps(docs.limit(0), bench).count() == 0
 
 
 def labelled(spark):
