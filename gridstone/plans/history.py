@@ -23,33 +23,45 @@ def team_boxes(stats: DataFrame) -> DataFrame:
     return b.select("game_id", "team", per("anya_num", "anya_den").alias("anya"), per("rushing_yards", "carries").alias("ypc"), "turnovers")
 
 
+# fixed values: each measure's place, its centre and its scale, in the order in which models read them
+SCALES = {"pt_diff": (0, 14), "pf": (21, 10), "pa": (21, 10), "win": (0.5, 1), "anya": (5.5, 2), "d_anya": (5.5, 2), "ypc": (4.2, 1), "d_ypc": (4.2, 1), "to_margin": (0, 2), "opp_elo": (1500, 100), "was_home": (0.5, 1), "adj_diff": (0, 14)}
+#: Points of rating that are worth a point of margin. (fixed value)
+PER_POINT = 25
+
+
 def results(team_features: DataFrame, games: DataFrame, stats: DataFrame) -> DataFrame:
-    """A row a team and game with `result`: twelve measures of what the game came to, for later games to look back on."""
-    side = lambda k, a, b: games.select("game_id", F.lit(k).alias("is_home"), F.col(a).cast("double").alias("pf"), F.col(b).cast("double").alias("pa"))
-    t = team_features.select("game_id", "season", F.to_date("gameday").alias("day"), "team", "opp", "is_home", "elo")
-    t = t.join(side(1, "home_score", "away_score").unionByName(side(0, "away_score", "home_score")), ["game_id", "is_home"])
-    box = team_boxes(stats)
-    t = t.join(box, ["game_id", "team"], "left")
-    t = t.join(box.select("game_id", F.col("team").alias("opp"), F.col("anya").alias("d_anya"), F.col("ypc").alias("d_ypc"), F.col("turnovers").alias("takeaways")), ["game_id", "opp"], "left")
-    t = t.join(team_features.select("game_id", F.col("team").alias("opp"), F.col("elo").alias("opp_elo")), ["game_id", "opp"])
-    c = F.col
-    known = lambda name, default: F.coalesce(c(name), F.lit(DEFAULTS[default]))
-    diff = c("pf") - c("pa")
-    measures = {
-        "pt_diff": diff / 14,
-        "pf": (c("pf") - 21) / 10,
-        "pa": (c("pa") - 21) / 10,
-        "win": F.coalesce((c("pf") > c("pa")).cast("double"), F.lit(0.0)) - 0.5,
-        "anya": (known("anya", "anya") - 5.5) / 2,
-        "d_anya": (known("d_anya", "anya") - 5.5) / 2,
-        "ypc": known("ypc", "ypc") - 4.2,
-        "d_ypc": known("d_ypc", "ypc") - 4.2,
-        "to_margin": (known("takeaways", "turnovers") - known("turnovers", "turnovers")) / 2,
-        "opp_elo": (c("opp_elo") - 1500) / 100,
-        "was_home": c("is_home") - 0.5,
-        "adj_diff": (diff - (c("elo") - c("opp_elo")) / 25) / 14,
+    """A row a team and game with `result`: twelve measures of what the game came to, for later games to look back on.
+
+    What a side had in a game (its box and its rating) is one struct a game and team; a game's two sides are collected
+    once, and each row finds its own and the other's among them."""
+    boxes = team_boxes(stats)
+    had = team_features.select("game_id", "team", "season", "gameday", "is_home", "elo").join(boxes, ["game_id", "team"], "left")
+    sides = had.groupBy("game_id").agg(F.collect_list(F.struct("team", "season", "gameday", "is_home", "elo", "anya", "ypc", "turnovers")).alias("sides"))  # two a game
+    scores = games.select("game_id", F.array(F.col("away_score").cast("double"), F.col("home_score").cast("double")).alias("scores"))
+    whole = sides.filter(F.size("sides") == 2).join(scores, "game_id")
+    pair = F.explode(F.array(*(F.struct(F.col("sides")[k].alias("own"), F.col("sides")[1 - k].alias("other")) for k in (0, 1))))
+    t = whole.select("game_id", "scores", pair.alias("p")).select("game_id", "scores", "p.*")
+    own, other = (lambda c: F.col("own")[c]), (lambda c: F.col("other")[c])
+    points = F.get("scores", own("is_home").cast("int"))
+    against = F.get("scores", other("is_home").cast("int"))
+    margin = points - against
+    known = lambda c, name: F.coalesce(c, F.lit(DEFAULTS[name]))
+    raw = {
+        "pt_diff": margin,
+        "pf": points,
+        "pa": against,
+        "win": F.coalesce((points > against).cast("double"), F.lit(0.0)),
+        "anya": known(own("anya"), "anya"),
+        "d_anya": known(other("anya"), "anya"),
+        "ypc": known(own("ypc"), "ypc"),
+        "d_ypc": known(other("ypc"), "ypc"),
+        "to_margin": known(other("turnovers"), "turnovers") - known(own("turnovers"), "turnovers"),
+        "opp_elo": other("elo"),
+        "was_home": own("is_home"),
+        "adj_diff": margin - (own("elo") - other("elo")) / PER_POINT,
     }
-    return t.select("game_id", "season", "day", "team", "opp", F.struct(*(e.cast("double").alias(n) for n, e in measures.items())).alias("result"))
+    measures = [((raw[n] - centre) / scale).cast("double").alias(n) for n, (centre, scale) in SCALES.items()]
+    return t.select("game_id", own("season").alias("season"), F.to_date(own("gameday")).alias("day"), own("team").alias("team"), other("team").alias("opp"), F.struct(*measures).alias("result"))
 
 
 def histories(rows: DataFrame, length: int = LENGTH) -> DataFrame:

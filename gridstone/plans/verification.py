@@ -85,7 +85,34 @@ def corrupted_inputs(inputs: dict[str, DataFrame], day: str | Column, seed: int
     unknown = cut.isNotNull() & F.coalesce(F.col("date_modified").cast("timestamp") >= cut.cast("timestamp"), F.lit(True))
     other = lambda values, c: F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64("season", "week", "team", "gsis_id", F.lit(c), F.lit(seed)), F.lit(len(values))).cast("int"))
     reports = injuries.withColumns({c: F.when(unknown, other(v, c)).otherwise(F.col(c)) for c, v in (("report_status", STATUSES), ("position", POSITIONS))})
-    return {"games": bad, "ps": late, "injuries": reports}
+    out = {"games": bad, "ps": late, "injuries": reports}
+    return out | {"rosters": corrupted_rosters(inputs["rosters"], games, cut, seed)} if "rosters" in inputs else out
+
+
+# fixed values: what a corrupted roster row may say
+ROSTER_STATUSES, PICKS, YEARS = ["ACT", "RES", "CUT"], 259, 15
+
+
+def week_ends(games: DataFrame) -> DataFrame:
+    """season, week, end: the last day of games of each week."""
+    return games.groupBy(*pregame.worlds(games), "season", "week").agg(F.max(F.to_date("gameday")).alias("end"))
+
+
+def corrupted_rosters(rosters: DataFrame, games: DataFrame, cut: Column, seed: int = 7) -> DataFrame:
+    """Weekly rosters with other players, statuses, picks and years in the weeks that end on the cutoff or later, or that no game tells of."""
+    w = pregame.worlds(rosters)
+    key = [c for c in ("season", "week", "team", "gsis_id") if c in rosters.columns]
+    pool = rosters.select("gsis_id").filter("gsis_id is not null").distinct().agg(F.array_sort(F.collect_set("gsis_id")).alias("q")).scalar()  # the league's players
+    draw = lambda what, n: F.pmod(F.xxhash64(*key, F.lit(what), F.lit(seed)), n)
+    rows = rosters.join(week_ends(games), [*w, "season", "week"], "left").withColumn("_late", cut.isNotNull() & F.coalesce(F.col("end") >= cut, F.lit(True)))
+    other = {
+        "gsis_id": F.get(pool, draw("gsis_id", F.size(pool)).cast("int")),
+        "status": F.get(F.array(*map(F.lit, ROSTER_STATUSES)), draw("status", F.lit(len(ROSTER_STATUSES))).cast("int")),
+        "draft_number": draw("draft_number", F.lit(PICKS)) + 1,
+        "years_exp": draw("years_exp", F.lit(YEARS)),
+    }
+    changed = {c: F.when(F.col("_late"), e.cast(rosters.schema[c].dataType)).otherwise(F.col(c)) for c, e in other.items() if c in rosters.columns}
+    return rows.withColumns(changed).select(*rosters.columns)
 
 
 def leaky(build: Callable[[dict], dict]) -> Callable[[dict], dict]:

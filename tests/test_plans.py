@@ -195,6 +195,37 @@ def test_histories(built):
     assert z["m_temp"] == 1 and z["z_temp"] == 0.0 and abs(z["z_diff_elo"]) <= 6
 
 
+def test_measures_of_a_game(spark):
+    feature = [("g", 2020, "2020-09-10", "A", "B", 1, 1550.0), ("g", 2020, "2020-09-10", "B", "A", 0, 1500.0), ("u", 2020, "2020-09-17", "A", "B", 0, 1560.0), ("u", 2020, "2020-09-17", "B", "A", 1, 1490.0)]
+    team = spark.createDataFrame(feature, "game_id string, season int, gameday string, team string, opp string, is_home int, elo double")
+    games = spark.createDataFrame([("g", 24, 10), ("u", None, None)], "game_id string, home_score int, away_score int")
+    boxes = spark.createDataFrame([("g", "A", 6.5, None, 2.0)], "game_id string, team string, anya double, ypc double, turnovers double")
+    original, history.team_boxes = history.team_boxes, lambda stats: stats
+    try:
+        got = {(r["game_id"], r["team"]): r["result"].asDict() for r in history.results(team, games, boxes).collect()}
+    finally:
+        history.team_boxes = original
+    want = {"pt_diff": 1.0, "pf": 0.3, "pa": -1.1, "win": 0.5, "anya": 0.5, "d_anya": 0.0, "ypc": 0.0, "d_ypc": 0.0, "to_margin": -0.25, "opp_elo": 0.0, "was_home": 0.5, "adj_diff": 12 / 14}
+    assert got["g", "A"] == pytest.approx(want) and list(got["g", "A"]) == list(want)
+    assert got["g", "B"]["d_anya"] == 0.5 and got["g", "B"]["to_margin"] == 0.25 and got["g", "B"]["adj_diff"] == pytest.approx(-12 / 14)
+    assert got["u", "B"]["pt_diff"] is None and got["u", "B"]["win"] == -0.5 and got["u", "B"]["opp_elo"] == pytest.approx(0.6)
+
+
+def test_corrupted_rosters(spark):
+    games = spark.createDataFrame([("a", 2020, 1, "2020-09-10"), ("b", 2020, 1, "2020-09-14"), ("c", 2020, 2, "2020-09-20")], "game_id string, season int, week int, gameday string")
+    assert {(r["week"], str(r["end"])) for r in verification.week_ends(games).collect()} == {(1, "2020-09-14"), (2, "2020-09-20")}
+    rows = [(2020, w, "T", f"p{i}", "ACT", 300, 99, i) for w in (1, 2, 3) for i in range(30)]
+    rosters = spark.createDataFrame(rows, "season int, week int, team string, gsis_id string, status string, draft_number int, years_exp int, jersey int")
+    got = verification.corrupted_rosters(rosters, games, F.lit("2020-09-15").cast("date"))
+    assert got.columns == rosters.columns and got.count() == 90
+    assert sorted(map(tuple, got.filter("week = 1").collect())) == sorted(r for r in rows if r[1] == 1)
+    late = got.filter("week > 1").collect()
+    assert all(1 <= r["draft_number"] <= 259 and 0 <= r["years_exp"] < 15 and r["status"] in verification.ROSTER_STATUSES and r["gsis_id"] in {f"p{i}" for i in range(30)} for r in late)
+    assert sum(r["gsis_id"] != f"p{r['jersey']}" for r in late) > 40
+    on_the_day = verification.corrupted_rosters(rosters, games, F.lit("2020-09-14").cast("date")).filter("week = 1 and draft_number = 300").count()
+    assert on_the_day == 0 and verification.corrupted_rosters(rosters, games, F.lit(None).cast("date")).exceptAll(rosters).isEmpty()
+
+
 def test_release_files_and_merging(spark, tmp_path):
     names = files.release_files(2026)
     assert len(names) == 4 + 23 + 26 + 16 + 1 + 4 and "weekly_rosters/roster_weekly_2002.parquet" in names and names[-1] == "injuries/injuries_2026.parquet"
