@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most so many rows and bytes.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 2000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_arrow(spark: SparkSession, size: int = ARROW_BYTES) -> None:
-    """Keeps one Arrow batch small however long the texts are."""
+def bound_arrow(spark: SparkSession) -> None:
+    """Keeps one Arrow batch small however long the texts are: a JVM holds some of them for each task, outside its heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 _local: dict[str, str] = {}
