@@ -125,6 +125,13 @@ def test_elo(spark):
     assert abs(got[9]["home_elo"] - 1500) < 100 and len(got) == 18
 
 
+def test_elo_in_steps(spark):
+    rows = [("lm"[i % 5 == 0], i, i // 3, 2000 + i // 30, "abcd"[i % 4], "efg"[i % 3], i % 7 == 0, None if i % 11 == 5 else float(i % 9 - 4)) for i in range(90)]
+    games = spark.createDataFrame(rows, "league string, game_id int, at long, season int, home string, away string, neutral boolean, margin double").repartition(3)
+    want = {tuple(r) for r in ratings.elo(games).collect()}
+    assert len(want) == 90 and {tuple(r) for r in ratings.elo(games, most=20).collect()} == want
+
+
 def test_metrics_and_odds(spark):
     df = spark.createDataFrame([(0.5, 1.0, 0.6), (0.55, 1.0, 0.4), (0.9, 0.0, 0.7), (0.1, 0.0, None)], "p double, won double, market double")
     m = df.agg(*metrics.win_metrics(F.col("p"), F.col("won"))).first()
