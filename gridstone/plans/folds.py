@@ -139,9 +139,14 @@ class Folds:
         self.flip = self.layout.flip()
         wanted = set(cutoffs) | set(self.seasons) | {self.seasons[-1] + 1} if self.seasons else set(cutoffs)
         self.medians: dict[int, dict[str, float | None]] = {c: {} for c in wanted}
-        # the other side's odd features mirror a row's own: their medians are 0; the others' are as without it
-        for r in medians_before(rows, features, sorted(wanted), season).collect() if wanted else []:  # a row a feature and cutoff
-            self.medians[r["cutoff"]][r["column"]] = r["median"] if r["median"] is None or not is_odd(r["column"]) else 0.0
+        # the other side's odd features mirror a row's own: their medians are 0, if any is known, and need no count of values
+        odd = [f for f in features if is_odd(f)]
+        for c in wanted if self.seasons else ():
+            n = self.before(c)
+            self.medians[c] = {f: 0.0 if n[0, 0] > n[0, self.layout.m(f)] else None for f in odd}
+        even = [f for f in features if not is_odd(f)]
+        for r in medians_before(rows, even, sorted(wanted), season).collect() if wanted and even else []:  # a row a feature and cutoff
+            self.medians[r["cutoff"]][r["column"]] = r["median"]
 
     def before(self, cutoff: int) -> np.ndarray:
         zero = np.zeros((self.layout.size, self.layout.size))

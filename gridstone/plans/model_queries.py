@@ -14,6 +14,7 @@ from gridstone.operators import metrics
 from gridstone.operators.quantiles import medians_before
 from gridstone.plans import folds, models
 from gridstone.plans.fixture_queries import LONG, games, pregame_record, query
+from gridstone.session import written
 
 FEATURES = ["diff_wins", "diff_win_pct", "diff_avg_diff", "home_adv"]
 ALPHAS, STRENGTHS = [30.0, 1000.0, 3000.0], [0.001, 0.01, 1.0]
@@ -26,7 +27,9 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decided games with what the sides' records tell, all known before the day."""
     margins = games(spark, sf_dir).select("game_id", "season", (F.col("home_score") - F.col("away_score")).cast("double").alias("margin"))
     out = pregame_record(spark, sf_dir).join(margins, "game_id").filter("margin is not null and margin <> 0")
-    return out.withColumn("home_adv", F.lit(1.0)).withColumn("won", (F.col("margin") > 0).cast("double"))
+    out = out.withColumn("home_adv", F.lit(1.0)).withColumn("won", (F.col("margin") > 0).cast("double"))
+    # every season's list, sum, Newton step and prediction reads them: none plays the records again
+    return written(out.select("game_id", "season", *FEATURES, "margin", "won"))
 
 
 def seasons_of(df: DataFrame) -> list[int]:

@@ -11,3 +11,8 @@ def test_every_season_after_the_first_is_predicted(spark):
     assert len(rest) > 2
     for model in ("ridge", "logit"):
         assert sorted((r["season"], r["n"]) for r in got if r["model"] == model) == rest
+
+
+def test_rows_are_played_once(spark):
+    plan = model_queries.rows(spark, SF)._jdf.queryExecution().toString()
+    assert "parquet" in plan.lower() and "Window" not in plan and "Aggregate" not in plan
