@@ -4,8 +4,9 @@ The model is over runs of ORDER code points (white space is one sign, A-Z is a-z
 points from 512 on share 512 classes). Workers gather the different runs of ORDER + 1
 signs of all documents, Spark joins them by language; a run of ORDER signs counts by the
 different signs found before it, as Kneser-Ney's lower orders do, so that copies of a
-text do not make it likelier. Shorter runs count in the same way. The model grows with
-the corpus. Discounted estimates and the weights of the next lower order are stored as
+text do not make it likelier. Shorter runs count in the same way. That is the model of
+`decisions` and `keep`; `report` takes the published method's (raw): the runs of ORDER
+signs count by their places, the shorter ones as above. The model grows with the corpus. Discounted estimates and the weights of the next lower order are stored as
 sorted arrays of 64-bit hashes: files of at most SHARD_ROWS entries in the shared
 folder, each with the range of its hashes. A worker looks its texts' runs up in the
 files whose ranges hold them, and keeps files of at most CACHE_ROWS entries; nothing of
@@ -152,6 +153,41 @@ def gram_rows(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long")
 
 
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """lang, gram, n: the runs of ORDER signs of each worker's documents and their places (some runs repeated)."""
+
+    def rows(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            key, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+            for k in range(0, len(key), 1 << 17):
+                part = key[k : k + (1 << 17)]
+                name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int32)), pa.array([lang], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(part.astype(np.int64)), pa.array(n[k : k + (1 << 17)])], ["lang", "gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+        for b in K.chunks(batches, STEP_BYTES):
+            g, first = grams(*K.buffer(K.column(b, "text")))
+            g &= U((1 << BITS * ORDER) - 1)
+            names, code = languages(K.column(b, "lang"))
+            code = np.repeat(code, np.diff(first))
+            for i, lang in enumerate(names):
+                keys, n = np.unique(g[code == i], return_counts=True)
+                if len(keys):
+                    held.setdefault(lang, []).append((keys, n))
+                    size += len(keys)
+            if size > HELD:
+                yield from rows(held)
+                held, size = {}, 0
+        yield from rows(held)
+        del held
+        K.give_back()
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+
+
 def languages(column: pa.Array) -> tuple[list[str], np.ndarray]:
     """The names in a column, and the number of each row's name."""
     d = column.dictionary_encode()
@@ -167,6 +203,12 @@ def levels(runs: DataFrame, order: int = ORDER) -> DataFrame:
     return longer.groupBy("k", "lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def raw_levels(runs: DataFrame) -> DataFrame:
+    """`levels` from counted runs of ORDER signs: the highest order has the runs' places, the lower ones the different signs before a run."""
+    top = runs.select(F.lit(ORDER).alias("k"), "lang", "gram", "n")
+    return top.unionByName(levels(runs.select("lang", "gram"), ORDER - 1))
+
+
 def estimates(level: DataFrame) -> DataFrame:
     """kind, lang, gram, v of the interpolated modified Kneser-Ney model: for kind k the discounted share of a run of k
     signs among those with its context, for kind -k what the context `gram` leaves to the next lower order."""
@@ -409,9 +451,13 @@ def measured(docs: DataFrame, model: Model, added: dict[str, str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def model_of(docs: DataFrame) -> Model:
+def model_of(docs: DataFrame, raw: bool = False) -> Model:
+    """The model of the documents; raw: the highest order counts places, as the published method does, else different signs before a run."""
     bound_arrow(docs.sparkSession)
     rows = docs.select(language(F.col("lang")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    if raw:
+        counts = cut(gram_counts(rows).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "kn-runs")
+        return Model.store(estimates(cut(raw_levels(counts), "kn-levels")))
     runs = cut(gram_rows(rows).distinct(), "kn-runs")
     return Model.store(estimates(cut(levels(runs), "kn-levels")))
 
@@ -466,9 +512,9 @@ def decided(rows: DataFrame, added: dict[str, str], lower: float, upper: float)
 NAMES = ["text", "lang", "bytes", *STATS, "nll", "size", "band", "salt", "base_failed", "kept"]
 
 
-def decisions(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
+def decisions(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, raw: bool = False) -> DataFrame:
     """doc_id, lang, the statistics, nll, perplexity, base_failed and kept of every document."""
-    model = model_of(docs)
+    model = model_of(docs, raw)
     added = {c: c for c in [*NAMES, "doc_id"]}
     ready = docs.select("doc_id", language(F.col("lang")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = cut(measured(ready, model, added).drop("text"), "quality")
@@ -477,7 +523,7 @@ def decisions(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Da
 
 def report(docs: DataFrame) -> DataFrame:
     """What op5 returns."""
-    return decisions(docs).select("doc_id", *STATS, "base_failed", "kept", F.round("perplexity", 6).alias("perplexity"))
+    return decisions(docs, raw=True).select("doc_id", *STATS, "base_failed", "kept", F.round("perplexity", 6).alias("perplexity"))
 
 
 def keep(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from gridstone.llm import bpe, decontam, licenses, quality, simhash, substring, tokens_orc, toxicity
@@ -272,6 +273,20 @@ def test_perplexity_and_verdict_equal_brute_force(spark):
         assert got[i]["kept"] == (not got[i]["base_failed"] and low <= got[i]["nll"] <= high)
 
 
+def test_the_reports_highest_order_counts_places(spark):
+    texts = ["the cat sat on the cat", "the cat sat on the cat", "a dog sat", "the dog and the cat"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = quality.raw_levels(quality.gram_counts(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n"))).collect()
+    padded = [" " * (quality.ORDER - 1) + t for t in texts]
+    runs = Counter(s[k : k + quality.ORDER] for s in padded for k in range(len(s) - quality.ORDER + 1))
+    assert sorted(r["n"] for r in got if r["k"] == quality.ORDER) == sorted(runs.values())
+    shorter = Counter(g[1:] for g in runs)
+    assert sorted(r["n"] for r in got if r["k"] == quality.ORDER - 1) == sorted(shorter.values())
+    raw = {r["doc_id"]: r["perplexity"] for r in quality.report(docs).collect()}
+    other = {r["doc_id"]: r["perplexity"] for r in quality.decisions(docs).collect()}
+    assert raw[0] == raw[1] < other[0]
+
+
 def test_values_do_not_depend_on_neighbours_or_shards(spark, monkeypatch):
     rows = [(i, f"text {i} of the {'cat dog sun sea'.split()[i % 4]} is about {i * 7}", "en") for i in range(60)]
     schema = "doc_id long, text string, lang string"
