@@ -233,8 +233,8 @@ class Folds:
             out[r["fit"]][r["i"]] = r["row"]
         return out
 
-    def predictions(self, fits: dict[tuple[str, int], tuple[np.ndarray, float | None]], key: str = "game_id") -> DataFrame:
-        """key, season, model, margin_hat, p of each model in its season. fits: by (model, season) the weights of v, and sigma of a margin model."""
+    def predictions(self, fits: dict[tuple[str, int], tuple[np.ndarray, float | None]], key: str = "game_id", also: Sequence[str] = ()) -> DataFrame:
+        """key, season, model, margin_hat, p of each model in its season, and the rows' columns named in `also`. fits: by (model, season) the weights of v, and sigma of a margin model."""
         lay, spark = self.layout, self.rows.sparkSession
         odd = np.array([1.0, *(-1.0 if is_odd(f) else 1.0 for f in lay.features), *[1.0] * lay.p])
         table = []
@@ -244,21 +244,22 @@ class Folds:
         of = spark.createDataFrame(table, "model string, season long, w array<double>, u array<double>, sigma double")
         known = [F.col(f"`{f}`").cast("double") for f in lay.features]
         v = F.array(F.lit(1.0), *(F.coalesce(c, F.lit(0.0)) for c in known), *(c.isNull().cast("double") for c in known))
-        rows = self.rows.select(key, F.col(self.season).cast("long").alias("season"), v.alias("v")).join(F.broadcast(of), "season")  # a row a model and season
+        kept = [F.col(c).alias(f"_also_{c}") for c in also]
+        rows = self.rows.select(key, F.col(self.season).cast("long").alias("season"), v.alias("v"), *kept).join(F.broadcast(of), "season")  # a row a model and season
         dot = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         half = lambda x: 1 / (1 + F.exp(-x))
         margin = F.col("sigma").isNotNull()
         rows = rows.withColumn("_a", dot("w")).withColumn("_b", dot("u"))
         p = F.when(margin, normal_cdf(F.col("_a") / F.col("sigma"))).otherwise((half(F.col("_a")) + 1 - half(F.col("_b"))) / 2)
-        return rows.select(key, "season", "model", F.when(margin, F.col("_a")).alias("margin_hat"), p.alias("p"))
+        return rows.select(key, "season", "model", F.when(margin, F.col("_a")).alias("margin_hat"), p.alias("p"), *(F.col(f"_also_{c}").alias(c) for c in also))
 
 
 #: Names of models: kind and strength, on which features.
 Candidate = tuple[str, float, tuple[str, ...]]
 
 
-def walk_forward(rows: DataFrame, models: dict[str, Candidate], seasons: Sequence[int], key: str = "game_id", season: str = "season") -> DataFrame:
-    """key, season, model, margin_hat, p: each season's predictions by all models, fitted on the seasons before.
+def walk_forward(rows: DataFrame, models: dict[str, Candidate], seasons: Sequence[int], key: str = "game_id", season: str = "season", also: Sequence[str] = ()) -> DataFrame:
+    """key, season, model, margin_hat, p, and the rows' columns named in `also`: each season's predictions by all models, fitted on the seasons before.
 
     models: by name the kind ("ridge" of `margin`, "logit" of `won`), its strength and features."""
     features = list(dict.fromkeys(f for _, _, names in models.values() for f in names))
@@ -269,4 +270,4 @@ def walk_forward(rows: DataFrame, models: dict[str, Candidate], seasons: Sequenc
     for name, (kind, strength, names) in models.items():
         for s in seasons:
             fits[name, s] = (folds.ridge(s, strength, names)[0], folds.sigma(s, strength, names)) if kind == "ridge" else (odds[s, strength, names][0], None)
-    return folds.predictions(fits, key)
+    return folds.predictions(fits, key, also)

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.operators import metrics
+from gridstone.operators import metrics, records
 from gridstone.operators.quantiles import medians_before
 from gridstone.plans import folds, models
-from gridstone.plans.fixture_queries import LONG, games, pregame_record, query
+from gridstone.plans.fixture_queries import LONG, RECORD, query, record_rows, recorded
 from gridstone.session import written
 
 FEATURES = ["diff_wins", "diff_win_pct", "diff_avg_diff", "home_adv"]
@@ -25,8 +25,10 @@ D = range(1, len(FEATURES) + 1)
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decided games with what the sides' records tell, all known before the day."""
-    margins = games(spark, sf_dir).select("game_id", "season", (F.col("home_score") - F.col("away_score")).cast("double").alias("margin"))
-    out = pregame_record(spark, sf_dir).join(margins, "game_id").filter("margin is not null and margin <> 0")
+    # season and margin go along with the rows: the games are not read and dealt a second time
+    sides = record_rows(spark, sf_dir).withColumn("margin", F.when(F.col("played") == 1, F.col("diff")).cast("double")).filter("margin <> 0")
+    diffs = [f"diff_{c}" for c in RECORD]
+    out = records.wide(sides, ["game_id", "season"], [*RECORD, "margin"]).select("game_id", "season", *recorded(diffs), F.col("home_margin").alias("margin"))
     out = out.withColumn("home_adv", F.lit(1.0)).withColumn("won", (F.col("margin") > 0).cast("double"))
     # every season's list, sum, Newton step and prediction reads them: none plays the records again
     return written(out.select("game_id", "season", *FEATURES, "margin", "won"))
@@ -133,7 +135,7 @@ def ridge_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
             fits[str(alpha), s] = weights, sigma
             told.append((s, alpha, sigma, *(by[f] for f in FEATURES)))
     of = spark.createDataFrame(told, "season long, alpha double, sigma double, " + ", ".join(f"w_{f} double" for f in FEATURES))
-    got = fit.predictions(fits).withColumn("alpha", F.col("model").cast("double")).join(df.select("game_id", "margin"), "game_id")
+    got = fit.predictions(fits, also=["margin"]).withColumn("alpha", F.col("model").cast("double"))
     scored = got.groupBy("season", "alpha").agg(F.count(F.lit(1)).alias("n"), *metrics.margin_metrics(F.col("margin_hat"), F.col("margin")))
     return scored.join(F.broadcast(of), ["season", "alpha"]).select("season", "alpha", "n", *(F.round(c, 5).alias(c) for c in ("sigma", "mae", "rmse", *(f"w_{f}" for f in FEATURES))))
 
@@ -152,8 +154,8 @@ def logit_win(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = folds.Folds(df, FEATURES, cutoffs=seasons)
     got = fit.logistic([(s, c, names) for s in seasons for c in STRENGTHS])
     of = spark.createDataFrame([(s, c, *(by[f] for f in FEATURES)) for (s, c, _), (_, by) in got.items()], "season long, c double, " + ", ".join(f"w_{f} double" for f in FEATURES))
-    p = fit.predictions({(str(c), s): (w, None) for (s, c, _), (w, _) in got.items()}).withColumn("c", F.col("model").cast("double"))
-    scored = p.join(df.select("game_id", "won"), "game_id").groupBy("season", "c").agg(*metrics.win_metrics(F.col("p"), F.col("won")))
+    p = fit.predictions({(str(c), s): (w, None) for (s, c, _), (w, _) in got.items()}, also=["won"]).withColumn("c", F.col("model").cast("double"))
+    scored = p.groupBy("season", "c").agg(*metrics.win_metrics(F.col("p"), F.col("won")))
     return scored.join(F.broadcast(of), ["season", "c"]).select("season", "c", "n", *(F.round(x, 5).alias(x) for x in ("accuracy", "log_loss", "brier", *(f"w_{f}" for f in FEATURES))))
 
 

@@ -411,6 +411,6 @@ def write_validation(predictions: DataFrame, path: str) -> DataFrame:
 def walk_forward(df: DataFrame, features: Sequence[str], seasons: Sequence[int]) -> DataFrame:
     """model, season, n, accuracy, log_loss, brier of a ridge margin and a logistic model."""
     rows = df.withColumn("won", (F.col("margin") > 0).cast("double"))
-    got = folds.walk_forward(rows, {"ridge": ("ridge", 1000.0, tuple(features)), "logit": ("logit", 0.01, tuple(features))}, seasons)
-    scored = got.join(rows.select("game_id", "won"), "game_id").groupBy("model", "season").agg(*metrics.win_metrics(F.col("p"), F.col("won")))
+    got = folds.walk_forward(rows, {"ridge": ("ridge", 1000.0, tuple(features)), "logit": ("logit", 0.01, tuple(features))}, seasons, also=["won"])
+    scored = got.groupBy("model", "season").agg(*metrics.win_metrics(F.col("p"), F.col("won")))
     return scored.select("model", "season", "n", *(F.round(c, 4).alias(c) for c in ("accuracy", "log_loss", "brier")))
