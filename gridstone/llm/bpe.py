@@ -32,6 +32,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: Byte pairs of these leading bytes are all letters (but for two signs of the first).
 LETTER_LEADS = (0xC3, 0xC4, 0xC5, 0xD0, 0xD1)
 NEVER = np.int64(1) << np.int64(62)
+#: Of a worker's table of pre-tokens: half of its places are used at most, at about 60 bytes each. Table cells that are merged in one step.
+TABLE_BITS, CELLS = 20, 1 << 17
 
 
 def byte_chars() -> dict[int, str]:
@@ -119,22 +121,49 @@ class Pieces:
 
 
 class Memo:
-    """Ids of pre-tokens in an open-addressing table that starts anew when full.
+    """Ids of pre-tokens in an open-addressing table of at most 2^bits places, half of them used.
 
+    When it is full the entries go that were not met again since they came or since it was full last; a chunk with more
+    different pre-tokens than it has room for gets a wider table for itself. So a worker's table does not grow with its texts.
     An entry is found by the pre-token's hash (a worker draws its base) and counts only if its bytes
     are the same; a pre-token whose hash another one holds is encoded without the table."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int = 22, hash_: K.Hash | None = None):
-        self.encode, self.mask, self.hash = encode, U((1 << bits) - 1), hash_ or K.Hash(K.fresh_key())
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int = TABLE_BITS, hash_: K.Hash | None = None):
+        self.encode, self.bits, self.hash = encode, bits, hash_ or K.Hash(K.fresh_key())
         self.clear()
 
-    def clear(self) -> None:
-        size = int(self.mask) + 1
+    def clear(self, bits: int | None = None) -> None:
+        size = 1 << (bits or self.bits)
+        self.mask = U(size - 1)
         self.keys, self.slots = np.zeros(size, U), np.zeros(size, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
         self.raw, self.n_raw = np.zeros(1 << 16, np.uint8), 0
         self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.of, self.again = np.zeros(1 << 14, U), np.zeros(1 << 14, bool)
+
+    def renew(self) -> None:
+        """Keeps the entries that were met again, if they are at most half of the room."""
+        on = np.flatnonzero(self.again[: self.n])
+        if 4 * len(on) > int(self.mask):
+            on = on[:0]
+        h, size, counts = self.of[on], self.size[on], self.length[on].astype(np.int64)
+        ids, raw = K.gather(self.ids, self.start[on], counts), K.gather(self.raw, self.at[on], size)
+        self.clear()
+        self.add(h, counts, ids, size, raw)
+
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.ndarray) -> None:
+        """New entries, with their ids and bytes end to end."""
+        n = self.n + len(h)
+        self.ids = self._room(self.ids, self.n_ids + len(ids))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.raw = self._room(self.raw, self.n_raw + len(raw) + 8)  # `same` reads eight bytes at once
+        self.raw[self.n_raw : self.n_raw + len(raw)] = raw
+        for name, values in (("start", self.n_ids + np.cumsum(counts) - counts), ("length", counts), ("at", self.n_raw + np.cumsum(size) - size), ("size", size), ("of", h), ("again", False)):
+            setattr(self, name, self._room(getattr(self, name), n))
+            getattr(self, name)[self.n : n] = values
+        self.insert(h, np.arange(self.n, n, dtype=np.int32))
+        self.n, self.n_ids, self.n_raw = n, self.n_ids + len(ids), self.n_raw + len(raw)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         out, left, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & self.mask
@@ -165,8 +194,8 @@ class Memo:
         """Whether all pre-tokens are those of their entries; up to SHORT bytes the hash holds all of them."""
         if np.any(self.size[at] != size):
             return False
-        eight = lambda x: np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,))
-        a, b = eight(data), eight(self.raw[: self.n_raw])
+        eight = lambda x, n: np.ndarray((n + 1,), "<u8", x, strides=(1,))
+        a, b = eight(np.concatenate([data, np.zeros(8, np.uint8)]), len(data)), eight(self.raw, self.n_raw)
         on = np.flatnonzero(size > K.SHORT)
         mine, theirs, left = starts[on], self.at[at[on]], size[on]
         long = left > 4096
@@ -189,38 +218,37 @@ class Memo:
         at = np.array([number[p] for p in pieces])
         return counts[at], K.gather(ids, (np.cumsum(counts) - counts)[at], counts[at])
 
-    def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each pre-token's number of ids, and all ids end to end."""
+    def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, full: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Each pre-token's number of ids, and all ids end to end. full: the table was full and has been renewed."""
         h = K.splitmix(self.hash.words(data, starts, ends) + U(1))
         at = self.find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new, first = np.unique(h[missing], return_index=True)
             if self.n + len(new) > int(self.mask) // 2:
-                if self.n:
+                if not self.n:
+                    self.clear(int(self.mask).bit_length() + 2)
+                elif full:
                     self.clear()
-                    return self.ids_of(data, starts, ends)
-                self.__init__(self.encode, int(self.mask).bit_length() + 2, self.hash)
+                else:
+                    self.renew()
+                return self.ids_of(data, starts, ends, True)
             where, raw = missing[first], data.tobytes()
             pieces = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
             counts, ids = self.encode(pieces)
-            self.ids = self._room(self.ids, self.n_ids + len(ids))
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            own = np.frombuffer(b"".join(pieces), np.uint8)
-            self.raw = self._room(self.raw, self.n_raw + len(own))
-            self.raw[self.n_raw : self.n_raw + len(own)] = own
-            size, n = (ends - starts)[where], self.n + len(new)
-            for name, values in (("start", self.n_ids + np.cumsum(counts) - counts), ("length", counts), ("at", self.n_raw + np.cumsum(size) - size), ("size", size)):
-                setattr(self, name, self._room(getattr(self, name), n))
-                getattr(self, name)[self.n : n] = values
-            self.insert(new, np.arange(self.n, n, dtype=np.int32))
-            self.n, self.n_ids, self.n_raw = n, self.n_ids + len(ids), self.n_raw + len(own)
+            self.again[at[at >= 0]] = True
+            self.add(new, counts, ids, (ends - starts)[where], np.frombuffer(b"".join(pieces), np.uint8))
             at[missing] = self.find(h[missing])
+        else:
+            self.again[at] = True
         if not self.same(data, starts, ends - starts, at):
             raw = data.tobytes()
             return self.each([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         counts = self.length[at].astype(np.int64)
-        return counts, K.gather(self.ids, self.start[at], counts)
+        out = counts, K.gather(self.ids, self.start[at], counts)
+        if int(self.mask) >> self.bits:  # the wider table was for this chunk alone
+            self.clear()
+        return out
 
 
 class Merges:
@@ -263,7 +291,7 @@ class Merges:
             classes.setdefault(0 if p in self.by_bytes else max(1, (len(p) - 2).bit_length()), []).append(i)
         order, counts, flat = [], [], []
         for bits, members in classes.items():
-            step = max(1, (1 << 19) >> bits) if bits <= 8 else 1
+            step = max(1, CELLS >> bits) if bits <= 8 else 1
             for k in range(0, len(members), step):
                 some = [pieces[i] for i in members[k : k + step]]
                 if bits == 0:

@@ -22,7 +22,7 @@ U = np.uint64
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in runs of rows of at most `limit` bytes of text; a longer text stands alone."""
+    """The batches in runs of rows of at most `limit` bytes of text; a longer text stands alone. At the end the worker gives back what it has freed."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -32,6 +32,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def give_back() -> None:

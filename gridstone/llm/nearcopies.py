@@ -174,6 +174,8 @@ def links(buckets: DataFrame, radius: int) -> DataFrame:
                     held = held[last:]
         if held:
             yield compare(held)
+        del held
+        K.give_back()
 
     return buckets.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long")
 
