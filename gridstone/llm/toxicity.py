@@ -5,9 +5,10 @@ bounded sample of labelled documents (SAMPLE, those of smallest hash): none is l
 A term weighs (1 + log tf) * idf, its idf counted over all documents, times FLOOR plus its
 lift: how much likelier, drawn towards even by SHRINK examples, a sampled text that
 holds it is toxic (0 for terms that are not). The lift keeps a few telling words of a long text from drowning in the rest of it.
-The index keeps each term's postings by blocks of examples, with the block's
-largest weight; a query visits blocks by their upper bounds until none can enter its
-NEIGHBOURS nearest, so the neighbours are the exact ones. Votes weighted by distance are
+The index keeps the examples by blocks, and of each term with a long list of postings the
+largest weight in each block; short lists are read whole. A query visits blocks by their upper bounds until none can enter its
+NEIGHBOURS nearest, so the neighbours are the exact ones: candidates are found in single precision with room for its error and compared
+in double precision. A block is compared with all queries of a batch that visit it in one product. Votes weighted by distance are
 calibrated on the sample (each example without itself) by pooled isotonic steps.
 
 Only texts and the labels of the rows that are not held out are used; labels, language,
@@ -37,6 +38,10 @@ SAMPLE = 8192
 NEIGHBOURS, BLOCK = 15, 64
 #: Blocks that a query visits before it compares the bounds of the others.
 FIRST = 8
+#: A list is long if more than one example in SHARE has its term; at most the COLUMNS longest are held as columns.
+SHARE, COLUMNS = 16, 1024
+#: Texts compared at once, and postings of short lists read at once.
+QUERIES, POSTINGS = 128, 1 << 18
 FLOOR, SHRINK = 0.05, 20
 
 
@@ -86,82 +91,111 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (to - lengths), lengths) + np.arange(int(to[-1]) if len(to) else 0)
 
 
+def kth(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest along the last axis; 0 if there are fewer."""
+    n = x.shape[-1]
+    return np.partition(x, n - k)[..., n - k] if n >= k else np.zeros(x.shape[:-1], x.dtype)
+
+
 class Index:
-    """Postings by term and block, and each one's largest weight in each block."""
+    """Examples by blocks. Long lists of postings lie as columns by block, with each one's largest weight in each block; the others lie end to end."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
         # texts of one leading term stand together, which keeps the blocks' bounds low
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
         self.labels, self.ids, self.n = labels[order].astype(float), ids[order], len(order)
         self.blocks = max(1, -(-self.n // BLOCK))
+        self.places = self.blocks * BLOCK
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         doc = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
         by = np.lexsort((doc, term))
         term, doc, weight = term[by], doc[by], weight[by]
-        part = term * self.blocks + doc // BLOCK
-        lo = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        terms = int(term[-1]) + 1 if len(term) else 0
+        size = np.bincount(term) if len(term) else np.zeros(0, np.int64)
+        long = np.argsort(-size, kind="stable")[:COLUMNS]
+        long = np.sort(long[size[long] * SHARE > self.n])
+        self.column = np.full(len(size), -1, np.int32)
+        self.column[long] = np.arange(len(long))
         # in narrow types, for a worker holds a copy
-        self.doc, self.weight = doc.astype(np.min_scalar_type(self.n)), weight.astype(np.float32)
-        self.lo, self.block = lo.astype(np.int32), (part[lo] % self.blocks).astype(np.min_scalar_type(self.blocks))
-        self.size = np.diff(np.append(lo, len(part))).astype(np.min_scalar_type(BLOCK))
-        self.most = np.maximum.reduceat(self.weight, lo) if len(part) else np.zeros(0, np.float32)
-        self.first = np.searchsorted(term[lo], np.arange(terms + 1)).astype(np.int32)
-        self.start = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
+        self.held = np.zeros((self.places, len(long)), np.float32)
+        on = self.column[term] >= 0
+        self.held[doc[on], self.column[term[on]]] = weight[on]
+        self.most = self.held.reshape(self.blocks, BLOCK, len(long)).max(1)
+        self.doc, self.weight = doc[~on].astype(np.min_scalar_type(self.n)), weight[~on].astype(np.float32)
+        self.start = np.searchsorted(term[~on], np.arange(len(size) + 1)).astype(np.int32)
+        # sums of so many products in single precision, of unit vectors, are less than this off
+        self.slack = (len(long) + 16) * 2.0**-23
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties by place) and their cosines."""
-        own = term < len(self.first) - 1
-        term, weight = term[own], weight[own]
-        n = (self.first[term + 1] - self.first[term]).astype(np.int64)
-        entry = _ranges(self.first[term], n)
-        w, block = np.repeat(weight, n), self.block[entry]
-        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best_doc, best, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(order):
-            top = bound[order[done]]
-            if top <= 0 or (len(best) == k and top < best[-1] - 1e-12):
-                break
-            # the largest bounds first; what they find says which of the other blocks are left
-            least = best[-1] - 1e-12 if len(best) == k else 0.0
-            left = order[done : done + FIRST] if not done else order[done : done + np.count_nonzero(bound[order[done:]] >= least)]
-            visit = np.zeros(self.blocks, bool)
-            visit[left] = True
-            score = self.scores(w, block, entry, visit) if 2 * len(left) < self.blocks else self.whole(term, weight, visit)
-            docs = np.flatnonzero(score > 0)
-            docs = docs[docs != without]
-            best_doc, best = np.concatenate([best_doc, docs]), np.concatenate([best, score[docs]])
-            if len(best) > 4 * k:
-                on = best >= np.partition(best, len(best) - k)[len(best) - k] - 2e-9
-                best_doc, best = best_doc[on], best[on]
-            keep = np.lexsort((best_doc, -np.round(best, 9)))[:k]
-            best_doc, best = best_doc[keep], best[keep]
-            done += len(left)
-        return best_doc, best
-
-    def scores(self, w: np.ndarray, block: np.ndarray, entry: np.ndarray, visit: np.ndarray) -> np.ndarray:
-        """The cosines of the examples in few blocks, list by list."""
-        on = np.flatnonzero(visit[block])
-        size = self.size[entry[on]].astype(np.int64)
-        at = _ranges(self.lo[entry[on]], size)
-        return np.bincount(self.doc[at], weights=np.repeat(w[on], size) * self.weight[at], minlength=self.n)
-
-    def whole(self, term: np.ndarray, weight: np.ndarray, visit: np.ndarray) -> np.ndarray:
-        """The cosines of the examples in most blocks: a term's lists lie end to end and are read in one piece."""
-        parts = list(zip(self.start[term].tolist(), self.start[term + 1].tolist(), strict=True))
-        doc, held = (np.concatenate([x[a:z] for a, z in parts]) for x in (self.doc, self.weight))
-        score = np.bincount(doc, weights=np.repeat(weight, self.start[term + 1] - self.start[term]) * held, minlength=self.n)
-        return np.where(np.repeat(visit, BLOCK)[: self.n], score, 0.0)
-
-    def vote(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
-        """The weighted share of toxic neighbours (-1 without neighbours), and who they are."""
-        docs, s = self.nearest(term, weight, NEIGHBOURS, without)
-        if not len(docs):
-            return -1.0, docs
-        w = 1 / (1.05 - np.minimum(s, 1.0))
-        return float(w @ self.labels[docs] / w.sum()), docs
+        return next(self.search(np.array([0, len(term)]), term, weight, k, np.array([without])))
+
+    def search(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What `nearest` returns for each of many texts: text i has the terms from first[i] on. QUERIES texts are compared at once."""
+        for at in range(0, len(first) - 1, QUERIES):
+            to = min(at + QUERIES, len(first) - 1)
+            part = slice(first[at], first[to])
+            text = np.repeat(np.arange(to - at), np.diff(first[at : to + 1]))
+            own = term[part] < len(self.column)
+            yield from self.some(to - at, text[own], term[part][own], weight[part][own], k, without[at:to])
+
+    def some(self, n: int, text: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`search` for n texts at once."""
+        at = self.column[term]
+        on = at >= 0
+        query = np.zeros((n, len(self.most[0])))
+        query[text[on], at[on]] = weight[on]
+        short = self.short(n, text[~on], term[~on], weight[~on])
+        itself = np.flatnonzero(without >= 0)
+        short[itself, without[itself]] = -np.inf
+        score, q = short.astype(np.float32).reshape(n, self.blocks, BLOCK), query.astype(np.float32)
+        # what a block's examples have of the short lists is known, of the long ones they have its largest weights at most
+        bound = score.max(2) + q @ self.most.T
+        visit = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(visit, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, 1)
+        self.add(score, q, visit)
+        # the largest bounds first; what they find says which of the other blocks are left
+        least = np.array([kth(score[i, visit[i]].ravel(), k) for i in range(n)])
+        left = ~visit & (bound >= np.maximum(least - 2 * self.slack, 0)[:, None])
+        self.add(score, q, left)
+        score[~(visit | left)] = 0
+        least = kth(score.max(2), k)
+        score = score.reshape(n, self.places)
+        for i in range(n):
+            docs = np.flatnonzero((score[i] > 0) & (score[i] >= least[i] - 2 * self.slack))
+            docs = docs[score[i, docs] >= kth(score[i, docs], k) - 2 * self.slack]
+            on = np.flatnonzero(query[i])
+            exact = short[i, docs] + (self.held[np.ix_(docs, on)] * query[i, on]).sum(1)  # in one order, whatever other texts there are
+            keep = np.lexsort((docs, -np.round(exact, 9)))[:k]
+            yield docs[keep], exact[keep]
+
+    def short(self, n: int, text: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the short lists add to the cosines of n texts with all places, read about POSTINGS at a time."""
+        out = np.zeros((n, self.places))
+        size = (self.start[term + 1] - self.start[term]).astype(np.int64)
+        cuts = [*np.flatnonzero(np.diff(np.cumsum(size) // POSTINGS, prepend=-1)).tolist(), len(size)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            texts, many = slice(text[a], text[z - 1] + 1), size[a:z]
+            at = _ranges(self.start[term[a:z]].astype(np.int64), many)
+            place = np.repeat((text[a:z] - text[a]) * self.places, many) + self.doc[at]
+            out[texts] += np.bincount(place, weights=np.repeat(weight[a:z], many) * self.weight[at], minlength=out[texts].size).reshape(-1, self.places)
+        return out
+
+    def add(self, score: np.ndarray, q: np.ndarray, visit: np.ndarray) -> None:
+        """Adds what the long lists give in the blocks that a text visits: a block is compared with all its texts in one product."""
+        for b in np.flatnonzero(visit.any(0)).tolist():
+            texts = np.flatnonzero(visit[:, b])
+            score[texts, b] += q[texts] @ self.held[b * BLOCK : (b + 1) * BLOCK].T
+
+    def votes(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, without: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """Of each text the weighted share of toxic neighbours (-1 without neighbours), and who they are."""
+        votes, evidence = np.full(len(first) - 1, -1.0), []
+        for i, (docs, s) in enumerate(self.search(first, term, weight, NEIGHBOURS, without)):
+            if len(docs):
+                w = 1 / (1.05 - np.minimum(s, 1.0))
+                votes[i] = np.round(w @ self.labels[docs] / w.sum(), 9)  # else the last bit says on which side of a step a vote lies
+            evidence.append(self.ids[docs].tolist())
+        return votes, evidence
 
 
 class Model:
@@ -283,14 +317,10 @@ def voted(docs: DataFrame, model: Model, without_itself: bool = False) -> DataFr
         place = {int(d): p for p, d in enumerate(index.ids)} if without_itself else {}
         for b in K.chunks(batches):
             term, weight, first = vocabulary.vectors(*counted(*K.buffer(K.column(b, "text")), h), b.num_rows)
-            ids = K.column(b, "doc_id").to_pylist()
-            votes, evidence = [], []
-            for i, a, z in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                vote, near = index.vote(term[a:z], weight[a:z], place.get(i, -1)) if a < z else (-1.0, [])
-                votes.append(vote)
-                evidence.append([int(index.ids[d]) for d in near])
+            without = np.array([place.get(i, -1) for i in K.column(b, "doc_id").to_pylist()], np.int64)
+            votes, evidence = index.votes(first, term, weight, without)
             more = [K.column(b, "toxic")] if without_itself else []
-            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), pa.array(votes, pa.float64()), pa.array(scores(np.array(votes, float))), pa.array(evidence, pa.list_(pa.int64())), *more], ["doc_id", "vote", "score", "evidence", "toxic"][: 4 + len(more)])
+            yield pa.RecordBatch.from_arrays([K.column(b, "doc_id"), pa.array(votes, pa.float64()), pa.array(scores(votes)), pa.array(evidence, pa.list_(pa.int64())), *more], ["doc_id", "vote", "score", "evidence", "toxic"][: 4 + len(more)])
 
     rows = docs.select("doc_id", "text", "toxic") if without_itself else text_rows(docs)
     return rows.mapInArrow(run, "doc_id long, vote double, score double, evidence array<long>" + (", toxic long" if without_itself else ""))

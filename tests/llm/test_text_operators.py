@@ -457,6 +457,59 @@ def test_block_max_search_is_exact(block, monkeypatch):
         assert np.allclose(s, want[want > 0], atol=1e-6)
 
 
+@pytest.mark.parametrize("columns", [1024, 5, 0])
+def test_many_texts_are_searched_at_once(columns, monkeypatch):
+    for name, value in {"BLOCK": 8, "FIRST": 2, "COLUMNS": columns, "QUERIES": 7, "POSTINGS": 50}.items():
+        monkeypatch.setattr(toxicity, name, value)
+    rng = np.random.default_rng(4)
+    vectors = []
+    for i in range(400):
+        common, rare = rng.choice(20, rng.integers(1, 8), replace=False), 20 + 50 * (i % 40) + rng.choice(6, 4, replace=False)
+        t = np.sort(np.concatenate([common, rare]))
+        w = np.where(t < 20, 0.2, 1.0) * rng.random(len(t))
+        vectors.append((t, w / np.linalg.norm(w)))
+    vectors += vectors[:60]  # ties
+    index = toxicity.Index(vectors, rng.integers(0, 2, 460), np.arange(460))
+    if columns == 1024:  # no list of more than one example in SHARE is read posting by posting
+        assert np.diff(index.start).max() * toxicity.SHARE <= 460 < np.bincount(np.concatenate([t for t, _ in vectors])).max() * toxicity.SHARE
+    dense = np.zeros((460, 2021))
+    for p, d in enumerate(index.ids):
+        dense[p, vectors[d][0]] = vectors[d][1].astype(np.float32)
+    visited, add = [], toxicity.Index.add
+    monkeypatch.setattr(toxicity.Index, "add", lambda self, score, q, visit: (visited.append(visit.mean()), add(self, score, q, visit)))
+    nothing = (np.zeros(0, np.int64), np.zeros(0))
+    asked = [*vectors[::3], nothing, (np.array([5000]), np.ones(1)), (np.arange(2000), np.full(2000, 2000**-0.5))]
+    without = np.array([int(np.flatnonzero(index.ids == i)[0]) if i % 2 else -1 for i in range(0, 460, 3)] + [-1] * 3)
+    first = np.cumsum([0, *(len(t) for t, _ in asked)])
+    got = list(index.search(first, *(np.concatenate(x) for x in zip(*asked, strict=True)), 5, without))
+    assert len(got) == len(asked) and sum(visited) < 0.7 * -(-len(asked) // 7)  # of the blocks
+    for (t, w), gone, (docs, s) in zip(asked, without, got, strict=True):
+        want = dense[:, t[t < 2021]] @ w[t < 2021]
+        want[gone if gone >= 0 else []] = 0
+        near = [i for i in np.lexsort((np.arange(460), -np.round(want, 9))) if want[i] > 0][:5]
+        assert docs.tolist() == near and np.allclose(s, want[near], atol=1e-12)
+
+
+def test_votes_hang_on_no_last_bit(monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = []
+    for _ in range(300):
+        t = np.sort(rng.choice(90, rng.integers(3, 40), replace=False))
+        w = rng.random(len(t))
+        vectors.append((t, w / np.linalg.norm(w)))
+
+    def votes(labels, asked, queries):
+        monkeypatch.setattr(toxicity, "QUERIES", queries)
+        index = toxicity.Index(vectors, labels, np.arange(300))
+        first, (t, w) = np.cumsum([0, *(len(t) for t, _ in asked)]), (np.concatenate(x) for x in zip(*asked, strict=True))
+        return index.votes(first, t, w, np.full(len(asked), -1))[0], [(d.tolist(), s.tolist()) for d, s in index.search(first, t, w, 15, np.full(len(asked), -1))]
+
+    assert set(votes(np.ones(300, int), vectors, 128)[0]) == {1.0}  # all neighbours are toxic
+    labels = rng.integers(0, 2, 300)
+    assert votes(labels, vectors, 128)[1] == votes(labels, vectors, 7)[1] == votes(labels, vectors, 1)[1]
+    assert votes(labels, [*vectors, *vectors[::-1]], 11)[1] == [*(v := votes(labels, vectors, 300)[1]), *v[::-1]]
+
+
 def test_votes_equal_brute_force_cosines(spark):
     docs, labels = labelled(spark)
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
